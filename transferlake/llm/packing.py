@@ -11,12 +11,14 @@ looked up by position.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,10 +31,29 @@ FREE_STEP = 64
 #: Tokens of the stream that one dynamic programme covers.
 BLOCK_TOKENS = 1 << 17
 #: Pre-tokens whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: The published split pattern of this family of byte-level tokenizers, first in the terms of re and then of regex. They differ
+#: on the characters of ODD only: separators, and numbers that are no decimal digits; ODD also has all characters beyond 16 bits.
+SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+FULL_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CONTROL = re.compile("[\x1c-\x1f]")
+ODD = re.compile("[\x1c-\x1f" + "".join(re.escape(chr(c)) for c in range(0x10000) if chr(c).isnumeric() and not chr(c).isdecimal()) + "]|[\U00010000-\U0010ffff]")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Numbers(dict):
+    """Numbers of pre-tokens in the order in which they turn up."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Ids:
     """Ids of texts, by a byte-level tokenizer file of the tokenizers library.
 
@@ -42,48 +63,62 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # The published split pattern of this family of byte-level tokenizers.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
+        self.ends, self.opens = np.zeros(size, bool), np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token[-1:] in (".", "!", "?", "Ċ") or any(c in token for c in (".Ċ", "!Ċ", "?Ċ"))
+            self.opens[i] = token[:1] == "Ġ"
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, new: list[str]) -> None:
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids, k = encoding.ids, len(self.known)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
-            if k == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.known[piece], self.starts[k], self.sizes[k] = k, self.used, len(ids)
-            self.used += len(ids)
+        self.numbers = Numbers()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Ids of the new pre-tokens.
+
+        Words with their space are tokenised as one text, in which a token that begins with the space begins the next word.
+        """
+        new = self.numbers.new
+        words = [k for k, p in enumerate(new) if p[0] == " " and p[1:].isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in words])], add_special_tokens=False)[0].ids, np.uint32)
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) != len(words):
+            words, ids, first = [], ids[:0], first[:0]
+        spaced = set(words)
+        rest = [k for k in range(len(new)) if k not in spaced]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
+        counts = np.array([len(x) for x in encoded], np.int64)
+        order = np.array(words + rest)
+        sizes = np.zeros(len(new), np.int64)
+        starts = np.zeros(len(new), np.int64)
+        sizes[order] = np.concatenate([np.diff(np.append(first, len(ids))), counts])
+        starts[order] = len(self.flat) + np.concatenate([first, len(ids) + np.cumsum(counts) - counts])
+        self.flat = np.concatenate([self.flat, ids, np.array([i for x in encoded for i in x], np.uint32)])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        new.clear()
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        if len(self.numbers) > REMEMBERED:
             self.forget()
-        split = [self.split(t) for t in texts]
-        self._learn(list({p for pieces in split for p in pieces if p not in self.known}))
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
+        number = self.numbers.__getitem__
+        split = [(FULL_SPLIT if (CONTROL if t.isascii() else ODD).search(t) else SPLIT).findall(t) for t in texts]
+        pieces = [len(x) for x in split]
+        at = np.fromiter((n for x in split for n in map(number, x)), np.int64, sum(pieces))
+        if self.numbers.new:
+            self._learn()
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
+        last = np.append(0, ends)[np.cumsum(pieces)]
+        out = np.split(ids, last[:-1])
+        for k, text in enumerate(texts):
             if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)])
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -102,32 +137,38 @@ def cut_places(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray)
     return at, price[at]
 
 
-def best_cuts(at: list[int], price: list[int], window: int = WINDOW) -> list[int]:
+def best_cuts(at: np.ndarray, price: np.ndarray, window: int = WINDOW) -> list[int]:
     """Indices into ``at`` of the cheapest cuts, first and last place included.
 
     cost(i) = price(i) + min over j of cost(j) + padding(at(i) - at(j)), at(i) - at(j) <= window.
     """
-    index = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(window.bit_length() - 1)]
-    cost, back = [0] * len(at), [0] * len(at)
-    queue: deque[tuple[int, int]] = deque([(at[0], 0)])  # (cost + position, index), increasing
-    for i in range(1, len(at)):
-        p = at[i]
-        while at[queue[0][1]] < p - window:
+    index = np.full(int(at[-1]) + 1, -1)
+    index[at] = np.arange(len(at))
+    exact: dict[int, list[int]] = {}  # earlier places at the distance of a power of two
+    for power in (1 << k for k in range(window.bit_length() - 1)):
+        later = np.flatnonzero(at >= power)
+        earlier = index[at[later] - power]
+        for i, j in zip(later[earlier >= 0].tolist(), earlier[earlier >= 0].tolist(), strict=True):
+            exact.setdefault(i, []).append(j)
+    places, prices, none = at.tolist(), price.tolist(), []
+    cost, back = [0] * len(places), [0] * len(places)
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost + position, position, index), increasing
+    for i in range(1, len(places)):
+        p = places[i]
+        while queue[0][1] < p - window:
             queue.popleft()
-        least, j = queue[0]
+        least, _, j = queue[0]
         best = least + window - p
-        if best:
-            for power in powers:
-                k = index.get(p - power)
-                if k is not None and cost[k] < best:
-                    best, j = cost[k], k
-        cost[i], back[i] = best + price[i], j
-        key = cost[i] + p
+        for k in exact.get(i, none):
+            if cost[k] < best:
+                best, j = cost[k], k
+        best += prices[i]
+        cost[i], back[i] = best, j
+        key = best + p
         while queue and queue[-1][0] >= key:
             queue.pop()
-        queue.append((key, i))
-    cuts = [len(at) - 1]
+        queue.append((key, p, i))
+    cuts = [len(places) - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])
     return cuts[::-1]
@@ -164,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
             stream = np.concatenate([x[1] for x in held])
             ends = np.cumsum([len(x[1]) for x in held])
             at, price = cut_places(stream, ends, ids_of.ends)
-            cuts = at[best_cuts(at.tolist(), price.tolist(), window)]
+            cuts = at[best_cuts(at, price, window)]
             if last:  # the tail in powers of two
                 tail = list(cuts[:-1])
                 while tail[-1] < cuts[-1]:
