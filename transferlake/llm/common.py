@@ -60,7 +60,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a node that touches a third of all edges does not stay in one task.
     """
     spark = edges.sparkSession
-    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u is not null and v is not null")
+    e = checkpointed(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u is not null and v is not null").distinct())
     loops = e.where("u = v").select("u").distinct()
     e = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     loops, e = checkpointed(loops), checkpointed(e)

@@ -75,7 +75,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
         def out(lang: str) -> pa.RecordBatch:
             keys, n = merged(held.pop(lang))
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int32)), pa.array(n)], names=["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n)], names=["lang", "gram", "n"])
 
         for batch in batches:
             langs = batch.column("lang").to_pylist()
