@@ -171,13 +171,16 @@ def select_features(rows: list[list[int]], grades: np.ndarray, names: list[str],
 
 
 def fit_severity(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", grade_column: str = "grade", sample_rows: int = SAMPLE_ROWS, toxic_grade: int = TOXIC_GRADE) -> Severity:
-    """Fit on at most ``sample_rows`` of the rows with a grade (0, 1, ...), chosen by a hash of id.
+    """Fit on at most ``sample_rows`` of the rows with a grade (0, 1, ...), chosen by a hash of id; rows with a null id
+    are left out and null texts are empty ones.
 
     Repeated texts count once, with their highest grade. What reaches the driver is bounded by the sample: at most MAX_CANDIDATES
     features, and which of them each sampled text has.
     """
-    rated = labelled.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(grade_column).cast("int").alias("grade")).where("grade >= 0 and text is not null")
-    chosen = rated.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_rows)
+    rated = labelled.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), F.col(grade_column).cast("int").alias("grade")).where("grade >= 0")
+    # The ids alone are ordered; texts are read for the sample only, whose size has a bound.
+    ids = checkpointed(rated.select("id").where("id is not null").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_rows).distinct())
+    chosen = rated.join(F.broadcast(ids), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
