@@ -41,3 +41,25 @@ def classification_report(judged: DataFrame) -> DataFrame:
     precision, recall = (F.coalesce(F.try_divide(F.col("hits"), F.col(c)), F.lit(0.0)) for c in ("said", "support"))
     f1 = F.coalesce(F.try_divide(2 * F.col("hits"), F.col("said") + F.col("support")), F.lit(0.0))
     return s.select("label", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"), "support")
+
+
+def softmax(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """(id, label, p) of scores(id, label, logit)."""
+    top = F.max("logit").over(Window.partitionBy("id"))
+    weight = scores.withColumn("w", F.exp((F.col("logit") - top) / temperature))
+    return weight.select("id", "label", (F.col("w") / F.sum("w").over(Window.partitionBy("id"))).alias("p"))
+
+
+def thresholded(scores: DataFrame, least: float, fallback: str, temperature: float = 1.0) -> DataFrame:
+    """(id, label, p): the likeliest label, the first by name at a tie, or the fallback where it is less likely than ``least``."""
+    best = softmax(scores, temperature).groupBy("id").agg(F.min_by(F.struct("label", "p"), F.struct(-F.round("p", 12), "label")).alias("b"))
+    return best.select("id", F.when(F.col("b.p") >= least, F.col("b.label")).otherwise(fallback).alias("label"), F.round("b.p", 6).alias("p"))
+
+
+def temperature_fit(scores: DataFrame, truth: DataFrame, grid: list[float]) -> DataFrame:
+    """(temperature, nll): the temperature of a fixed grid with the least mean negative log likelihood."""
+    grids = F.explode(F.array(*map(F.lit, grid)))
+    right = scores.join(truth, "id").groupBy("id").agg(F.max(F.when(F.col("label") == F.col("truth"), F.col("logit"))).alias("own"), F.collect_list("logit").alias("all"))  # one entry a label
+    nll = F.log(F.aggregate(F.transform("all", lambda x: F.exp((x - F.col("own")) / F.col("t"))), F.lit(0.0), lambda a, b: a + b))
+    fits = right.withColumn("t", grids).groupBy("t").agg(F.round(F.avg(nll), 6).alias("nll"))
+    return fits.orderBy("nll", "t").limit(1).select(F.col("t").alias("temperature"), "nll")

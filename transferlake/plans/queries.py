@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, times
-from ..operators import academics, graph, intervals, labels, requirements, search
+from ..operators import academics, graph, intervals, labels, lines, requirements, search
 from ..sources import stand_ins as S
 from ..streaming import tasks
 
@@ -504,3 +504,74 @@ SELECT plan, planned, coalesce(done, 0) AS done, round(coalesce(done, 0) / plann
 def plan_coverage(spark, sf_dir):
     e = _events(spark, S.read(spark, sf_dir, "events"))
     return tasks.plan_coverage(e.select("plan", "tool"), e.where("state = 'finished'").select("plan", "tool"))
+
+
+# Lines
+
+LINES = "ln AS (SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, last_value(CASE WHEN length(line) < 40 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS owner FROM ln")
+def segment_lines(spark, sf_dir):
+    return lines.fill_owner(_lines(spark, sf_dir), F.length("line") < 40).select("doc_id", "line_no", "owner")
+
+
+@query(
+    f"""WITH {LINES}, f AS (SELECT *, CASE WHEN regexp_matches(line, '^[a-z]') AND NOT regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), '[.:]$') THEN 0 ELSE 1 END AS new FROM ln),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM f) SELECT doc_id, min(line_no) AS first_line, count(*) AS n, string_agg(line, ' ' ORDER BY line_no) AS text FROM r GROUP BY doc_id, run"""
+)
+def merge_lines(spark, sf_dir):
+    return lines.merge_lines(_lines(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no FROM ln QUALIFY length(line) < 40 AND bool_or(contains(line, 'tion')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)")
+def header_lookahead(spark, sf_dir):
+    return lines.confirmed_headers(_lines(spark, sf_dir), F.length("line") < 40, F.contains("line", F.lit("tion")))
+
+
+@query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedup_first(spark, sf_dir):
+    return lines.first_of_each(S.read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL")
+def category_counts(spark, sf_dir):
+    return S.read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT key, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 4)::DOUBLE AS percent FROM (SELECT unnest(json_keys(props::JSON)) AS key FROM events) GROUP BY 1")
+def key_frequency(spark, sf_dir):
+    events = S.read(spark, sf_dir, "events")
+    whole = events.agg(F.count("*").alias("whole"))
+    keys = events.select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return keys.join(F.broadcast(whole)).select("key", "n", F.round(F.col("n") * 100.0 / F.col("whole"), 4).alias("percent"))
+
+
+LOGITS = "lg AS (SELECT doc_id AS id, l AS label, ((doc_id * k * 31) % 17) / 4.0::DOUBLE AS logit FROM labels, (VALUES ('a', 1), ('b', 3), ('c', 7)) v(l, k))"
+
+
+def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.explode(F.array(*(F.struct(F.lit(label).alias("label"), F.lit(k).alias("k")) for label, k in (("a", 1), ("b", 3), ("c", 7)))))
+    return S.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), kinds.alias("x")).select("id", "x.label", (F.col("id") * F.col("x.k") * 31 % 17 / 4.0).alias("logit"))
+
+
+@query(
+    f"""WITH {LOGITS}, p AS (SELECT id, label, exp(logit - max(logit) OVER w) AS w0 FROM lg WINDOW w AS (PARTITION BY id)), s AS (SELECT id, label, w0 / sum(w0) OVER (PARTITION BY id) AS p FROM p)
+SELECT id, CASE WHEN p >= 0.6 THEN label ELSE 'other' END AS label, round(p, 6) AS p FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, label) = 1"""
+)
+def softmax_threshold(spark, sf_dir):
+    return labels.thresholded(_logits(spark, sf_dir), 0.6, "other")
+
+
+@query(
+    f"""WITH {LOGITS}, t AS (SELECT doc_id AS id, list_extract(['a','b','c'], (doc_id % 3 + 1)::INT) AS truth FROM labels), g(t) AS (VALUES (0.5::DOUBLE), (1.0), (2.0), (4.0), (8.0)),
+o AS (SELECT lg.id, max(CASE WHEN label = truth THEN logit END) AS own FROM lg JOIN t ON lg.id = t.id GROUP BY 1), n AS (SELECT o.id, g.t, ln(sum(exp((logit - own) / g.t))) AS nll FROM o JOIN lg ON o.id = lg.id, g GROUP BY ALL)
+SELECT t AS temperature, round(avg(nll), 6) AS nll FROM n GROUP BY 1 ORDER BY 2, 1 LIMIT 1"""
+)
+def temperature_fit(spark, sf_dir):
+    truth = S.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("doc_id") % 3 + 1).cast("int")).alias("truth"))
+    return labels.temperature_fit(_logits(spark, sf_dir), truth, [0.5, 1.0, 2.0, 4.0, 8.0])
