@@ -28,7 +28,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def severity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Severity:
     labels = table(spark, sf_dir, "labels")
     grades = labels.select("doc_id", toxicity.grade_of(labels["toxic"], labels["quality"]).alias("grade")).where("grade is not null")
-    return toxicity.fit_severity(docs.select("doc_id", "text").join(grades, "doc_id"))
+    return toxicity.fit_severity(toxicity.sample_labelled(docs.select("doc_id", "text"), grades))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

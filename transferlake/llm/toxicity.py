@@ -170,6 +170,18 @@ def select_features(rows: list[list[int]], grades: np.ndarray, names: list[str],
     return chosen, weights, cuts
 
 
+def sample_labelled(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Rows of docs with the grade of their doc_id in grades(doc_id, grade), for at most ``sample_rows`` ids, by a hash of the id.
+
+    Ids alone are shuffled; the sample, with one row an id, has a bound and is broadcast, so that texts stay where they are read.
+    An id with several grades has the highest; null ids and null or negative grades take no part.
+    """
+    rated = grades.where("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    known = rated.join(docs.select("doc_id"), "doc_id", "left_semi")
+    sample = checkpointed(known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows))
+    return docs.join(F.broadcast(sample), "doc_id")
+
+
 def fit_severity(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", grade_column: str = "grade", sample_rows: int = SAMPLE_ROWS, toxic_grade: int = TOXIC_GRADE) -> Severity:
     """Fit on at most ``sample_rows`` of the rows with a grade (0, 1, ...), chosen by a hash of id; rows with a null id
     are left out and null texts are empty ones.
