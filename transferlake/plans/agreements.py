@@ -76,10 +76,10 @@ def code_profile(spark, sf_dir):
     return S.read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("department")).agg(numbers.alias("numbers"), (F.count("*") - numbers).alias("duplicates"), F.round(F.avg(units), 4).alias("mean_units"), F.min(units).alias("least"), F.max(units).alias("most"))
 
 
-@query("SELECT p_brand AS code, count(DISTINCT p_type) AS departments, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS names FROM part WHERE p_size % 10 > 6 GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+@query("SELECT p_brand AS code, count(DISTINCT p_type) AS departments, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS names FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 def shared_dept_codes(spark, sf_dir):
     names = F.array_sort(F.collect_set("p_type"))
-    return S.read(spark, sf_dir, "part").where("p_size % 10 > 6").groupBy(F.col("p_brand").alias("code")).agg(F.size(names).cast("long").alias("departments"), F.array_join(names, ", ").alias("names")).where("departments > 1")
+    return S.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("code")).agg(F.size(names).cast("long").alias("departments"), F.array_join(names, ", ").alias("names")).where("departments > 1")
 
 
 HCODE = f"SELECT DISTINCT o_custkey AS student, {CODE} || CASE WHEN l_quantity % 2 = 0 THEN 'H' ELSE '' END AS code FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
