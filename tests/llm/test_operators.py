@@ -83,6 +83,15 @@ def test_slots_must_agree(spark):
     assert got.keys() == {1} and got[1][0] == got[1][1]
 
 
+def test_values_are_judged_within_an_occurrence(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id int, text string")
+    dropped = ITEM.replace("village market", "market")  # a word less, so the diagonal moves
+    docs = [(1, f"{ITEM} {ASKED_AGAIN}"), (2, f"{ASKED_AGAIN} {ASKED_AGAIN} {ITEM} {MIXED_UP} {MIXED_UP}"), (3, f"{ASKED_AGAIN} {ASKED_AGAIN} {dropped}"), (4, f"{MIXED_UP} and more words")]
+    got = {r.doc_id: r for r in decontam.find_leaks(odd_documents(spark, docs), bench).collect()}
+    assert {1, 2, 3} <= got.keys()
+    assert all(got[k].n_consistent == got[k].n_windows for k in (1, 2))
+
+
 def test_leaks_match_a_scan(spark, documents):
     plain = {i: " ".join(re.findall(r"[^\W_]+", t.lower())) for i, t in documents.items()}
     items = {r.item_id: " ".join(re.findall(r"[^\W_]+", r.text.lower())) for r in common.table(spark, SF, "benchmark").collect()}

@@ -28,6 +28,8 @@ SHARE, ENOUGH = 0.8, 8
 #: Bits of the filter that documents' windows pass before the join: its size is fixed, whatever the benchmark.
 FILTER_BITS = 22
 REMEMBERED = 200_000
+#: Widths of the runs of diagonals (place in the document less place in the item) that are judged as one occurrence of an item.
+SPANS = (1, 4, 16, 64)
 
 TOKEN = regex.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -122,12 +124,26 @@ def _rows(df: DataFrame, id_column: str, text_column: str, passes: bytes | None)
     return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, f"row long, id {kind_of_id}, at long, hash long, slots array<string>")
 
 
+def _consistent(hits: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_consistent): the item's windows that have a place whose values agree, judged within each of keys."""
+    slots = hits.where(F.size("item_slots") > 0).select(*keys, "at", "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    slots = slots.select(*keys, "at", "item_at", F.col("s.item_slots").alias("asked"), F.col("s.slots").alias("given"))
+    bound = slots.groupBy(*keys, "asked", "given").agg(F.count("*").alias("n")).groupBy(*keys, "asked").agg(F.max_by("given", F.struct("n", "given")).alias("given_most"))
+    broken = slots.join(bound, [*keys, "asked"]).where("given <> given_most").select(*keys, "at", "item_at").distinct()
+    # A window of the item counts once, at its consistent places if it has any.
+    marked = hits.select(*keys, "at", "item_at").join(broken.withColumn("bad", F.lit(1)), [*keys, "at", "item_at"], "left")
+    each = marked.groupBy(*keys, "item_at").agg(F.max(F.col("bad").isNull().cast("int")).alias("good"))
+    return each.groupBy(*keys).agg(F.sum("good").alias("n_consistent"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(id, item_id, n_windows, n_matched, n_consistent, share): the items that documents leak.
 
     n_windows are the item's template windows of five words, n_matched those that the document holds, and n_consistent
-    those of them whose values agree: each value of the item stands for the document's value that
-    it meets most often. An item is leaked if min(ENOUGH, SHARE of its windows, rounded up) are consistent.
+    those of them whose values agree: within an occurrence of the item, each value of the item stands for the document's value that
+    it meets most often, and the occurrence with the most windows counts. Occurrences are the windows on one diagonal, those on
+    neighbouring ones (runs of SPANS diagonals, overlapping by half, for copies with words put in or left out), and the whole document. An item is
+    leaked if min(ENOUGH, SHARE of its windows, rounded up) are consistent.
 
     Items without a window (fewer than five words, or too few literal ones) match nothing. Null texts are empty; items of
     the same template count each; repeated documents give a row each time; rows with a null id keep it; other columns play no part; an empty
@@ -146,17 +162,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     own = items.select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
     sizes = own.groupBy("item_row").agg(F.count("*").alias("n_windows"))
     hits = checkpointed(found.join(own, "hash"))
-    pair = ("row", "item_row")
-    slots = hits.where(F.size("item_slots") > 0).select(*pair, "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*pair, "item_at", F.col("s.item_slots").alias("asked"), F.col("s.slots").alias("given"))
-    bound = slots.groupBy(*pair, "asked", "given").agg(F.count("*").alias("n")).groupBy(*pair, "asked").agg(F.max_by("given", F.struct("n", "given")).alias("given_most"))
-    broken = slots.join(bound, [*pair, "asked"]).where("given <> given_most").select(*pair, "item_at").distinct()
-    # A window of the item counts once, at its consistent places if it has any.
-    marked = hits.select(*pair, "id", "item", "item_at").join(broken.withColumn("bad", F.lit(1)), [*pair, "item_at"], "left")
-    each = marked.groupBy(*pair, "id", "item", "item_at").agg(F.max(F.col("bad").isNull().cast("int")).alias("good"))
-    counted = each.groupBy(*pair, "id", "item").agg(F.count("*").alias("n_matched"), F.sum("good").alias("n_consistent"))
     enough = F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE))
+    pair = ("row", "item_row", "id", "item")
+    matched = hits.select(*pair, "item_at").distinct().groupBy(*pair).agg(F.count("*").alias("n_matched"))
+    whole = checkpointed(matched.join(sizes, "item_row").where(F.col("n_matched") >= enough).join(_consistent(hits, *pair[:2]), [*pair[:2]]))
+    # Only where a window fails can an occurrence hold more than the document as a whole.
+    open_ = hits.join(whole.where("n_consistent < n_matched").select(*pair[:2]), [*pair[:2]], "left_semi")
+    diagonal = F.col("at") - F.col("item_at")
+    runs = [F.struct(F.lit(k).alias("kind"), F.floor((diagonal + shift) / span).alias("run")) for k, (span, shift) in enumerate((span, shift) for span in SPANS for shift in sorted({0, span // 2}))]
+    each = _consistent(open_.withColumn("occurrence", F.explode(F.array(*runs))), *pair[:2], "occurrence")
+    best = each.groupBy(*pair[:2]).agg(F.max("n_consistent").alias("n_best"))
+    counted = whole.join(best, [*pair[:2]], "left").withColumn("n_consistent", F.greatest("n_consistent", "n_best"))
     return (
-        counted.join(sizes, "item_row")
-        .where(F.col("n_consistent") >= enough)
+        counted.where(F.col("n_consistent") >= enough)
         .select(F.col("id").alias(id_column), F.col("item").alias(item_column), "n_windows", "n_matched", "n_consistent", F.round(F.col("n_consistent") / F.col("n_windows"), 6).alias("share"))
     )
