@@ -92,6 +92,14 @@ def test_values_are_judged_within_an_occurrence(spark):
     assert all(got[k].n_consistent == got[k].n_windows for k in (1, 2))
 
 
+def test_copies_of_short_and_name_rich_items_are_leaks(spark):
+    items = ["Compute 12 + 5 - 3", "What is the capital of France?", "Olga met Ivan near Minsk and Anna met Boris", "你知道中国的首都是哪里吗", "7 8 9 10 11 12", "Ivan has 7 red apples now", "Speaker: Olga sells 12 apples for 3 dollars"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = ["x y compute 12 + 5 - 3 z", "Q: What is the capital of France? Yes", "Q: What is the capital of Spain?", "WE SAY OLGA MET IVAN NEAR MINSK AND ANNA MET BORIS", "olga met ivan near minsk and anna met boris", "请问你知道中国的首都是哪里吗谢谢", "count: 7 8 9 10 11 12 13", "so Olga has 4 red apples now", "olga sells 40 apples for 9 dollars, speaker: olga sells 40 apples for 9 dollars", "What is the color of snow? Compute 12 and 5 and 3. 7 8 9 11 10 12"]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(odd_documents(spark, list(enumerate(docs))), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 5), (8, 6)}
+
+
 def test_leaks_match_a_scan(spark, documents):
     plain = {i: " ".join(re.findall(r"[^\W_]+", t.lower())) for i, t in documents.items()}
     items = {r.item_id: " ".join(re.findall(r"[^\W_]+", r.text.lower())) for r in common.table(spark, SF, "benchmark").collect()}

@@ -2,13 +2,16 @@
 
 Numbers, names and units of documents and benchmark items become typed placeholders, so that a question asked again with
 other values gives the same template. Windows of the template are hash-joined, and the values behind the
-placeholders must agree: a value of the item stands for one value of the document throughout.
+placeholders must agree: a value of the item stands for one value of the document throughout. Beside the templates, copies are found
+by windows of the lower-cased words as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,22 @@ REMEMBERED = 200_000
 #: Widths of the runs of diagonals (place in the document less place in the item) that are judged as one occurrence of an item.
 SPANS = (1, 4, 16, 64)
 
-TOKEN = regex.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
+_SPACELESS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+#: In scripts without spaces each character is a word.
+TOKEN = regex.compile(rf"(?V1)\d+(?:[.,:/]\d+)*|[{_SPACELESS}]\p{{M}}*|[[^\W\d_]--[{_SPACELESS}]]+|[.!?\n]")
+#: The same for texts with nothing BEYOND Latin letters and common punctuation, where it is faster.
+LATIN_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_²³¹¼½¾]+|[.!?\n]")
+BEYOND = re.compile(r"[\u0300-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 #: Units count as such behind a number only.
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers gram grams kilogram kilograms degree degrees percent dollar dollars cent cents euro euros mph kmh".split())
-WORD, NAME, NUMBER, UNIT, MARK = range(5)
+WORD, NAME, NUMBER, UNIT, MARK, CAPITALS = range(6)
+#: How an item's window may match: by template, as a copy.
+TEMPLATE, COPY = 1, 2
 _PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(b"\x00placeholder %d" % k) for k in range(4)], np.uint64)
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW + 1)], np.uint64)
+#: Places of a window that may be names at once, as bits, with enough words left.
+_NAMES = [m for m in range(1 << WINDOW) if m.bit_count() <= WINDOW - LITERALS]
 
 
 class Tokens(dict):
@@ -53,85 +65,158 @@ class Tokens(dict):
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT
-        elif token[0].isupper() and not (len(token) > 1 and token.isupper()):
-            kind = NAME
+        elif token[0].isupper():
+            kind = CAPITALS if len(token) > 1 and token.isupper() else NAME
         else:
             kind = WORD
         code = self[token] = xxhash.xxh64_intdigest(low.encode()) & ~7 | kind
         return code
 
 
-def template(tokens: Tokens, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words, their canonical hashes and kinds.
+def split(text: str) -> list[str]:
+    return (TOKEN if BEYOND.search(text) else LATIN_TOKEN).findall(text)
+
+
+def template(tokens: Tokens, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, the hashes of their lower-cased forms, their kinds, the kinds that they have by their letters, and their texts.
 
     A word with a capital is a name unless it opens a sentence or is all capitals; a unit counts behind a number.
     """
-    split = TOKEN.findall(text)
-    code = np.fromiter(map(tokens.__getitem__, split), np.uint64, len(split))
-    kind = (code & np.uint64(7)).astype(np.int8)
-    before = np.append(np.int8(MARK), kind[:-1])
-    kind[((kind == NAME) & (before == MARK)) | ((kind == UNIT) & (before != NUMBER))] = WORD
-    word = np.flatnonzero(kind != MARK)
-    code, kind = code[word] & ~np.uint64(7), kind[word]
-    code = np.where(kind == WORD, code, _PLACEHOLDERS[kind])
-    return [split[i] for i in word.tolist()] if len(word) < len(split) else split, code, kind
-
-
-def windows(code: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of windows with enough literal words."""
-    n = len(code) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashed = reduce(np.add, (code[k : k + n] * _POWERS[k] for k in range(WINDOW)))
-    hashed ^= hashed >> np.uint64(31)
+    parts = [split(t) for t in texts]
+    words, sizes = list(chain.from_iterable(parts)), list(map(len, parts))
+    code = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
+    letters = (code & np.uint64(7)).astype(np.int8)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    before = np.append(np.int8(MARK), letters[:-1])[: len(letters)]
+    before[1:][owner[1:] != owner[:-1]] = MARK
+    kind = letters.copy()
+    kind[((kind == NAME) & (before == MARK)) | ((kind == UNIT) & (before != NUMBER)) | (kind == CAPITALS)] = WORD
+    word = np.flatnonzero(letters != MARK)
+    if len(word) < len(words):
+        words = [words[i] for i in word.tolist()]
+    return words, code[word] & ~np.uint64(7), kind[word], letters[word], owner[word]
+
+
+def _mixed(hashed: np.ndarray) -> np.ndarray:
+    hashed = hashed ^ hashed >> np.uint64(31)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
-    hashed ^= hashed >> np.uint64(27)
-    literal = np.cumsum(np.append(0, kind == WORD))
-    at = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERALS)
-    return at, hashed[at]
+    return hashed ^ hashed >> np.uint64(27)
+
+
+def runs_of(code: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all runs of ``size`` words of one text, as they are; fewer words than a window are hashed apart by their number."""
+    n = max(0, len(code) - size + 1)
+    at = np.flatnonzero(owner[:n] == owner[size - 1 : size - 1 + n])
+    hashed = reduce(np.add, (code[k : k + n] * _POWERS[k] for k in range(size)))
+    return at, _mixed(hashed[at] + np.uint64(WINDOW - size) * _POWERS[WINDOW])
+
+
+def templates(code: np.ndarray, kind: np.ndarray, letters: np.ndarray, owner: np.ndarray, named: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and name places of windows with a placeholder and enough literal words.
+
+    Numbers and units are placeholders; a word whose letters are one of ``named`` is tried as a name and as a word.
+    """
+    n = max(0, len(code) - WINDOW + 1)
+    fixed, may = (kind == NUMBER) | (kind == UNIT), np.isin(letters, named) & (kind != UNIT)
+    counts = np.cumsum(np.append(0, fixed))
+    counts = counts[WINDOW:] - counts[:-WINDOW] if n else np.zeros(0, np.int64)
+    bits = reduce(np.bitwise_or, (may[k : k + n].astype(np.uint8) << k for k in range(WINDOW)))
+    some = np.flatnonzero((owner[:n] == owner[WINDOW - 1 : WINDOW - 1 + n]) & ((bits > 0) | (counts > 0)) & (counts <= WINDOW - LITERALS))
+    bits, counts = bits[some], counts[some]
+    code = np.where(fixed, _PLACEHOLDERS[np.minimum(kind, UNIT)], code)
+    base = reduce(np.add, (code[some + k] * _POWERS[k] for k in range(WINDOW)))
+    at, hashed, names = [], [], []
+    for m in _NAMES:
+        own = np.flatnonzero(((bits & m) == m) & (counts + m.bit_count() <= WINDOW - LITERALS) & ((counts > 0) | (m > 0)))
+        if len(own):
+            at.append(some[own])
+            hashed.append(_mixed(reduce(np.add, ((_PLACEHOLDERS[NAME] - code[some[own] + k]) * _POWERS[k] for k in range(WINDOW) if m >> k & 1), base[own])))
+            names.append(np.full(len(own), m))
+    return np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.uint64), *hashed]), np.concatenate([np.zeros(0, np.int64), *names])
+
 
+def item_rows(tokens: Tokens, text: str) -> list[tuple[int, int, int, int, list[dict[str, object]]]]:
+    """(at, hash, size, paths, slots) of an item: its windows as copies, in every reading of their names as templates, and a short item as a whole."""
+    words, code, kind, letters, owner = template(tokens, [text])
+    if not words:
+        return []
+    low = [w.lower() for w in words]
+    size = min(WINDOW, len(words))
+    at, hashed = runs_of(code, owner, size)
+    other = kind != WORD
+    enough = [size == WINDOW and int(other[a : a + WINDOW].sum()) <= WINDOW - LITERALS for a in range(len(at))]
+    given = (kind == NUMBER) | (kind == UNIT)
+    slots = lambda a, names: [{"k": k, "asked": low[a + k]} for k in range(WINDOW) if other[a + k] or names >> k & 1]
+    rows = []
+    for a, h in zip(at.tolist(), hashed.view(np.int64).tolist(), strict=True):
+        both = enough[a] and not given[a : a + WINDOW].any()
+        rows.append((a, h, size, COPY | TEMPLATE if both else COPY, slots(a, 0) if both else []))
+    at, hashed, names = templates(code, kind, letters, owner, (NAME, CAPITALS))
+    for a, h, m in zip(at.tolist(), hashed.view(np.int64).tolist(), names.tolist(), strict=True):
+        if enough[a]:
+            rows.append((a, h, WINDOW, TEMPLATE, slots(a, m)))
+    return rows
 
-def _rows(df: DataFrame, id_column: str, text_column: str, passes: bytes | None) -> DataFrame:
-    """(row, id, at, hash, slots) of template windows; with ``passes`` only those whose filter bit is set."""
-    kind_of_id = df.schema[id_column].dataType.simpleString()
+
+def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    kind_of_id = benchmark.schema[id_column].dataType.simpleString()
+    columns = {"at": pa.int64(), "hash": pa.int64(), "size": pa.int32(), "paths": pa.int32(), "slots": pa.list_(pa.struct({"k": pa.int32(), "asked": pa.string()}))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, row = Tokens(), TaskContext.get().partitionId() << 40
-        bits = np.unpackbits(np.frombuffer(passes, np.uint8)).view(bool) if passes else None
         for batch in batches:
             ids = batch.column("id")
             for start, texts in text_slices(batch, "text"):
-                rows, places, hashes, slots = [], [], [], []
                 for k, text in enumerate(texts):
-                    words, code, kind = template(tokens, text)
-                    at, hashed = windows(code, kind)
-                    if bits is not None:
-                        hit = bits[(hashed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                        at, hashed = at[hit], hashed[hit]
-                    if not len(at):
-                        continue
-                    rows.append(np.full(len(at), k))
+                    found = item_rows(tokens, text)
+                    if found:
+                        values = [pa.array(v, t) for v, t in zip(zip(*found, strict=True), columns.values(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row + k)), ids.take(pa.array(np.full(len(found), start + k))), *values], names=["row", "id", *columns])
+                row += len(texts)
+
+    return benchmark.select(benchmark[id_column].alias("id"), benchmark[text_column].alias("text")).mapInArrow(run, f"row long, id {kind_of_id}, at long, hash long, size int, paths int, slots array<struct<k: int, asked: string>>")
+
+
+def _found(docs: DataFrame, id_column: str, text_column: str, passes: bytes, short: list[int]) -> DataFrame:
+    """(row, id, at, hash, words) of the documents' windows, and of runs of ``short`` sizes, whose filter bit is set; a repeated short run once a text."""
+    kind_of_id = docs.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, row = Tokens(), TaskContext.get().partitionId() << 40
+        bits = np.unpackbits(np.frombuffer(passes, np.uint8)).view(bool)
+        for batch in batches:
+            ids = batch.column("id")
+            for start, texts in text_slices(batch, "text"):
+                words, code, kind, letters, owner = template(tokens, texts)
+                first = np.searchsorted(owner, np.arange(len(texts)))
+                places, hashes = [], []
+                for size, (at, hashed) in [(WINDOW, runs_of(code, owner, WINDOW)), (WINDOW, templates(code, kind, letters, owner, (NAME,))[:2]), *((n, runs_of(code, owner, n)) for n in short)]:
+                    hit = bits[(hashed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                    at, hashed = at[hit], hashed[hit]
+                    if size < WINDOW and len(at):
+                        order = np.lexsort((at, hashed, owner[at]))
+                        order = order[np.append(True, (np.diff(owner[at][order]) != 0) | (hashed[order][1:] != hashed[order][:-1]))]
+                        at, hashed = at[order], hashed[order]
                     places.append(at)
                     hashes.append(hashed)
-                    slotted = np.cumsum(np.append(0, kind != WORD))
-                    some = slotted[at + WINDOW] > slotted[at]
-                    slots += [[words[j].lower() for j in range(a, a + WINDOW) if kind[j] != WORD] if s else [] for a, s in zip(at.tolist(), some.tolist(), strict=True)]
-                if rows:
-                    own = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(own + row), ids.slice(start, len(texts)).take(pa.array(own)), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=["row", "id", "at", "hash", "slots"])
+                at = np.concatenate(places)
+                if len(at):
+                    own = owner[at]
+                    held = [[w.lower() for w in words[a : a + WINDOW]] for a in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(own + row), ids.slice(start, len(texts)).take(pa.array(own)), pa.array(at - first[own]), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(held, pa.list_(pa.string()))], names=["row", "id", "at", "hash", "words"])
                 row += len(texts)
 
-    return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, f"row long, id {kind_of_id}, at long, hash long, slots array<string>")
+    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(run, f"row long, id {kind_of_id}, at long, hash long, words array<string>")
 
 
 def _consistent(hits: DataFrame, *keys: str) -> DataFrame:
     """(keys, n_consistent): the item's windows that have a place whose values agree, judged within each of keys."""
-    slots = hits.where(F.size("item_slots") > 0).select(*keys, "at", "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    slots = slots.select(*keys, "at", "item_at", F.col("s.item_slots").alias("asked"), F.col("s.slots").alias("given"))
-    bound = slots.groupBy(*keys, "asked", "given").agg(F.count("*").alias("n")).groupBy(*keys, "asked").agg(F.max_by("given", F.struct("n", "given")).alias("given_most"))
-    broken = slots.join(bound, [*keys, "asked"]).where("given <> given_most").select(*keys, "at", "item_at").distinct()
+    slots = hits.select(*keys, "at", "item_at", "hash", "words", F.explode("item_slots").alias("s")).select(*keys, "at", "item_at", "hash", "s.k", "s.asked", F.element_at("words", F.col("s.k") + 1).alias("given"))
+    places = slots.drop("hash").distinct()  # a place may match in several readings
+    bound = places.groupBy(*keys, "asked", "given").agg(F.count("*").alias("n")).groupBy(*keys, "asked").agg(F.max_by("given", F.struct("n", "given")).alias("given_most"))
+    broken = slots.join(bound, [*keys, "asked"]).where("given <> given_most").select(*keys, "at", "item_at", "hash").distinct()
     # A window of the item counts once, at its consistent places if it has any.
-    marked = hits.select(*keys, "at", "item_at").join(broken.withColumn("bad", F.lit(1)), [*keys, "at", "item_at"], "left")
+    marked = hits.select(*keys, "at", "item_at", "hash").join(broken.withColumn("bad", F.lit(1)), [*keys, "at", "item_at", "hash"], "left")
     each = marked.groupBy(*keys, "item_at").agg(F.max(F.col("bad").isNull().cast("int")).alias("good"))
     return each.groupBy(*keys).agg(F.sum("good").alias("n_consistent"))
 
@@ -145,7 +230,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     neighbouring ones (runs of SPANS diagonals, overlapping by half, for copies with words put in or left out), and the whole document. An item is
     leaked if min(ENOUGH, SHARE of its windows, rounded up) are consistent.
 
-    Items without a window (fewer than five words, or too few literal ones) match nothing. Null texts are empty; items of
+    Items are also searched as copies, by all windows of five of their words as they are, whatever the case, with the same shares; an item of
+    fewer words is one window, found wherever its words stand in a row, even a single one. An item that is leaked both ways gives the
+    row of its template. Names are read as words too, and the first word of a sentence as a name, so that labels, lower case and capitals do
+    not hide a copy. An item without words matches nothing. Null texts are empty; items of
     the same template count each; repeated documents give a row each time; rows with a null id keep it; other columns play no part; an empty
     table on either side gives no rows.
 
@@ -153,15 +241,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     benchmark, lets through the windows that can match; only those are shuffled. The join is on the window's hash and left to
     adaptive execution: the benchmark is broadcast if it is measured to be small, and large partitions are split if not.
     """
-    items = checkpointed(_rows(benchmark, item_column, item_text_column, None))
+    items = checkpointed(_items(benchmark, item_column, item_text_column))
+    short = sorted(r.size for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
     bits = np.zeros(1 << FILTER_BITS, bool)
     place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
     for (b,) in items.select(place.alias("b")).distinct().toLocalIterator():
         bits[b] = True
-    found = _rows(docs, id_column, text_column, np.packbits(bits).tobytes())
-    own = items.select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    sizes = own.groupBy("item_row").agg(F.count("*").alias("n_windows"))
-    hits = checkpointed(found.join(own, "hash"))
+    found = _found(docs, id_column, text_column, np.packbits(bits).tobytes(), short)
+    own = items.select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", "paths", F.col("slots").alias("item_slots"))
+    every = checkpointed(found.join(own, "hash"))
+    hits, copies = (every.where(F.col("paths").bitwiseAND(F.lit(p)) > 0) for p in (TEMPLATE, COPY))
+    sizes, copy_sizes = (own.where(F.col("paths").bitwiseAND(F.lit(p)) > 0).groupBy("item_row").agg(F.count_distinct("item_at").alias("n_windows")) for p in (TEMPLATE, COPY))
     enough = F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE))
     pair = ("row", "item_row", "id", "item")
     matched = hits.select(*pair, "item_at").distinct().groupBy(*pair).agg(F.count("*").alias("n_matched"))
@@ -173,7 +263,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     each = _consistent(open_.withColumn("occurrence", F.explode(F.array(*runs))), *pair[:2], "occurrence")
     best = each.groupBy(*pair[:2]).agg(F.max("n_consistent").alias("n_best"))
     counted = whole.join(best, [*pair[:2]], "left").withColumn("n_consistent", F.greatest("n_consistent", "n_best"))
-    return (
-        counted.where(F.col("n_consistent") >= enough)
-        .select(F.col("id").alias(id_column), F.col("item").alias(item_column), "n_windows", "n_matched", "n_consistent", F.round(F.col("n_consistent") / F.col("n_windows"), 6).alias("share"))
-    )
+    copied = copies.select(*pair, "item_at").distinct().groupBy(*pair).agg(F.count("*").alias("n_matched")).join(copy_sizes, "item_row").withColumn("n_consistent", F.col("n_matched"))
+    ways = [df.where(F.col("n_consistent") >= enough).select(*pair, F.struct(F.lit(p).alias("path"), "n_windows", "n_matched", "n_consistent").alias("way")) for df, p in ((counted, TEMPLATE), (copied, COPY))]
+    leaked = ways[0].unionAll(ways[1]).groupBy(*pair).agg(F.min("way").alias("way")).select(*pair, "way.*")
+    return leaked.select(F.col("id").alias(id_column), F.col("item").alias(item_column), "n_windows", "n_matched", "n_consistent", F.round(F.col("n_consistent") / F.col("n_windows"), 6).alias("share"))
