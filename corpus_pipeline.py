@@ -1,7 +1,7 @@
 """A corpus pipeline: five of the operators in a row, each stage written and read again.
 
 A stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
-columns of documents. Rows that share a doc_id are one document: they stay or go together.
+columns of documents. Each row is judged by itself, whatever its doc_id: rows that share one, or have none, stay or go apart.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ from transferlake.llm.toxicity import drop_toxic
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; a null id is an id."""
-    gone = checkpointed(gone.select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, written once so that the keys hold."""
+    return checkpointed(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification does not reject."""
-    return _without(docs, identify_languages(docs).where("rejected"))
+    keyed = _keyed(docs)
+    gone = identify_languages(keyed, carried=("row_key",)).where("rejected").select("row_key")
+    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +42,18 @@ def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).where("component_id <> doc_id or (doc_id is null and component_id is not null)"))
+    """One row of each group of near duplicates: that with the smallest id, one without an id only if there is no other."""
+    keyed = _keyed(docs)
+    groups = near_duplicates(keyed, id_column="row_key").join(keyed.select("row_key", "doc_id"), "row_key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"))
+    return keyed.join(first.select("first.row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    gone = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_column="row_key").select("row_key").distinct()
+    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,16 @@ def test_stages_keep_and_drop_what_they_should(spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    item = common.table(spark, SF, "benchmark").first().text
+    clean = ["the quiet river runs past a mill and an old stone bridge", "seven engineers repaired the northern railway line during winter"]
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda name, rows: sorted(r.text for r in stages[name](spark, docs(rows), SF).collect())
+    teachers = [(k, clean[0]) for k in range(10, 20)]
+    assert kept("language_id", [(None, "12 34"), (None, clean[0]), (5, "56"), (5, clean[1]), *teachers]) == sorted([*clean, *[clean[0]] * 10])
+    assert kept("benchmark_decontamination", [(None, item), (None, clean[0]), (5, item), (5, clean[1])]) == sorted(clean)
+    assert kept("simhash_near_dedup", [(1, clean[0]), (2, clean[0]), (2, clean[1]), (None, clean[0]), (3, item), (3, item)]) == sorted([*clean, item])
+    assert kept("simhash_near_dedup", [(None, clean[0]), (None, clean[0]), (None, clean[1])]) == sorted(clean)

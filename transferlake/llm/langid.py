@@ -186,8 +186,8 @@ def _scored(docs: DataFrame, model: KneserNey, id_column: str, text_column: str,
     return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), *carried).mapInArrow(run, f"`{id_column}` {kind}{extra}, pred string, n long, ce double, margin double")
 
 
-def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score, rejected) for every row of docs.
+def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, held_out, lang_pred, score, rejected) and the ``carried`` columns for every row of docs.
 
     Rows whose crc32(id as text) mod 4 is not 2 and whose lang and text are not null teach; the others are held out
     (a null id is not held out and does not teach). lang_pred is the language of the lowest cross-entropy per character, the first by name
@@ -199,12 +199,12 @@ def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column:
     Repeated rows teach and answer each time; very long texts take time in proportion; columns other than
     the three play no part; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"), *carried)
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
     own = own.withColumn("held_out", held)
     teaches = ~F.col("held_out") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     model = fit_languages(own.where(teaches))
-    rows = checkpointed(_scored(own.withColumn("truth", F.when(teaches, F.col("lang"))), model, "id", "text", ["held_out", "truth"]))
+    rows = checkpointed(_scored(own.withColumn("truth", F.when(teaches, F.col("lang"))), model, "id", "text", ["held_out", "truth", *carried]))
 
     evidence = F.floor(F.least(F.lit(31.0), 4 * F.log2(1 + F.col("margin") * F.col("n")))).cast("int")
     length = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")
@@ -222,6 +222,7 @@ def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column:
         F.col("pred").alias("lang_pred"),
         F.when(F.col("pred") == UNKNOWN, 0.0).otherwise(score).alias("score"),
         ((F.col("pred") == UNKNOWN) | F.coalesce(F.col("ce") > F.col("limit"), F.lit(False))).alias("rejected"),
+        *carried,
     )
 
 
