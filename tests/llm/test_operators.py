@@ -290,6 +290,16 @@ def test_packing_is_whole_and_tight(spark, documents):
     assert packing.pack_documents(odd_documents(spark, []), VOCABULARY).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer(documents):
+    assert packing.merges_by_rank(VOCABULARY)
+    tokenizer, ids = Tokenizer.from_file(VOCABULARY), packing.Ids(VOCABULARY, True)
+    every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3000, 0x110000, 97) if not 0xD800 <= c < 0xE000]
+    texts = [*documents.values(), *(f"a{c}'{c} 1{c}  {c}\n{c},{c}" for c in every), "x" * 5_000, " " * 5_000, "a<|endoftext|>b", "I'll  we've\n\n 12³ ", ""]
+    assert all(ids.of(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+    assert packing.Ids(VOCABULARY, False).of("plain words").tolist() == ids.of("plain words").tolist()
+    assert ids._has_long_run("ab " + "x" * 2_001) and ids._has_long_run(" " * 2_001 + "a") and not ids._has_long_run("ab " * 3_000)
+
+
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(5)
     for _ in range(40):

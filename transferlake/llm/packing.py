@@ -11,16 +11,18 @@ looked up by position.
 
 from __future__ import annotations
 
-import re
+import json
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import text_slices
 
@@ -30,96 +32,79 @@ SENTENCE_CUT, FREE_CUT = 4, 24
 FREE_STEP = 64
 #: Tokens of the stream that one dynamic programme covers.
 BLOCK_TOKENS = 1 << 17
-#: Pre-tokens whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 400_000
-#: The published split pattern of this family of byte-level tokenizers, first in the terms of re and then of regex. They differ
-#: on the characters of ODD only: separators, and numbers that are no decimal digits; ODD also has all characters beyond 16 bits.
-SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-FULL_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CONTROL = re.compile("[\x1c-\x1f]")
-ODD = re.compile("[\x1c-\x1f" + "".join(re.escape(chr(c)) for c in range(0x10000) if chr(c).isnumeric() and not chr(c).isdecimal()) + "]|[\U00010000-\U0010ffff]")
+#: The published split pattern of this family of byte-level tokenizers.
+SPLIT = r" ?\p{L}++|'(?:[sdmt]|ll|ve|re)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Bytes of a run of white space, or of anything else, beyond which a text goes to the tokenizer itself: merges by rank take
+#: time in the square of a run.
+LONG_RUN = 2_000
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Numbers(dict):
-    """Numbers of pre-tokens in the order in which they turn up."""
+def _printable_bytes() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.new.append(piece)
-        return n
+def merges_by_rank(path: str) -> bool:
+    """Whether merging the two neighbours whose union has the smallest id gives the ids of this tokenizer file.
+
+    It does if the merges stand in the order of the ids that they make, every token of the vocabulary is the only id of its own text,
+    and texts are split by the published pattern and nothing else: a run of bytes that is merged into one token has been
+    merged as that token's own text is, since no merge of a smaller id crosses its ends.
+    """
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    model, split = parts["model"], parts["pre_tokenizer"] or {}
+    plain = {"dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+    if model["type"] != "BPE" or any((model.get(k) or None) != (v or None) for k, v in plain.items()) or parts["normalizer"] or parts["post_processor"]:
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    pieces = Tokenizer.from_file(path).model
+    return made == sorted(set(made)) and all([t.id for t in pieces.tokenize(token)] == [i] for token, i in model["vocab"].items())
 
 
 class Ids:
-    """Ids of texts, by a byte-level tokenizer file of the tokenizers library.
+    """Ids of texts by a byte-level tokenizer file.
 
-    Byte pairs merge within pre-tokens only, so the ids of a text are those of its pre-tokens in
-    order. Each pre-token is tokenised once and remembered. A text with the string of a special token goes to
-    the tokenizer as a whole.
+    With ``by_rank`` (see ``merges_by_rank``) they come from the faster merge by rank; texts with the string of an added token or
+    a very long run go to the tokenizer itself.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        size = self.tokenizer.get_vocab_size()
-        self.ends, self.opens = np.zeros(size, bool), np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
+    def __init__(self, path: str, by_rank: bool):
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        vocabulary, byte = parts["model"]["vocab"], _printable_bytes()
+        self.path, self.by_rank, self.added = path, by_rank, [t["content"] for t in parts["added_tokens"]]
+        if by_rank:
+            ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items()}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(1 + max([0, *vocabulary.values(), *(t["id"] for t in parts["added_tokens"])]), bool)
+        for token, i in vocabulary.items():
             self.ends[i] = token[-1:] in (".", "!", "?", "Ċ") or any(c in token for c in (".Ċ", "!Ċ", "?Ċ"))
-            self.opens[i] = token[:1] == "Ġ"
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers = Numbers()
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        """Ids of the new pre-tokens.
-
-        Words with their space are tokenised as one text, in which a token that begins with the space begins the next word.
-        """
-        new = self.numbers.new
-        words = [k for k, p in enumerate(new) if p[0] == " " and p[1:].isalpha()]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in words])], add_special_tokens=False)[0].ids, np.uint32)
-        first = np.flatnonzero(self.opens[ids])
-        if len(first) != len(words):
-            words, ids, first = [], ids[:0], first[:0]
-        spaced = set(words)
-        rest = [k for k in range(len(new)) if k not in spaced]
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)]
-        counts = np.array([len(x) for x in encoded], np.int64)
-        order = np.array(words + rest)
-        sizes = np.zeros(len(new), np.int64)
-        starts = np.zeros(len(new), np.int64)
-        sizes[order] = np.concatenate([np.diff(np.append(first, len(ids))), counts])
-        starts[order] = len(self.flat) + np.concatenate([first, len(ids) + np.cumsum(counts) - counts])
-        self.flat = np.concatenate([self.flat, ids, np.array([i for x in encoded for i in x], np.uint32)])
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        new.clear()
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > REMEMBERED:
-            self.forget()
-        number = self.numbers.__getitem__
-        split = [(FULL_SPLIT if (CONTROL if t.isascii() else ODD).search(t) else SPLIT).findall(t) for t in texts]
-        pieces = [len(x) for x in split]
-        at = np.fromiter((n for x in split for n in map(number, x)), np.int64, sum(pieces))
-        if self.numbers.new:
-            self._learn()
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
-        last = np.append(0, ends)[np.cumsum(pieces)]
-        out = np.split(ids, last[:-1])
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return out
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def of(self, text: str) -> np.ndarray:
+        if not self.by_rank or any(t in text for t in self.added) or (len(text) > LONG_RUN and self._has_long_run(text)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.ranked.encode_to_numpy(text, disallowed_special=())
+
+    @staticmethod
+    def _has_long_run(text: str) -> bool:
+        space = IS_SPACE[np.frombuffer(text.encode(), np.uint8)]
+        return int(np.diff(np.flatnonzero(space[1:] != space[:-1]), prepend=-1, append=len(space) - 1).max()) > LONG_RUN
+
+
+@lru_cache(maxsize=1)
+def _ids(path: str, by_rank: bool) -> Ids:
+    """One for each worker process, which takes many tasks."""
+    return Ids(path, by_rank)
 
 
 def cut_places(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +129,12 @@ def best_cuts(at: np.ndarray, price: np.ndarray, window: int = WINDOW) -> list[i
     """
     index = np.full(int(at[-1]) + 1, -1)
     index[at] = np.arange(len(at))
-    exact: dict[int, list[int]] = {}  # earlier places at the distance of a power of two
-    for power in (1 << k for k in range(window.bit_length() - 1)):
-        later = np.flatnonzero(at >= power)
-        earlier = index[at[later] - power]
-        for i, j in zip(later[earlier >= 0].tolist(), earlier[earlier >= 0].tolist(), strict=True):
-            exact.setdefault(i, []).append(j)
-    places, prices, none = at.tolist(), price.tolist(), []
+    # Earlier places at the distance of a power of two: those of place i stand at starts[i] up to starts[i + 1].
+    powers = 1 << np.arange(window.bit_length() - 1)
+    earlier = np.where(at[:, None] >= powers, index[np.maximum(at[:, None] - powers, 0)], -1)
+    starts = np.cumsum(np.append(0, (earlier >= 0).sum(axis=1))).tolist()
+    exact = earlier[earlier >= 0].tolist()
+    places, prices = at.tolist(), price.tolist()
     cost, back = [0] * len(places), [0] * len(places)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost + position, position, index), increasing
     for i in range(1, len(places)):
@@ -159,7 +143,7 @@ def best_cuts(at: np.ndarray, price: np.ndarray, window: int = WINDOW) -> list[i
             queue.popleft()
         least, _, j = queue[0]
         best = least + window - p
-        for k in exact.get(i, none):
+        for k in exact[starts[i] : starts[i + 1]]:
             if cost[k] < best:
                 best, j = cost[k], k
         best += prices[i]
@@ -190,11 +174,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
     and null texts give one piece of one id; repeated rows are packed each; an empty table gives no rows.
     Memory holds one block of BLOCK_TOKENS ids and one batch, however many documents there are. No shuffle.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind, by_rank = docs.schema[id_column].dataType.simpleString(), merges_by_rank(tokenizer_path)
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(tokenizer_path)
+        ids_of = _ids(tokenizer_path, by_rank)
         base, made = TaskContext.get().partitionId() << 40, 0
         held: list[tuple[object, np.ndarray, int, int]] = []  # id, tokens not yet placed, their start, tokens of the whole
         count = 0
@@ -235,8 +219,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_i
         for batch in batches:
             id_type = batch.schema.field("id").type
             for start, texts in text_slices(batch, "text", 400_000):
-                for k, tokens in enumerate(ids_of.of(texts)):
-                    tokens = np.append(tokens, np.uint32(0))
+                for k, text in enumerate(texts):
+                    tokens = np.append(ids_of.of(text), np.uint32(0))
                     held.append((batch.column("id")[start + k].as_py(), tokens, 0, len(tokens)))
                     count += len(tokens)
                     if count >= BLOCK_TOKENS:
