@@ -396,6 +396,50 @@ def test_neighbours_over_several_shards_and_odd_rows(spark):
     assert ann.nearest_neighbours(few, few.where("vec_id = 0")).count() == 2
 
 
+def brute_nearest(vectors, queries, k=5):
+    """{query: [(cosine, id)]}, exactly, with an id's best vector."""
+    out = {}
+    for own, q in queries:
+        best = {}
+        for i, v in vectors:
+            if i != own and len(v) == len(q):
+                a, b = np.array(v, np.float64) / max(map(abs, v)), np.array(q, np.float64) / max(map(abs, q))
+                best[i] = max(best.get(i, -2), float((a @ b) / np.sqrt((a @ a) * (b @ b))))
+        out[own] = [i for i, c in sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:k]]
+    return out
+
+
+def test_neighbours_with_parallel_huge_and_clashing_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(2**(i % 30)), 0.0, 0.0]) for i in range(1, 301)]  # exactly parallel: ties over all shards, more than a walk keeps
+    rows += [(i, rng.normal(size=3).tolist()) for i in range(1001, 1201)]
+    rows += [(2001, [1e200, 0.0, 1e200]), (2002, [1e-200, 1e-201, 0.0]), (2003, [1e308, 1e308, -1e308]), (1050, [0.0, 1.0, 0.0]), (1050, [0.0, 1.0, 0.1]), (2050, [0.0, 3.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [(i, v) for i, v in rows if i in (50, 100, 1100, 2001, 2002, 2003, 2050)]
+    for shard_rows in (None, 60):
+        got = {}
+        for r in ann.nearest_neighbours(df, df.where("vec_id in (50, 100, 1100, 2001, 2002, 2003, 2050)"), shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            assert np.isfinite(r.score)
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == brute_nearest(rows, asked)
+
+
+def test_recall_over_several_shards(spark):
+    vectors = common.table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").where("embedding is not null")
+    rows = [r for r in vectors.collect() if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
+    ids, unit = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert len(rows) >= 4 * 1_000
+    got = {}
+    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), shard_rows=1_000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for at in np.flatnonzero(ids % 50 == 0):
+        order = np.lexsort((ids, -np.round(unit @ unit[at], 12)))
+        hits += len(set(ids[order[order != at][:5]].tolist()) & got[int(ids[at])])
+    assert hits / (5 * len(got)) >= 0.9
+
+
 # 10
 
 

@@ -7,15 +7,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Distinct vectors of a shard, links of a node, candidates kept while building and while searching.
-SHARD_ROWS, LINKS, BUILD, SEARCH = 8_192, 12, 48, 80
+#: Links of a node, candidates kept while building and while searching.
+LINKS, BUILD, SEARCH = 12, 48, 80
+#: Distinct vectors of a shard: SHARD_ROOT times the root of their number, within these bounds. Shards and their size grow together, so that neither the
+#: shards that a query meets nor the time of one task grow in proportion to the table.
+SHARD_ROOT, LEAST_SHARD, LARGEST_SHARD = 32, 2_048, 262_144
+#: Cosines closer than this to the k-th may be ties that the walk has not all seen.
+TIE = 1e-9
 
 
 class Graph:
@@ -122,8 +127,13 @@ class Graph:
         return [i for _, i in self._walk(q, at, width, 0)]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, exactly, so that the largest component lies between 1/2 and 1 and no square overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    return (vectors / np.linalg.norm(vectors, axis=-1, keepdims=True)).astype(np.float32)
 
 
 def _usable(vector: Column) -> Column:
@@ -132,76 +142,133 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _index(shard: pd.DataFrame) -> pd.DataFrame:
-    """One row with a shard's vectors, members and graph as flat arrays."""
-    shard = shard.sort_values("least")
-    vectors = np.stack(shard["vector"].to_numpy()).astype(np.float64)
-    graph = Graph.build(_unit(vectors), seed=int(shard["shard"].iloc[0]))
-    members = shard["members"].to_list()
-    flat = np.concatenate(members).astype(np.int64)
-    return pd.DataFrame(
-        {
-            "shard": [shard["shard"].iloc[0]],
-            "dim": [vectors.shape[1]],
-            "vectors": [vectors.tobytes()],
-            "member": [flat.tobytes()],
-            "member_size": [np.array([len(m) for m in members], np.int32).tobytes()],
-            "near": [[x.tobytes() for x in graph.near]],
-            "size": [[x.tobytes() for x in graph.size]],
-            "entry": [graph.entry],
+def _in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows of one shard; they come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        dims, parts = batch.column("dim").to_numpy(), batch.column("part").to_numpy()
+        bounds = [0, *(np.flatnonzero((dims[1:] != dims[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if a == b:
+                continue
+            if held and (held[0].column("dim")[0].as_py(), held[0].column("part")[0].as_py()) != (int(dims[a]), int(parts[a])):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+INDEX = "dim int, part int, vectors binary, node binary, member binary, member_size binary, near array<binary>, size array<binary>, entry int"
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a shard, with its vectors, members and graph as flat arrays.
+
+    Vectors of one direction, to the precision of the graph, are one node of it, since nodes without a distance fill each other's links.
+    """
+    for shard in _in_shards(batches):
+        shard = shard.sort_by("least").combine_chunks()
+        dim, part = shard["dim"][0].as_py(), shard["part"][0].as_py()
+        vectors = _scaled(np.asarray(pa.compute.list_flatten(shard["vector"])).astype(np.float64).reshape(-1, dim))
+        unit = _unit(vectors)
+        _, first, node = np.unique(unit, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # nodes enter in the order of their smallest id
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        node = place[node.reshape(-1)]
+        graph = Graph.build(unit[first[order]], seed=part)
+        sort = np.argsort(node, kind="stable")
+        members = shard["members"].take(pa.array(sort))
+        values = {
+            "dim": dim,
+            "part": part,
+            "vectors": vectors[sort].tobytes(),
+            "node": node[sort].tobytes(),
+            "member": np.asarray(pa.compute.list_flatten(members)).astype(np.int64).tobytes(),
+            "member_size": np.asarray(pa.compute.list_value_length(members)).astype(np.int32).tobytes(),
+            "near": [x.tobytes() for x in graph.near],
+            "size": [x.tobytes() for x in graph.size],
+            "entry": int(graph.entry),
         }
-    )
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values.values(), types, strict=True)], names=[*values])
 
 
-INDEX = "shard int, dim int, vectors binary, member binary, member_size binary, near array<binary>, size array<binary>, entry int"
+def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, in a row."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(ends - np.cumsum(sizes), sizes)
 
 
 class _Shard:
     def __init__(self, row: dict):
         self.vectors = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-        n = len(self.vectors)
+        node = np.frombuffer(row["node"], np.int32)
+        n = int(node[-1]) + 1
+        self.node_ends = np.searchsorted(node, np.arange(n + 1))  # vectors of node i: from place i up to place i + 1
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
-        sizes = np.frombuffer(row["member_size"], np.int32)
-        self.members = np.split(np.frombuffer(row["member"], np.int64), np.cumsum(sizes)[:-1])
-        self.graph = Graph(_unit(self.vectors), [np.frombuffer(x, np.int32).reshape(n, -1) for x in row["near"]], [np.frombuffer(x, np.int32) for x in row["size"]], row["entry"])
-
-    def nearest(self, own: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(cosine, id) of the k nearest found, nearest first; cosines in double precision on the vectors as they came."""
-        norm = math.sqrt(float((q * q).sum()))
-        found = np.array(self.graph.search((q / norm).astype(np.float32)))
-        cosine = (self.vectors[found] * q).sum(axis=1) / (self.norms[found] * norm)
-        rows = [(float(c), int(i)) for c, r in sorted(zip(cosine.tolist(), found.tolist(), strict=True), reverse=True)[: 3 * k] for i in self.members[r] if i != own]
-        return sorted(rows, key=lambda x: (-x[0], x[1]))[:k]
+        self.ends = np.append(0, np.cumsum(np.frombuffer(row["member_size"], np.int32)))
+        self.member = np.frombuffer(row["member"], np.int64)
+        self.graph = Graph(_unit(self.vectors[self.node_ends[:-1]]), [np.frombuffer(x, np.int32).reshape(n, -1) for x in row["near"]], [np.frombuffer(x, np.int32) for x in row["size"]], row["entry"])
+
+    def _ranked(self, nodes: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """(cosines, ids) of the k nearest members of these nodes, ties to the smaller id and each id once, and the least cosine among them all."""
+        found = _runs(self.node_ends[nodes], self.node_ends[nodes + 1])
+        cosine = (self.vectors[found] * q).sum(axis=1) / (self.norms[found] * math.sqrt(float((q * q).sum())))
+        ids = self.member[_runs(self.ends[found], self.ends[found + 1])]
+        scores = np.repeat(cosine, self.ends[found + 1] - self.ends[found])
+        ids, scores = ids[ids != own], scores[ids != own]
+        order = np.lexsort((ids, -scores))
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+        return scores[order], ids[order], float(cosine.min())
+
+    def nearest(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, ids) of the k nearest found, nearest first; cosines in double precision.
+
+        Where all nodes that the walk found are as near as the k-th, more may tie with it: then every node that can is looked at.
+        """
+        q = _scaled(q)
+        unit = _unit(q)
+        found = np.array(self.graph.search(unit))
+        scores, ids, least = self._ranked(found, own, q, k)
+        if len(scores) and len(found) < len(self.graph.unit) and least >= scores[-1] - TIE:
+            scores, ids, _ = self._ranked(np.flatnonzero(self.graph.unit @ unit >= scores[-1] - 1e-5), own, q, k)
+        return scores, ids
 
 
 def _searcher(k: int):
+    names = ("dim", "vectors", "node", "member", "member_size", "near", "size", "entry")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, at = None, None
         for batch in batches:  # sorted: the index of a shard, then its queries
-            out: list[tuple[int, int, float]] = []
-            for i in range(batch.num_rows):
-                shard = batch.column("shard")[i].as_py()
-                if batch.column("query_id")[i].as_py() is None:
-                    index, at = _Shard({name: batch.column(name)[i].as_py() for name in ("dim", "vectors", "member", "member_size", "near", "size", "entry")}), shard
-                elif at == shard:
-                    q = batch.column("query")[i].values.to_numpy().astype(np.float64)
-                    own = batch.column("query_id")[i].as_py()
-                    out += [(own, v, c) for c, v in index.nearest(own, q, k)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            shards = list(zip(batch.column("dim").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            for i, own in enumerate(batch.column("query_id").to_pylist()):
+                if own is None:
+                    index, at = _Shard({name: batch.column(name)[i].as_py() for name in names}), shards[i]
+                elif at == shards[i]:
+                    out.append((own, *index.nearest(own, batch.column("query")[i].values.to_numpy().astype(np.float64), k)))
+            asked = np.repeat(np.array([own for own, _, _ in out], np.int64), [len(ids) for _, _, ids in out])
+            found = np.concatenate([np.zeros(0, np.int64), *(ids for _, _, ids in out)])
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found), pa.array(np.concatenate([np.zeros(0), *(scores for _, scores, _ in out)]))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k nearest found among vectors, by cosine.
 
     The row of the query's own id is no candidate. Ties go to the smaller id; fewer than k candidates give all. Ids are integers. Vectors that are null,
     zero or hold null or non-finite components take no part on either side, nor do rows with a null id; vectors of another length are
-    no candidates. Repeated rows count once; other columns play no part; an empty side gives no rows.
+    no candidates; components of any finite size are scaled exactly before they are squared. Repeated rows count once; an id with several
+    vectors is one candidate with the nearest of them, and as a query it asks with each and keeps its k best; other columns play no part; an empty side gives no rows.
 
     Equal vectors are one node of the index with its k + 1 smallest ids, which are all that an answer can hold, so a
-    vector that a third of all rows repeat is one node too. Nodes are dealt to shards of about ``shard_rows`` by hash, each of one length; a shard builds
-    its graph by insertion and is kept as flat arrays. Queries meet every shard in a stream behind its index, so that a task holds
+    vector that a third of all rows repeat is one node too. Nodes are dealt by hash to shards of ``shard_rows`` (None: by the root of their number, see
+    SHARD_ROOT), each of one length; a shard builds
+    its graph by insertion and is kept as flat arrays. Queries meet every shard of their length in a stream behind its index, so that a task holds
     one shard and one batch. Every shard's k nearest are merged per query.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("vector")).where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
@@ -209,20 +276,14 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_co
     smallest = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     nodes = rows.distinct().withColumn("rank", smallest).where(F.col("rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
     nodes = checkpointed(nodes.select("vector", "members", F.element_at("members", 1).alias("least"), F.size("vector").alias("dim")))
-    # Shards of each length of vector: number, first shard.
-    sizes = nodes.groupBy("dim").count().orderBy("dim").collect()  # one row a length
-    first, deals, last = 0, [], {}
-    for r in sizes:
-        n = max(1, math.ceil(r["count"] / shard_rows))
-        deals.append((r["dim"], first, n))
-        last[r["dim"]] = n
-        first += n
-    spark = vectors.sparkSession
-    dealt = spark.createDataFrame(deals, "dim int, first int, n int")
-    shards = nodes.join(F.broadcast(dealt), "dim").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("least", "dim"), F.col("n"))).cast("int"))
-    index = checkpointed(shards.select("shard", "least", "members", "vector").groupBy("shard").applyInPandas(_index, INDEX))
-    everywhere = asked.withColumn("dim", F.size("query")).join(F.broadcast(dealt), "dim").select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("shard"), "query_id", "query")
-    stream = index.unionByName(everywhere, allowMissingColumns=True).repartition(max(1, first), "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
-    found = stream.mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
-    merged = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    held = F.lit(shard_rows) if shard_rows else F.least(F.lit(LARGEST_SHARD), F.greatest(F.lit(LEAST_SHARD), F.ceil(F.sqrt("nodes") * SHARD_ROOT)))
+    deals = checkpointed(nodes.groupBy("dim").agg(F.count("*").alias("nodes")).select("dim", F.ceil(F.col("nodes") / held).cast("int").alias("n")))  # one row a length
+    tasks = 4 * max(1, deals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # with room, so that few shards share a task
+    part = F.pmod(F.xxhash64("least", "dim"), F.col("n")).cast("int").alias("part")
+    shards = nodes.join(deals, "dim").select("dim", part, "least", "members", "vector")
+    index = checkpointed(shards.repartition(tasks, "dim", "part").sortWithinPartitions("dim", "part").mapInArrow(_index, INDEX))
+    everywhere = asked.withColumn("dim", F.size("query")).join(deals, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), "query_id", "query")
+    stream = index.unionByName(everywhere, allowMissingColumns=True).repartition(tasks, "dim", "part").sortWithinPartitions("dim", "part", F.col("query_id").asc_nulls_first())
+    found = stream.mapInArrow(_searcher(k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
