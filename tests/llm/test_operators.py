@@ -429,9 +429,9 @@ def test_recall_over_several_shards(spark):
     rows = [r for r in vectors.collect() if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
     ids, unit = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    assert len(rows) >= 4 * 1_000
+    assert len(rows) > 4 * 300
     got = {}
-    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), shard_rows=1_000).collect():
+    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), shard_rows=300).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = 0
     for at in np.flatnonzero(ids % 50 == 0):

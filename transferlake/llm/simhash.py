@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, text_slices
 
 SEED, WORDS, MAX_BITS = 42, 3, 2
-#: Eight groups of eight bits; a link changes at most two of them and leaves six as they are.
-GROUPS = 8
-#: Reference fingerprints of the distance table.
-PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(16)], np.uint64)
-#: Buckets up to this size compare pairs through the table, larger ones look up the words within MAX_BITS.
-SMALL_BUCKET = 32
+#: References of the distance table: zero, the 32 words of two neighbouring bits, and random ones.
+PAIRS = [3 << k for k in range(0, 64, 2)]
+RANDOM = [xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(16)]
+#: Coordinates of PAIRS form eight blocks of four; a link changes at most two of them and leaves six as they are.
+BLOCKS, WIDTH = 8, 4
+#: Pairs that are compared at once.
+CHUNK = 1 << 20
+
+
+def _neighbours() -> np.ndarray:
+    """Differences between the cells of two linked fingerprints, in base 5 over the coordinates of two blocks: one of each +/- pair, and zero.
+
+    Coordinates are 0, 1 or 2 and differ by 2 in all at most, so no carry makes other cells alike.
+    """
+    steps = [sign * 5**k for k in range(2 * WIDTH) for sign in (1, -1)]
+    return np.array(sorted({d for a in [0, *steps] for b in [0, *steps] if (d := a + b) >= 0}))
 
 
 def fingerprint(text: str) -> int:
@@ -69,76 +80,99 @@ def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked_pairs(fp: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within MAX_BITS in runs of one bucket; fp is distinct and sorted within a bucket.
+def linked_pairs(bucket: np.ndarray, cell: np.ndarray, table: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within MAX_BITS in one bucket, in chunks; rows are distinct and sorted by (bucket, cell).
 
-    The table of distances to PIVOTS is computed once per row. The largest difference of two rows'
-    distances bounds their Hamming distance from below, so pairs that differ by more than MAX_BITS in any coordinate
-    are discarded, and the survivors are verified.
+    A difference of two rows' distances to a reference bounds their Hamming distance from below. So pairs come from
+    neighbouring cells only, those whose distances to a random reference differ by more than MAX_BITS are discarded, and the
+    survivors are verified.
     """
-    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    sizes = np.diff(np.append(starts, len(bucket)))
-    size = np.repeat(sizes, sizes)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    small = np.flatnonzero((size > 1) & (size <= SMALL_BUCKET))
-    if len(small):
-        f, b = fp[small], bucket[small]
-        table = np.bitwise_count(f[:, None] ^ PIVOTS).astype(np.int8)
-        for step in range(1, int(size[small].max())):
-            i = np.flatnonzero(b[step:] == b[:-step])
-            i = i[np.abs(table[i] - table[i + step]).max(axis=1) <= MAX_BITS]
-            i = i[np.bitwise_count(f[i] ^ f[i + step]) <= MAX_BITS]
-            left.append(small[i])
-            right.append(small[i + step])
-    for s, n in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
-        f = fp[s : s + n]
-        free = [k for k in range(64) if int(np.bitwise_or.reduce(f ^ f[0])) >> k & 1]
-        for bits in (c for m in range(1, MAX_BITS + 1) for c in combinations(free, m)):
-            other = f ^ np.uint64(sum(1 << k for k in bits))
-            at = np.minimum(np.searchsorted(f, other), n - 1)
-            hit = np.flatnonzero((f[at] == other) & (f < other))
-            left.append(s + hit)
-            right.append(s + at[hit])
-    return np.concatenate(left), np.concatenate(right)
+    number = bucket * 25**WIDTH + cell
+    cells, first, size = np.unique(number, return_index=True, return_counts=True)
+    for step in _neighbours():
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        a = np.flatnonzero(cells[at] == cells + step)
+        b = at[a]
+        total = np.cumsum(size[a] * size[b])
+        begin = 0
+        while begin < len(a):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CHUNK, side="right")))
+            x, y, count = a[begin:end], b[begin:end], size[a[begin:end]] * size[b[begin:end]]
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            wide = np.repeat(size[y], count)
+            i, j = np.repeat(first[x], count) + place // wide, np.repeat(first[y], count) + place % wide
+            if step == 0:
+                i, j = i[i < j], j[i < j]
+            near = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1, initial=0) <= MAX_BITS)
+            near = near[np.bitwise_count(fp[i[near]] ^ fp[j[near]]) <= MAX_BITS]
+            yield i[near], j[near]
+            begin = end
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from each fingerprint to the smallest one that it reaches in its bucket; rows come sorted by bucket."""
-    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-
-    def edges(combo: np.ndarray, kept: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((fp, kept, combo))
-        combo, kept, fp = combo[order], kept[order], fp[order]
-        bucket = np.cumsum(np.append(False, (combo[1:] != combo[:-1]) | (kept[1:] != kept[:-1])))
-        label = _local_labels(len(fp), *linked_pairs(fp, bucket)) if len(fp) else np.zeros(0, np.int64)
+    """Edges from each fingerprint to the first one that it reaches in its bucket; rows come sorted by bucket."""
+    held = [np.zeros(0, np.int64)] * 5
+
+    def edges(key: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        same = key[1:] == key[:-1]
+        several = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        several = several[np.lexsort((cell[several], key[several]))]
+        key, cell, fp = key[several], cell[several], fp[several].view(np.uint64)
+        table = np.stack([low[several], high[several]], axis=1).astype("<i8").view(np.int8)
+        bucket = np.cumsum(np.append(0, key[1:] != key[:-1])[: len(key)])
+        label, left, right = np.arange(len(fp)), [], []
+        for i, j in linked_pairs(bucket, cell, table, fp) if len(fp) else ():
+            left.append(i)
+            right.append(j)
+            if sum(map(len, left)) > CHUNK:  # stars in place of pairs, so that memory follows the rows
+                label = _local_labels(len(fp), np.concatenate(left), np.concatenate(right))
+                left, right = [np.arange(len(fp))], [label]
+        if left:
+            label = _local_labels(len(fp), np.concatenate(left), np.concatenate(right))
         own = np.flatnonzero(label != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[label[own]].view(np.int64))], names=["src", "dst"])
 
     for batch in batches:
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-        if len(last):  # the last bucket may go on in the next batch; it holds 2 ** 16 fingerprints at most
-            done = last[-1] + 1
-            yield edges(*(x[:done] for x in held))
-            held = [x[done:] for x in held]
+        held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+        last = np.flatnonzero(held[0] != held[0][-1:])
+        if len(last):  # the last bucket may go on in the next batch
+            yield edges(*(x[: last[-1] + 1] for x in held))
+            held = [x[last[-1] + 1 :] for x in held]
     yield edges(*held)
 
 
+def _signed(word: int) -> int:
+    return word - 2**64 if word >> 63 else word
+
+
+def distance_table(distinct: DataFrame) -> DataFrame:
+    """(fp, coordinates, low, high): Hamming distances of each fingerprint to the references.
+
+    coordinates has, for each of PAIRS, half of (distance to zero + 2 - distance to it), which is 0, 1 or 2; low and high have the distances to RANDOM, a byte each.
+    """
+    to = lambda word: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(word))))
+    zero = F.bit_count("fp")
+    packed = [reduce(Column.bitwiseOR, (F.shiftleft(to(word).cast("long"), 8 * k) for k, word in enumerate(RANDOM[half : half + 8]))) for half in (0, 8)]
+    return distinct.select("fp", F.array(*(F.shiftright(zero + 2 - to(word), 1) for word in PAIRS)).alias("coordinates"), packed[0].alias("low"), packed[1].alias("high"))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(src, dst) edges whose components are those of all pairs of distinct ``fp`` within MAX_BITS.
 
-    The distance table has, beside PIVOTS, for each group of eight bits the references zero and its
-    eight single bits. Distances to these fix the group's bits and are fixed by them, so fingerprints that agree in
-    the coordinates of a group are those with the same bits there. A link changes at most two groups:
-    each fingerprint goes to 28 buckets, one for each choice of six groups whose coordinates must agree. The members of a
-    bucket differ in 16 bits only, so it holds at most 65,536 distinct fingerprints, whatever the input.
+    The distances of each fingerprint to the references are computed once and go with it. Candidates are joined on them: two linked
+    fingerprints differ by at most MAX_BITS in all coordinates of PAIRS together, so of the eight blocks of coordinates six are equal: each fingerprint goes
+    to 28 buckets, one for each choice of six blocks whose coordinates must agree, and in a bucket meets the cells that are as near in the other two.
     """
-    masks = [(c, ~((0xFF << 8 * i) | (0xFF << 8 * j)) & (2**64 - 1)) for c, (i, j) in enumerate(combinations(range(GROUPS), 2))]
-    keys = F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("combo"), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >> 63 else m)).alias("kept")) for c, m in masks)))
-    rows = distinct.select("fp", keys.alias("k")).select("k.combo", "k.kept", "fp")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "combo", "kept").sortWithinPartitions("combo", "kept").mapInArrow(_link, "src long, dst long")
+    table = distance_table(distinct)
+    block = lambda base, k: reduce(Column.__add__, (F.element_at("coordinates", WIDTH * k + i + 1) * F.lit(base**i) for i in range(WIDTH))).cast("long")
+    blocks = table.select("fp", "low", "high", *(block(3, k).alias(f"agree{k}") for k in range(BLOCKS)), *(block(5, k).alias(f"cell{k}") for k in range(BLOCKS)))
+    size = 3**WIDTH
+    keys = []
+    for n, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
+        agree = reduce(lambda held, k: held * size + F.col(f"agree{k}"), (k for k in range(BLOCKS) if k not in (i, j)), F.lit(n).cast("long"))
+        keys.append(F.struct(agree.alias("bucket"), (F.col(f"cell{i}") * 5**WIDTH + F.col(f"cell{j}")).alias("cell")))
+    rows = blocks.select(F.explode(F.array(*keys)).alias("k"), "low", "high", "fp").select("k.bucket", "k.cell", "low", "high", "fp")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
