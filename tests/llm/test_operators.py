@@ -100,6 +100,111 @@ def test_copies_of_short_and_name_rich_items_are_leaks(spark):
     assert got == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 5), (8, 6)}
 
 
+def brute_words(text):
+    """[(lower case, kind by letters, kind in its place)] of the words of a text."""
+    out, before = [], "mark"
+    for w in decontam.TOKEN.findall(text):
+        low = w.lower()
+        if w in ".!?\n":
+            before = "mark"
+            continue
+        letters = "number" if w[0].isdigit() or low in decontam.NUMBER_WORDS else "unit" if low in decontam.UNITS else "word" if not w[0].isupper() else "capitals" if len(w) > 1 and w.isupper() else "name"
+        kind = "word" if letters == "capitals" or (letters == "name" and before == "mark") or (letters == "unit" and before != "number") else letters
+        out.append((low, letters, kind))
+        before = letters
+    return out
+
+
+def brute_readings(words, at, named):
+    """{canonical window: places of slots} of the five words from at."""
+    window = words[at : at + 5]
+    fixed = {k: w[2] for k, w in enumerate(window) if w[2] in ("number", "unit")}
+    may = [k for k, w in enumerate(window) if w[1] in named and w[2] != "unit"]
+    out = {}
+    for n in range(len(may) + 1):
+        for names in combinations(may, n):
+            if (fixed or names) and len(fixed) + n <= 2:
+                out[tuple(f"<{fixed[k]}>" if k in fixed else "<name>" if k in names else w[0] for k, w in enumerate(window))] = set(names)
+    return out
+
+
+def brute_leaks(docs, items):
+    """{(document, item): (windows, matched, consistent)} by comparing every window of every item with every one of every document."""
+    need = lambda n: min(8, -(-n * 8 // 10))
+    read = {i: brute_words(t or "") for i, t in docs}
+    plain = {i: {tuple(w[0] for w in ws[a : a + 5]): None for a in range(len(ws) - 4)} for i, ws in read.items()}
+    by_reading = {}
+    for i, ws in read.items():
+        for a in range(len(ws) - 4):
+            for key in brute_readings(ws, a, ("name",)):
+                by_reading.setdefault(key, []).append((i, a))
+            by_reading.setdefault(tuple(w[0] for w in ws[a : a + 5]), []).append((i, a))
+    out = {}
+    for item, text in items:
+        ws = brute_words(text or "")
+        if not ws:
+            continue
+        size = min(5, len(ws))
+        runs = [tuple(w[0] for w in ws[a : a + size]) for a in range(len(ws) - size + 1)]
+        for i, dw in read.items():
+            low = [w[0] for w in dw]
+            n = sum(r in plain[i] for r in runs) if size == 5 else sum(any(tuple(low[a : a + size]) == r for a in range(len(low))) for r in runs)
+            if n >= need(len(runs)):
+                out[i, item] = (len(runs), n, n)
+        windows, hits = set(), {}
+        for a in range(len(ws) - 4):
+            other = {k for k in range(5) if ws[a + k][2] != "word"}
+            if len(other) > 2:
+                continue
+            readings = brute_readings(ws, a, ("name", "capitals"))
+            if not any(ws[a + k][2] in ("number", "unit") for k in range(5)):
+                readings[runs[a]] = set()
+            windows |= {a} if readings else set()
+            for key, names in readings.items():
+                for i, at in by_reading.get(key, ()):
+                    slots = tuple((ws[a + k][0], ws[a + k][2] not in ("number", "unit"), read[i][at + k][0], k) for k in sorted(other | names))
+                    hits.setdefault(i, set()).add((a, at, key, slots))
+        for i, found in hits.items():
+            matched = len({a for a, *_ in found})
+            groups = {"all": found}
+            for hit in found:
+                for span in decontam.SPANS:
+                    for shift in {0, span // 2}:
+                        groups.setdefault((span, shift, (hit[1] - hit[0] + shift) // span), set()).add(hit)
+            best = max(brute_consistent(g) for g in groups.values())
+            if matched >= need(len(windows)) and best >= need(len(windows)):
+                out[i, item] = (len(windows), matched, best)
+    return out
+
+
+def brute_consistent(found):
+    seen = Counter((asked, name, given) for asked, name, given, *_ in {(*slot, a, at) for a, at, _, slots in found for slot in slots})
+    most = {}
+    for (asked, name, given), n in seen.items():
+        most[asked, name] = max(most.get((asked, name), (0, "")), (n, given))
+    holder = {}
+    for (asked, name), (n, given) in most.items():
+        if name:
+            holder[given] = min(holder.get(given, (1, "")), (-n, asked))
+    bound = {(asked, name, given) for (asked, name), (n, given) in most.items() if not name or holder[given] == (-n, asked)}
+    return len({a for a, _, _, slots in found if all(slot[:3] in bound for slot in slots)})
+
+
+def test_leaks_match_brute_force(spark, documents):
+    benchmark = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
+    expected = brute_leaks(list(documents.items()), benchmark)
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.n_consistent) for r in queries.op2_decontamination(spark, SF).collect()} == expected and expected
+    items = [ITEM, "Each year Anna gives Ivan 12 kg of pears and 7 kg of plums, and Ivan gives Anna 3 kg of nuts.", "What is the value of 12 plus 30 when x is 5?", "What is the value of 4 plus 9 when y is 2?", "One."]
+    swaps = [{}, {"Olga": "Boris"}, {"Olga": "Pavel", "12": "40", "3": "9"}, {"Anna": "Ivan"}, {"Anna": "Vera", "Ivan": "Mina", "7": "12"}, {"12": "5", "30": "6"}, {"pears": "figs", "apples": "eggs"}]
+    texts = []
+    for k, swap in enumerate(swaps):
+        made = [" ".join(swap.get(w.strip(".,"), w) for w in t.split()) for t in items]
+        texts += [*made, f"{made[k % 5]} {items[0]} {made[0]}", f"{made[1]} {MIXED_UP} {ASKED_AGAIN}", made[k % 5].upper(), made[k % 5].lower(), f"Q: {made[1][5:]}"]
+    docs, bench = list(enumerate(texts)), list(enumerate(items))
+    got = decontam.find_leaks(odd_documents(spark, docs), spark.createDataFrame(bench, "item_id int, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.n_consistent) for r in got} == brute_leaks(docs, bench)
+
+
 def test_leaks_match_a_scan(spark, documents):
     plain = {i: " ".join(re.findall(r"[^\W_]+", t.lower())) for i, t in documents.items()}
     items = {r.item_id: " ".join(re.findall(r"[^\W_]+", r.text.lower())) for r in common.table(spark, SF, "benchmark").collect()}

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_slices
@@ -28,8 +28,8 @@ WINDOW = 5
 LITERALS = 3
 #: An item is leaked by this share of its windows, or by this many.
 SHARE, ENOUGH = 0.8, 8
-#: Bits of the filter that documents' windows pass before the join: its size is fixed, whatever the benchmark.
-FILTER_BITS = 22
+#: Bits of the filter that documents' windows pass before the join, as powers of two: 64 a window of the benchmark, within these bounds (16 MB at most).
+FILTER_BITS = (20, 27)
 REMEMBERED = 200_000
 #: Widths of the runs of diagonals (place in the document less place in the item) that are judged as one occurrence of an item.
 SPANS = (1, 4, 16, 64)
@@ -146,7 +146,7 @@ def item_rows(tokens: Tokens, text: str) -> list[tuple[int, int, int, int, list[
     other = kind != WORD
     enough = [size == WINDOW and int(other[a : a + WINDOW].sum()) <= WINDOW - LITERALS for a in range(len(at))]
     given = (kind == NUMBER) | (kind == UNIT)
-    slots = lambda a, names: [{"k": k, "asked": low[a + k]} for k in range(WINDOW) if other[a + k] or names >> k & 1]
+    slots = lambda a, names: [{"k": k, "asked": low[a + k], "name": not given[a + k]} for k in range(WINDOW) if other[a + k] or names >> k & 1]
     rows = []
     for a, h in zip(at.tolist(), hashed.view(np.int64).tolist(), strict=True):
         both = enough[a] and not given[a : a + WINDOW].any()
@@ -160,7 +160,7 @@ def item_rows(tokens: Tokens, text: str) -> list[tuple[int, int, int, int, list[
 
 def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
     kind_of_id = benchmark.schema[id_column].dataType.simpleString()
-    columns = {"at": pa.int64(), "hash": pa.int64(), "size": pa.int32(), "paths": pa.int32(), "slots": pa.list_(pa.struct({"k": pa.int32(), "asked": pa.string()}))}
+    columns = {"at": pa.int64(), "hash": pa.int64(), "size": pa.int32(), "paths": pa.int32(), "slots": pa.list_(pa.struct({"k": pa.int32(), "asked": pa.string(), "name": pa.bool_()}))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, row = Tokens(), TaskContext.get().partitionId() << 40
@@ -174,16 +174,29 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row + k)), ids.take(pa.array(np.full(len(found), start + k))), *values], names=["row", "id", *columns])
                 row += len(texts)
 
-    return benchmark.select(benchmark[id_column].alias("id"), benchmark[text_column].alias("text")).mapInArrow(run, f"row long, id {kind_of_id}, at long, hash long, size int, paths int, slots array<struct<k: int, asked: string>>")
+    return benchmark.select(benchmark[id_column].alias("id"), benchmark[text_column].alias("text")).mapInArrow(run, f"row long, id {kind_of_id}, at long, hash long, size int, paths int, slots array<struct<k: int, asked: string, name: boolean>>")
 
 
-def _found(docs: DataFrame, id_column: str, text_column: str, passes: bytes, short: list[int]) -> DataFrame:
+def _filter(items: DataFrame) -> tuple[int, np.ndarray]:
+    """(b, bits): bits is a filter of 2 ** b bits in which those at the first b bits of the items' hashes are set."""
+    low, high = FILTER_BITS
+    size = min(high, max(low, (64 * items.count()).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - size)
+    parts = items.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # 4 KB each, 4,096 at most
+    bits = np.zeros((1 << size) // 8, np.uint8)
+    for part, held in parts:
+        bits[4096 * part : 4096 * (part + 1)] = np.frombuffer(held, np.uint8)
+    return size, bits
+
+
+def _found(docs: DataFrame, id_column: str, text_column: str, size_of_filter: int, passes: np.ndarray, short: list[int]) -> DataFrame:
     """(row, id, at, hash, words) of the documents' windows, and of runs of ``short`` sizes, whose filter bit is set; a repeated short run once a text."""
     kind_of_id = docs.schema[id_column].dataType.simpleString()
+    shared, shift = docs.sparkSession.sparkContext.broadcast(passes), np.uint64(64 - size_of_filter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, row = Tokens(), TaskContext.get().partitionId() << 40
-        bits = np.unpackbits(np.frombuffer(passes, np.uint8)).view(bool)
+        bits = shared.value
         for batch in batches:
             ids = batch.column("id")
             for start, texts in text_slices(batch, "text"):
@@ -191,7 +204,8 @@ def _found(docs: DataFrame, id_column: str, text_column: str, passes: bytes, sho
                 first = np.searchsorted(owner, np.arange(len(texts)))
                 places, hashes = [], []
                 for size, (at, hashed) in [(WINDOW, runs_of(code, owner, WINDOW)), (WINDOW, templates(code, kind, letters, owner, (NAME,))[:2]), *((n, runs_of(code, owner, n)) for n in short)]:
-                    hit = bits[(hashed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                    place = (hashed >> shift).astype(np.int64)
+                    hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                     at, hashed = at[hit], hashed[hit]
                     if size < WINDOW and len(at):
                         order = np.lexsort((at, hashed, owner[at]))
@@ -211,48 +225,70 @@ def _found(docs: DataFrame, id_column: str, text_column: str, passes: bytes, sho
 
 def _consistent(hits: DataFrame, *keys: str) -> DataFrame:
     """(keys, n_consistent): the item's windows that have a place whose values agree, judged within each of keys."""
-    slots = hits.select(*keys, "at", "item_at", "hash", "words", F.explode("item_slots").alias("s")).select(*keys, "at", "item_at", "hash", "s.k", "s.asked", F.element_at("words", F.col("s.k") + 1).alias("given"))
+    slots = hits.select(*keys, "at", "item_at", "hash", "words", F.explode("item_slots").alias("s")).select(*keys, "at", "item_at", "hash", "s.k", "s.asked", "s.name", F.element_at("words", F.col("s.k") + 1).alias("given"))
     places = slots.drop("hash").distinct()  # a place may match in several readings
-    bound = places.groupBy(*keys, "asked", "given").agg(F.count("*").alias("n")).groupBy(*keys, "asked").agg(F.max_by("given", F.struct("n", "given")).alias("given_most"))
-    broken = slots.join(bound, [*keys, "asked"]).where("given <> given_most").select(*keys, "at", "item_at", "hash").distinct()
+    bound = places.groupBy(*keys, "asked", "name", "given").agg(F.count("*").alias("n")).groupBy(*keys, "asked", "name").agg(F.max(F.struct("n", "given")).alias("most")).select(*keys, "asked", "name", "most.*")
+    # Two names of the item are not one name of the document: the one that is met more often has it.
+    holders = bound.where("name").groupBy(*keys, "given").agg(F.min(F.struct((-F.col("n")).alias("n"), "asked")).alias("first")).select(*keys, "given", F.col("first.asked").alias("asked"), F.lit(True).alias("name"))
+    bound = bound.where("not name").select(*keys, "asked", "name", "given").unionByName(holders)
+    broken = slots.join(bound.withColumn("bound", F.lit(True)), [*keys, "asked", "name", "given"], "left").where("bound is null").select(*keys, "at", "item_at", "hash").distinct()
     # A window of the item counts once, at its consistent places if it has any.
     marked = hits.select(*keys, "at", "item_at", "hash").join(broken.withColumn("bad", F.lit(1)), [*keys, "at", "item_at", "hash"], "left")
     each = marked.groupBy(*keys, "item_at").agg(F.max(F.col("bad").isNull().cast("int")).alias("good"))
     return each.groupBy(*keys).agg(F.sum("good").alias("n_consistent"))
 
 
+def _needed(n_windows: Column) -> Column:
+    """The windows that make a leak of an item with so many."""
+    return F.least(F.lit(ENOUGH), F.ceil(n_windows * SHARE))
+
+
+def _rare(own: DataFrame, found: DataFrame) -> DataFrame:
+    """(item_row, hash): of each item the windows that documents hold least often, just so many that a leak must hold one of them.
+
+    A window such as "what is the value of" stands in many items and documents and would bring every two of them together; left
+    out here, it still counts for the pairs that rarer windows bring together.
+    """
+    often = found.groupBy("hash").agg(F.count("*").alias("often"))
+    windows = own.join(often, "hash", "left").groupBy("item_row", "item_at").agg(F.sum(F.coalesce("often", F.lit(0))).alias("often"))
+    ranked = windows.withColumn("place", F.row_number().over(Window.partitionBy("item_row").orderBy("often", "item_at"))).withColumn("n", F.count("*").over(Window.partitionBy("item_row")))
+    chosen = ranked.where((F.col("often") > 0) & (F.col("place") <= F.col("n") - _needed(F.col("n")) + 1)).select("item_row", "item_at")
+    return own.join(chosen, ["item_row", "item_at"]).select("item_row", "hash").distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(id, item_id, n_windows, n_matched, n_consistent, share): the items that documents leak.
 
     n_windows are the item's template windows of five words, n_matched those that the document holds, and n_consistent
     those of them whose values agree: within an occurrence of the item, each value of the item stands for the document's value that
-    it meets most often, and the occurrence with the most windows counts. Occurrences are the windows on one diagonal, those on
+    it meets most often, no two names of the item for one name of the document (numbers may coincide), and the occurrence with the most windows counts.
+    Occurrences are the windows on one diagonal, those on
     neighbouring ones (runs of SPANS diagonals, overlapping by half, for copies with words put in or left out), and the whole document. An item is
     leaked if min(ENOUGH, SHARE of its windows, rounded up) are consistent.
 
     Items are also searched as copies, by all windows of five of their words as they are, whatever the case, with the same shares; an item of
     fewer words is one window, found wherever its words stand in a row, even a single one. An item that is leaked both ways gives the
     row of its template. Names are read as words too, and the first word of a sentence as a name, so that labels, lower case and capitals do
-    not hide a copy. An item without words matches nothing. Null texts are empty; items of
-    the same template count each; repeated documents give a row each time; rows with a null id keep it; other columns play no part; an empty
+    not hide a copy. An item without words matches nothing. Null texts are empty; texts of any length are read whole, in time in proportion; items of
+    the same template count each, so ties give a row each; repeated documents give a row each time; rows with a null id keep it; other columns play no part; an empty
     table on either side gives no rows.
 
-    Documents are read once. A filter of 2 ** FILTER_BITS bits, whatever the size of the
-    benchmark, lets through the windows that can match; only those are shuffled. The join is on the window's hash and left to
+    Documents are read once. A filter whose size follows the benchmark's lets through the windows that can match; only those are
+    shuffled. Documents and items meet on the windows of an item that are rarest in the documents (see ``_rare``), and only pairs that do are
+    joined on all windows. Joins are left to
     adaptive execution: the benchmark is broadcast if it is measured to be small, and large partitions are split if not.
     """
     items = checkpointed(_items(benchmark, item_column, item_text_column))
-    short = sorted(r.size for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    for (b,) in items.select(place.alias("b")).distinct().toLocalIterator():
-        bits[b] = True
-    found = _found(docs, id_column, text_column, np.packbits(bits).tobytes(), short)
+    short = sorted(r.size for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())  # four at most
+    found = checkpointed(_found(docs, id_column, text_column, *_filter(items), short))
     own = items.select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", "paths", F.col("slots").alias("item_slots"))
-    every = checkpointed(found.join(own, "hash"))
+    by_path = [own.where(F.col("paths").bitwiseAND(F.lit(p)) > 0) for p in (TEMPLATE, COPY)]
+    rare = _rare(by_path[0], found).union(_rare(by_path[1], found)).distinct()
+    met = found.select("row", "hash").join(rare, "hash").select("row", "item_row").distinct()
+    every = checkpointed(met.join(own, "item_row").join(found, ["row", "hash"]))
     hits, copies = (every.where(F.col("paths").bitwiseAND(F.lit(p)) > 0) for p in (TEMPLATE, COPY))
-    sizes, copy_sizes = (own.where(F.col("paths").bitwiseAND(F.lit(p)) > 0).groupBy("item_row").agg(F.count_distinct("item_at").alias("n_windows")) for p in (TEMPLATE, COPY))
-    enough = F.least(F.lit(ENOUGH), F.ceil(F.col("n_windows") * SHARE))
+    sizes, copy_sizes = (df.groupBy("item_row").agg(F.count_distinct("item_at").alias("n_windows")) for df in by_path)
+    enough = _needed(F.col("n_windows"))
     pair = ("row", "item_row", "id", "item")
     matched = hits.select(*pair, "item_at").distinct().groupBy(*pair).agg(F.count("*").alias("n_matched"))
     whole = checkpointed(matched.join(sizes, "item_row").where(F.col("n_matched") >= enough).join(_consistent(hits, *pair[:2]), [*pair[:2]]))
