@@ -349,6 +349,87 @@ def test_languages_held_out(spark):
     assert np.mean([r.rejected for r in got.values()]) < 0.03
 
 
+def brute_grams(text):
+    """4-grams of a text as tuples of character classes."""
+    classes, out = [], []
+    for c in (text or "").lower() + "\n":
+        k = 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 36
+        if k or (classes and classes[-1]):
+            classes.append(k)
+    for i in range(len(classes)):
+        out.append(tuple(([0, 0, 0] + classes)[i : i + 4]))
+    return out
+
+
+def brute_kneser_ney(texts):
+    """Probability of a 4-gram's last class, by the interpolated formula over dictionaries."""
+    orders = {4: Counter(g for t in texts for g in brute_grams(t))}
+    for k in (3, 2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+    totals = {k: Counter() for k in orders}
+    kinds = {k: Counter() for k in orders}
+    discount = {}
+    for k, counts in orders.items():
+        ones, twos = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
+        discount[k] = ones / (ones + 2 * twos) if ones else 0.5
+        for g, n in counts.items():
+            totals[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+
+    def p(g):
+        if not g:
+            return 1 / 64
+        k, context = len(g), g[:-1]
+        if not totals[k][context]:
+            return p(g[1:])
+        return max(orders[k][g] - discount[k], 0) / totals[k][context] + discount[k] * kinds[k][context] / totals[k][context] * p(g[1:])
+
+    return p
+
+
+def test_languages_match_brute_force(spark):
+    docs = [r for r in common.table(spark, SF, "documents").collect()]
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 for r in docs}
+    teaches = [r for r in docs if fold[r.doc_id] != 2 and r.lang is not None and r.text is not None]
+    langs = sorted({r.lang for r in teaches})
+    lonely = {x for x in langs if all(fold[r.doc_id] == 1 for r in teaches if r.lang == x)}
+    model = {x: brute_kneser_ney([r.text for r in teaches if r.lang == x and (fold[r.doc_id] != 1 or x in lonely)]) for x in langs}
+    rows = {}
+    for r in docs:
+        grams = brute_grams(r.text)
+        ce = sorted((-sum(np.log(model[x](g)) for g in grams) / len(grams), x) for x in langs) if grams else None
+        rows[r.doc_id] = (ce[0][1], ce[0][0], ce[1][0] - ce[0][0], len(grams)) if grams else ("und", 0.0, 0.0, 0)
+    known = [(r, *rows[r.doc_id]) for r in teaches if fold[r.doc_id] == 1 and rows[r.doc_id][3]]
+    level = lambda margin, n: int(np.floor(min(31.0, 4 * np.log2(1 + margin * n))))
+    tally = [(sum(level(m, n) == b for _, _, _, m, n in known), sum(level(m, n) == b and r.lang == x for r, x, _, m, n in known)) for b in range(32)]
+    rates = langid._rising(tally)
+    half = lambda values: sorted(values)[-(-len(values) // 2) - 1]
+    right = [(x, c, n) for r, x, c, _, n in known if r.lang == x]
+    usual = {x: half([c for y, c, _ in right if y == x]) for x in {y for y, _, _ in right}}
+    middle = half([n for *_, n in right])
+    spread = 1.4826 * half([abs(c - usual[x]) for x, c, n in right if n >= middle])
+    short = 1.4826 * half([abs(c - usual[x]) * n**0.5 for x, c, n in right])
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, SF).collect()}
+    for r in docs:
+        x, c, margin, n = rows[r.doc_id]
+        mine = got[r.doc_id]
+        assert mine.lang_pred == x or margin < 1e-5
+        assert abs(mine.score - (rates[level(margin, n)] if n else 0)) < 1e-9 or abs(4 * np.log2(1 + margin * n) % 1 - 0.5) > 0.499
+        limit = usual.get(x, half([c for _, c, _ in right])) + langid.REJECT_SD * (spread + short / max(n, 1) ** 0.5)
+        assert mine.rejected == (x == "und" or c > limit) or abs(c - limit) < 1e-4
+
+
+def test_rejection_at_every_length(spark):
+    """Texts of noise are rejected whatever their length, others are kept, with few rows of each length to calibrate on."""
+    rng = np.random.default_rng(9)
+    words = {"en": "the cat sat on that mat and then she ran over to them".split(), "de": "der hund und die katze sind nicht mehr da wo wir gehen".split()}
+    rows = [(k, " ".join(rng.choice(words[lang], 4 + k % 60)), lang) for k in range(300) for lang in [("en", "de")[k % 2]]]
+    noise = [(1000 + k, "".join(rng.choice(list("qxzjvwkpy "), 60 * 2**k)), None) for k in range(8)]
+    got = {r.doc_id: r for r in langid.identify_languages(spark.createDataFrame(rows + noise, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].rejected for i, *_ in noise)
+    assert sum(got[i].rejected for i, *_ in rows) <= 3 and np.mean([got[i].lang_pred == x for i, _, x in rows]) > 0.99
+
+
 def test_languages_on_odd_rows(spark):
     texts = [(i, "the cat sat on the mat and then it ran") for i in range(20)] + [(100 + i, "der hund und die katze sind nicht da") for i in range(20)] + [(200, None), (201, "123 !"), (202, ""), (None, "the cat")]
     df = odd_documents(spark, texts, ["en"] * 20 + ["de"] * 20 + ["en", "en", None, "en"])

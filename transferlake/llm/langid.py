@@ -2,7 +2,7 @@
 
 Texts become sequences of 64 character classes; a model is the table of all 4-grams of the training texts, held as
 arrays sorted by the 24-bit number of a 4-gram, with lower orders as continuation counts. The chosen language has the
-lowest cross-entropy per character; the score and the limit for rejection are calibrated on all training rows.
+lowest cross-entropy per character. A quarter of all rows, by a hash of the id, teach no counts: on them the score and the limit for rejection are calibrated.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ from .common import checkpointed, text_slices
 
 ORDER, BITS = 4, 6
 UNKNOWN = "und"
-#: Standard deviations above the training texts' cross-entropy at which a text is rejected, and the texts that such a figure needs.
-REJECT_SD, LEAST_TEXTS = 8.0, 30
+#: Remainders of crc32(id) mod FOLDS whose rows are held out and on which figures are calibrated; the others teach counts.
+FOLDS, HELD_OUT, CALIBRATES = 4, 2, 1
+#: Robust standard deviations above a language's usual cross-entropy at which a text is rejected.
+REJECT_SD = 8.0
+#: Standard deviation over the median absolute deviation of a normal distribution.
+MAD = 1.4826
 #: 4-grams that a task gathers before it hands them on.
 HELD = 1 << 20
 
@@ -161,10 +165,19 @@ class KneserNey:
 
 
 def fit_languages(training: DataFrame) -> KneserNey:
-    """Models of every language in (lang, text), from the 4-gram counts of all rows; rows with a null lang or text teach nothing."""
+    """Models of every language in (lang, text), from the 4-gram counts of all rows; rows with a null lang or text teach nothing.
+
+    The counts are made by Spark; the table of them, which every worker needs, comes to the driver in columns of 16 bytes a row, and has
+    at most 64 ** 4 rows a language.
+    """
     rows = training.select(F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null")
-    table = gram_counts(rows).toPandas()  # at most 64 ** 4 rows a language
-    return KneserNey({lang: (g.gram.to_numpy(), g.n.to_numpy()) for lang, g in table.groupby("lang")})
+    table = gram_counts(rows).toArrow()
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    lang = pa.chunked_array(lang).combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+    code, gram, n = (np.asarray(x) for x in (lang.indices, table.column("gram").combine_chunks(), table.column("n").combine_chunks()))
+    order = np.argsort(code, kind="stable")
+    bounds = np.searchsorted(code[order], np.arange(len(lang.dictionary) + 1))
+    return KneserNey({name: (gram[order[a:b]], n[order[a:b]]) for name, a, b in zip(lang.dictionary.to_pylist(), bounds[:-1], bounds[1:], strict=True)})
 
 
 def _scored(docs: DataFrame, model: KneserNey, id_column: str, text_column: str, carried: list[str]) -> DataFrame:
@@ -189,43 +202,60 @@ def _scored(docs: DataFrame, model: KneserNey, id_column: str, text_column: str,
 def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", carried: tuple[str, ...] = ()) -> DataFrame:
     """(id, held_out, lang_pred, score, rejected) and the ``carried`` columns for every row of docs.
 
-    Rows whose crc32(id as text) mod 4 is not 2 and whose lang and text are not null teach; the others are held out
-    (a null id is not held out and does not teach). lang_pred is the language of the lowest cross-entropy per character, the first by name
-    at a tie; ``und`` if the text is null or has no letter, or nothing was learned. score is how often training rows with
-    a margin like that (in characters' worth of evidence) are right, in bins over all training rows,
-    never falling as the margin grows; 0 for ``und``. rejected holds for ``und``, and for a cross-entropy REJECT_SD
-    deviations above the mean of training rows of that language and length.
+    Rows teach if crc32(id as text) mod 4 is not 2 and their id, lang and text are not null; rows where it is 2 are held out
+    (a null id is not held out and does not teach). Of the teaching rows those of remainder 1 teach no counts, unless their language
+    has no other: on them the figures are calibrated. lang_pred is the language of the lowest cross-entropy per character, the first by name
+    at a tie; ``und`` if the text is null or has no letter, or nothing was learned. score is how often calibrating rows with
+    a margin like that (in characters' worth of evidence) are right, in bins over all calibrating rows,
+    never falling as the margin grows; 0 for ``und``. rejected holds for ``und``, and for a cross-entropy beyond its language's limit (see ``reject_limits``).
 
     Repeated rows teach and answer each time; very long texts take time in proportion; columns other than
     the three play no part; an empty table gives no rows.
     """
     own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"), *carried)
-    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
-    own = own.withColumn("held_out", held)
+    fold = F.crc32(F.col("id").cast("string")) % FOLDS
+    own = own.withColumn("held_out", F.coalesce(fold == HELD_OUT, F.lit(False)))
     teaches = ~F.col("held_out") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    model = fit_languages(own.where(teaches))
-    rows = checkpointed(_scored(own.withColumn("truth", F.when(teaches, F.col("lang"))), model, "id", "text", ["held_out", "truth", *carried]))
+    taught = own.where(teaches).select("lang", "text", (fold == CALIBRATES).alias("calibrates"))
+    lonely = taught.groupBy("lang").agg(F.min("calibrates").alias("lonely")).where("lonely").select("lang", "lonely")
+    model = fit_languages(taught.join(lonely, "lang", "left").where("not calibrates or lonely"))
+    rows = checkpointed(_scored(own.withColumn("truth", F.when(teaches & (fold == CALIBRATES), F.col("lang"))), model, "id", "text", ["held_out", "truth", *carried]))
 
     evidence = F.floor(F.least(F.lit(31.0), 4 * F.log2(1 + F.col("margin") * F.col("n")))).cast("int")
-    length = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")
-    rows = rows.withColumn("bin", evidence).withColumn("size", length)
-    taught = rows.where("truth is not null and n > 0")
-    bins = {r.bin: (r.n, r.hits) for r in taught.groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("pred")).alias("hits")).collect()}  # 32 at most
+    rows = rows.withColumn("bin", evidence)
+    known = rows.where("truth is not null and n > 0")
+    bins = {r.bin: (r.n, r.hits) for r in known.groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("pred")).alias("hits")).collect()}  # 32 at most
     score = F.lit(0.0)
     if bins:
         rates = _rising([(bins.get(b, (0, 0))[0], bins.get(b, (0, 0))[1]) for b in range(32)])
         score = F.element_at(F.array(*map(F.lit, rates)), F.col("bin") + 1)
-    limits = taught.where("truth = pred").groupBy("pred", "size").agg(F.count("*").alias("texts"), (F.avg("ce") + REJECT_SD * F.coalesce(F.stddev("ce"), F.lit(0.0))).alias("limit")).where(F.col("texts") >= LEAST_TEXTS).select("pred", "size", "limit")
-    return rows.join(F.broadcast(limits), ["pred", "size"], "left").select(  # one row a language and power of two
+    limits = reject_limits(known.where("truth = pred").select("pred", "n", "ce"))
+    beyond = F.col("ce") > F.coalesce("usual", "usual_of_all") + REJECT_SD * (F.col("spread") + F.col("short_spread") / F.sqrt(F.greatest("n", F.lit(1))))
+    return rows.join(limits, "pred", "left").select(
         F.col("id").alias(id_column),
         "held_out",
         F.col("pred").alias("lang_pred"),
         F.when(F.col("pred") == UNKNOWN, 0.0).otherwise(score).alias("score"),
-        ((F.col("pred") == UNKNOWN) | F.coalesce(F.col("ce") > F.col("limit"), F.lit(False))).alias("rejected"),
+        ((F.col("pred") == UNKNOWN) | F.coalesce(beyond, F.lit(False))).alias("rejected"),
         *carried,
     )
 
 
+def reject_limits(known: DataFrame) -> DataFrame:
+    """(pred, usual, usual_of_all, spread, short_spread): what is usual among calibrating rows (pred, n, ce) of a language.
+
+    usual is the language's median cross-entropy. Deviations from it are pooled over all languages: spread is the robust standard deviation of a
+    long text, from those with the median length or more, and short_spread that of sqrt(n) times the deviation, which shorter texts
+    add. So every language and length has a limit, and rows that carry a wrong label move it little.
+    """
+    half = lambda x: F.percentile_approx(x, 0.5, 10_000)
+    each = known.groupBy("pred").agg(half("ce").alias("usual"))
+    size = known.agg(half("n").alias("middle"))
+    apart = known.join(each, "pred").crossJoin(F.broadcast(size)).withColumn("apart", F.abs(F.col("ce") - F.col("usual")))  # one row
+    pooled = apart.agg((MAD * half(F.when(F.col("n") >= F.col("middle"), F.col("apart")))).alias("spread"), (MAD * half(F.col("apart") * F.sqrt("n"))).alias("short_spread"), half("ce").alias("usual_of_all"))
+    return each.crossJoin(F.broadcast(pooled))
+
+
 def _rising(bins: list[tuple[int, int]]) -> list[float]:
     """Shares of hits per bin, pooled with neighbours until they never fall; empty bins take the one before."""
     pools: list[list[float]] = []
