@@ -303,6 +303,64 @@ def test_toxic_stems_are_caught_and_clean_texts_kept(spark):
     assert toxicity.score_severity(odd.where("false"), toxicity.Severity()).count() == 0
 
 
+def brute_severity(text, model):
+    """Expected severity by the formula, from features that are counted one by one."""
+    words, before = [], None
+    for m in re.finditer(r"[^\W\d_]+|([^\w\s])\1*", text or ""):
+        words.append(m[0].lower())
+        if m[1] is None:
+            words += ["<capitals>"] * (len(m[0]) > 1 and m[0].isupper()) + ["<again>"] * (m[0].lower() == before)
+            before = m[0].lower()
+    score = 0.0
+    for name, weight in model.weights.items():
+        plain = name.rstrip("@")
+        if plain.endswith("*") and plain[0].isalpha():
+            n = sum(w.startswith(plain[:-1]) and len(w) > len(plain) - 1 for w in words)
+        else:
+            n = words.count(plain)
+        score += weight * (n > 1 and n * 200 >= len(words) if name.endswith("@") else n > 0)
+    return sum(1 / (1 + np.exp(t - score)) for t in model.thresholds)
+
+
+def test_severity_matches_brute_force(spark, documents):
+    model = queries.severity_model(spark, common.table(spark, SF, "documents"), SF)
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, SF).collect()}
+    assert got.keys() == documents.keys() and model.weights
+    for i, t in documents.items():
+        assert abs(got[i].expected_severity - brute_severity(t, model)) < 1e-9
+    words = toxicity.Severity({"scum": 2.0, "réeu*": 1.0, "!!": 0.5, "|@": -0.25, "<capitals>": 0.3, "<again>@": 0.7}, [1.0, 3.0])
+    texts = [(k, t) for k, t in enumerate(["SCUM scum !! réeux réeu", "| a | b", "x ! !! !!!", "to to TO to", "", None, "Réeuxment, réeux: " * 2_000])]
+    assert all(abs(r.expected_severity - brute_severity(dict(texts)[r.doc_id], words)) < 1e-9 for r in toxicity.score_severity(odd_documents(spark, texts), words).collect())
+
+
+def test_the_fit_is_the_optimum(spark):
+    rng = np.random.default_rng(4)
+    rows = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(500)]
+    grades = np.array([int(np.clip((0 in r) + (1 in r) * 2 - (2 in r) + rng.normal(), 0, 2)) for r in rows])
+    chosen, w, cuts = toxicity.select_features(rows, grades, [f"f{k}" for k in range(6)], 3)
+    assert {0, 1, 2} <= set(chosen) and w[chosen.index(2)] < 0 < w[chosen.index(0)] and (np.diff(cuts) > 0).all()
+    x = np.array([[f in r for f in chosen] for r in rows], float)
+
+    def cost(beta):
+        below = 1 / (1 + np.exp(np.concatenate([[-60], beta[len(w) :], [60]])[None] * -1 + (x @ beta[: len(w)])[:, None]))
+        return -np.log(np.diff(below, axis=1)[np.arange(len(rows)), grades]).sum() + 0.025 * (beta[: len(w)] ** 2).sum()
+
+    best = np.concatenate([w, cuts])
+    for k in range(len(best)):
+        for step in (0.05, -0.05):
+            assert cost(best + step * np.eye(len(best))[k]) > cost(best) - 1e-3
+
+
+def test_grades_are_apart_on_rows_that_were_not_fitted(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents").select("doc_id", "text"), common.table(spark, sf, "labels")
+    grades = labels.select("doc_id", toxicity.grade_of(labels["toxic"], labels["quality"]).alias("grade"))
+    model = toxicity.fit_severity(toxicity.sample_labelled(docs, grades.where("doc_id % 2 = 0")))
+    held = toxicity.score_severity(docs, model).join(grades.where("doc_id % 2 = 1"), "doc_id").groupBy("grade").agg({"expected_severity": "avg", "*": "count"}).collect()
+    mean = {r.grade: r["avg(expected_severity)"] for r in held}
+    assert mean[0] < 0.2 and 0.5 < mean[1] < 1.2 and mean[2] > 1.6
+
+
 # 5
 
 

@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from .common import checkpointed, text_slices
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 6_000
-#: A candidate feature occurs in this many sample texts and lies this many standard errors from no association.
-MIN_TEXTS, MIN_Z, MAX_CANDIDATES = 5, 5.0, 5_000
-#: A candidate becomes a feature if the model so far leaves it this many standard errors to explain; features of a model, at most.
-LEFT_Z, MAX_FEATURES = 3.0, 200
+#: A candidate feature occurs in this many sample texts and lies this many standard errors from no association with one of the thresholds.
+MIN_TEXTS, MIN_Z = 5, 5.0
+#: A candidate becomes a feature if the model so far leaves it this many standard errors to explain.
+LEFT_Z = 3.0
 #: A feature is dense in a text if it occurs twice or more, and once in this many words.
 DENSE = 200
 #: Lengths of the word beginnings that are features beside whole words: they stand for stems.
@@ -33,12 +34,25 @@ PREFIXES = range(3, 9)
 #: The grade from which a document is toxic, and the probability of it beyond which the document is rejected.
 TOXIC_GRADE, REJECT = 2, 0.5
 REMEMBERED_WORDS = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+WORD, SYMBOLS = re.compile(r"[^\W\d_]+"), re.compile(r"([^\w\s])\1*")
+#: What a word in capitals and a word that repeats the one before have as a feature.
+CAPITALS, AGAIN = "<capitals>", "<again>"
+
+
+def word_counts(text: str) -> Counter[str]:
+    """How often a text has each lower-cased word and each run of one symbol; CAPITALS and AGAIN count words that are so."""
+    cased = WORD.findall(text)
+    words = list(map(str.lower, cased))
+    counts = Counter(words)
+    counts.update(m[0] for m in SYMBOLS.finditer(text))
+    counts[CAPITALS] += sum(len(w) > 1 for w in filter(str.isupper, cased))
+    counts[AGAIN] += sum(map(eq, words, words[1:]))
+    return +counts
 
 
 def word_features(word: str) -> list[str]:
-    """The word, and its proper beginnings with a star."""
-    return [word, *(f"{word[:k]}*" for k in PREFIXES if k < len(word))]
+    """The word, and its proper beginnings with a star; a symbol's run and CAPITALS and AGAIN are themselves alone."""
+    return [word, *(f"{word[:k]}*" for k in PREFIXES if k < len(word))] if word[0].isalpha() else [word]
 
 
 def with_density(counts: dict[str, int], n_words: int) -> list[str]:
@@ -47,12 +61,12 @@ def with_density(counts: dict[str, int], n_words: int) -> list[str]:
 
 
 def text_features(text: str) -> list[str]:
-    words = WORD.findall(text.lower())
+    words = word_counts(text)
     counts: Counter[str] = Counter()
-    for word, n in Counter(words).items():
+    for word, n in words.items():
         for f in word_features(word):
             counts[f] += n
-    return with_density(counts, len(words))
+    return with_density(counts, words.total())
 
 
 class ActiveFeatures(dict):
@@ -89,9 +103,11 @@ class Severity:
         active, weights = ActiveFeatures(self.weights), self.weights
 
         def score(text: str) -> float:
-            words = WORD.findall(text.lower())
-            counts = Counter(f for fs in map(active.__getitem__, words) if fs for f in fs)
-            return sum(weights.get(f, 0.0) for f in sorted(with_density(counts, len(words)))) if counts else 0.0
+            words, counts = word_counts(text), Counter()
+            for word, n in words.items():
+                for f in active[word]:
+                    counts[f] += n
+            return sum(weights.get(f, 0.0) for f in sorted(with_density(counts, words.total()))) if counts else 0.0
 
         return score
 
@@ -134,34 +150,34 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, start: np.ndar
     return at[:p], at[p:]
 
 
-def select_features(rows: list[list[int]], grades: np.ndarray, names: list[str], n_grades: int, toxic: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+def residuals(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the slope of its log likelihood in its score, and the information on the score that the model expects of it."""
+    below = 1 / (1 + np.exp(-np.clip(np.concatenate([[-60.0], cuts, [60.0]]) - score[:, None], -60, 60)))
+    slopes = below[:, 1:] + below[:, :-1] - 1
+    return slopes[np.arange(len(grades)), grades], (np.diff(below, axis=1) * slopes**2).sum(axis=1)
+
+
+def select_features(rows: list[list[int]], grades: np.ndarray, names: list[str], n_grades: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(features, weights, thresholds) by forward selection.
 
-    Each round adds, of the features to which the model so far leaves LEFT_Z standard errors, the one with
-    the strongest association, the longest where some are alike, and fits again: one stem stands for the many words that begin with it.
+    Each round adds the feature that explains most of what the model so far leaves, over all thresholds and of either sign (a score test),
+    if that is LEFT_Z standard errors; of those alike the longest, and fits again: one stem stands for the many words that begin with it.
     """
     n_features = len(names)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.array([f for r in rows for f in r], np.int64)
-    times = np.bincount(feature, minlength=n_features)
-    rate = (grades >= toxic).mean()
-    strength = np.abs(np.bincount(feature, ((grades >= toxic) - rate)[owner], n_features)) / np.sqrt(np.maximum(times, 1) * rate * (1 - rate))
     size = np.array([len(f.rstrip("@")) for f in names])
     chosen: list[int] = []
-    place = np.full(n_features, -1)
     x = np.zeros((len(rows), 0))
     weights, cuts = fit_ordinal(x, grades, n_grades)
-    while len(chosen) < MAX_FEATURES:
-        score = x @ weights
-        hot = 1 / (1 + np.exp(np.clip(cuts[toxic - 1] - score, -60, 60)))
-        gradient = np.bincount(feature, ((grades >= toxic) - hot)[owner], n_features)
-        spread = np.bincount(feature, (hot * (1 - hot))[owner], n_features)
-        open_ = np.flatnonzero((place < 0) & (gradient / np.sqrt(spread + 0.5) >= LEFT_Z))
-        if not len(open_):
+    while n_features:
+        slope, information = residuals(x @ weights, cuts, grades)
+        z = np.abs(np.bincount(feature, slope[owner], n_features)) / np.sqrt(np.bincount(feature, information[owner], n_features) + 0.5)
+        z[chosen] = 0
+        if z.max() < LEFT_Z:
             break
-        alike = open_[strength[open_] >= 0.98 * strength[open_].max()]
-        best = int(alike[np.lexsort((alike, -strength[alike], -size[alike]))[0]])
-        place[best] = len(chosen)
+        alike = np.flatnonzero(z >= 0.98 * z.max())
+        best = int(alike[np.lexsort((alike, -z[alike], -size[alike]))[0]])
         chosen.append(best)
         column = np.zeros((len(rows), 1))
         column[owner[feature == best]] = 1
@@ -186,8 +202,8 @@ def fit_severity(labelled: DataFrame, id_column: str = "doc_id", text_column: st
     """Fit on at most ``sample_rows`` of the rows with a grade (0, 1, ...), chosen by a hash of id; rows with a null id
     are left out and null texts are empty ones.
 
-    Repeated texts count once, with their highest grade. What reaches the driver is bounded by the sample: at most MAX_CANDIDATES
-    features, and which of them each sampled text has.
+    Repeated texts count once, with their highest grade. What reaches the driver is bounded by the sample: the features that MIN_TEXTS of its
+    texts share and that lie MIN_Z from chance, and which of them each sampled text has.
     """
     rated = labelled.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), F.col(grade_column).cast("int").alias("grade")).where("grade >= 0")
     # The ids alone are ordered; texts are read for the sample only, whose size has a bound.
@@ -201,22 +217,25 @@ def fit_severity(labelled: DataFrame, id_column: str = "doc_id", text_column: st
 
     texts = chosen.groupBy(F.xxhash64("text").alias("key")).agg(F.max("grade").alias("grade"), F.first("text").alias("text"))
     sample = checkpointed(texts.mapInArrow(run, "key long, grade int, features array<string>"))
-    totals = sample.agg(F.count("*").alias("n"), F.count_if(F.col("grade") >= toxic_grade).alias("hot"), F.array_sort(F.collect_set("grade")).alias("seen")).first()
-    if not totals.n or not totals.hot or totals.hot == totals.n:
+    grades = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # one row a grade
+    n, hot = sum(grades.values()), sum(k for g, k in grades.items() if g >= toxic_grade)
+    if not hot or hot == n:
         return Severity()
-    rate = totals.hot / totals.n
+    seen = np.array(sorted(grades))
     each = sample.select("key", "grade", F.explode("features").alias("feature"))
-    counts = each.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("grade") >= toxic_grade).alias("hot"))
-    z = (F.col("hot") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    candidates = [r.feature for r in counts.where((F.col("n") >= MIN_TEXTS) & (z >= MIN_Z)).orderBy(z.desc(), "feature").limit(MAX_CANDIDATES).collect()]
+    counts = each.groupBy("feature").agg(F.count("*").alias("n"), *(F.count_if(F.col("grade") >= int(g)).alias(f"over{g}") for g in seen[1:]))
+    apart = []
+    for g in seen[1:]:
+        rate = sum(k for h, k in grades.items() if h >= g) / n
+        apart.append(F.abs(F.col(f"over{g}") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate))))
+    candidates = [r.feature for r in counts.where((F.col("n") >= MIN_TEXTS) & (F.greatest(*apart, F.lit(0.0)) >= MIN_Z)).select("feature").collect()]  # bounded by the sample
     names = sorted(candidates)
     index = {f: i for i, f in enumerate(names)}
     table = sample.sparkSession.createDataFrame(list(index.items()), "feature string, at int")
     has = each.join(F.broadcast(table), "feature").groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))
     rows = sample.select("key", "grade").join(has, "key", "left").orderBy("key").collect()
-    seen = np.array(totals.seen)
     rank = np.searchsorted(seen, [r.grade for r in rows])
-    features, weights, cuts = select_features([r.at or [] for r in rows], rank, names, len(seen), int(np.searchsorted(seen, toxic_grade)))
+    features, weights, cuts = select_features([r.at or [] for r in rows], rank, names, len(seen))
     thresholds = [float(cuts[max(0, np.searchsorted(seen, k) - 1)]) for k in range(1, int(seen[-1]) + 1)]
     return Severity({names[f]: float(w) for f, w in zip(features, weights, strict=True)}, thresholds, toxic_grade)
 
