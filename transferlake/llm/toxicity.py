@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 from operator import eq
 
 import numpy as np
@@ -104,9 +105,9 @@ class Severity:
 
         def score(text: str) -> float:
             words, counts = word_counts(text), Counter()
-            for word, n in words.items():
+            for word in compress(words, map(active.__getitem__, words)):
                 for f in active[word]:
-                    counts[f] += n
+                    counts[f] += words[word]
             return sum(weights.get(f, 0.0) for f in sorted(with_density(counts, words.total()))) if counts else 0.0
 
         return score
