@@ -28,8 +28,8 @@ WINDOW = 5
 LITERALS = 3
 #: An item is leaked by this share of its windows, or by this many.
 SHARE, ENOUGH = 0.8, 8
-#: Bits of the filter that documents' windows pass before the join, as powers of two: 64 a window of the benchmark, within these bounds (16 MB at most).
-FILTER_BITS = (20, 27)
+#: Bits of the filter that documents' windows pass before the join, as powers of two: 1,024 a window of the benchmark, within these bounds (32 MB at most).
+FILTER_BITS = (22, 28)
 REMEMBERED = 200_000
 #: Widths of the runs of diagonals (place in the document less place in the item) that are judged as one occurrence of an item.
 SPANS = (1, 4, 16, 64)
@@ -180,9 +180,9 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def _filter(items: DataFrame) -> tuple[int, np.ndarray]:
     """(b, bits): bits is a filter of 2 ** b bits in which those at the first b bits of the items' hashes are set."""
     low, high = FILTER_BITS
-    size = min(high, max(low, (64 * items.count()).bit_length()))
+    size = min(high, max(low, (1024 * items.count()).bit_length()))
     place = F.shiftrightunsigned("hash", 64 - size)
-    parts = items.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # 4 KB each, 4,096 at most
+    parts = items.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # 4 KB each, 8,192 at most
     bits = np.zeros((1 << size) // 8, np.uint8)
     for part, held in parts:
         bits[4096 * part : 4096 * (part + 1)] = np.frombuffer(held, np.uint8)
