@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
+#: Turn numbers of a dialogue that one row holds. Only longer dialogues go on in further rows.
+PART_TURNS = 4_096
+
+
+def escaped(text: Column) -> Column:
+    """The text with a backslash put in between ``<`` and ``|``, and one more where there are some, so that it holds no mark and the old text can be read from it."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def header_name(role: Column) -> Column:
+    """A role as it stands in a header: each of ``<``, ``|``, ``>`` and line ends in it is ``_``."""
+    return F.regexp_replace(role, r"[<|>\r\n]", "_")
 
 
 def rotate_perspectives(messages: DataFrame, shared_role: str = "system") -> DataFrame:
@@ -16,22 +28,22 @@ def rotate_perspectives(messages: DataFrame, shared_role: str = "system") -> Dat
     the assistant's, the others are those of users named after their roles, shared ones stay as they are, and messages
     without a role come from a user without a name. ``rendered`` is the message with its header and end mark;
     its characters from mask_start (inclusive) to mask_end (exclusive) are trained on: the text and end
-    mark of the perspective's own messages, and nothing, ``0, 0``, of others. The rows of a perspective in the order of
-    turn are its dialogue; none is assembled here, so a conversation of any length never meets in one
-    task: participants come from an aggregate that combines before its shuffle, and join back on conv_id.
+    mark of the perspective's own messages, and nothing, ``0, 0``, of others. Texts and names are escaped, so that none forges a
+    header or an end. The rows of a perspective in the order of turn are its dialogue (see ``dialogues``). No conversation meets in one
+    task here: participants come from an aggregate that combines before its shuffle, and join back on conv_id.
 
-    Null texts are empty ones. Null turns sort first and null conv_ids are one conversation. Repeated rows are
+    Null and empty texts are empty messages, very long ones are rendered whole. Null turns sort first and null conv_ids are one conversation. Repeated rows are
     each rendered; a conversation with only shared messages has no perspective and gives no rows, nor does an
     empty table. Columns other than conv_id, turn, role and text play no part.
     """
-    said = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = messages.select("conv_id", "turn", "role", escaped(F.coalesce("text", F.lit(""))).alias("text"))
     speakers = said.where(F.col("role").isNotNull() & (F.col("role") != shared_role)).select(F.col("conv_id").alias("speaker_conv"), F.col("role").alias("perspective")).distinct()
     rows = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("speaker_conv")))
     own = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
     shared = F.coalesce(F.col("role") == shared_role, F.lit(False))
     name = F.when(~own & ~shared, F.col("role"))
     chat_role = F.when(own, "assistant").when(shared, shared_role).otherwise("user")
-    header = F.concat(F.lit("<|"), chat_role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("|>\n"))
+    header = F.concat(F.lit("<|"), chat_role, F.coalesce(F.concat(F.lit(" name="), header_name(name)), F.lit("")), F.lit("|>\n"))
     rendered = F.concat(header, F.col("text"), F.lit(END))
     return rows.select(
         "conv_id",
@@ -45,15 +57,26 @@ def rotate_perspectives(messages: DataFrame, shared_role: str = "system") -> Dat
     )
 
 
-def dialogues(rotated: DataFrame, turns: int = 64) -> DataFrame:
-    """Rotated messages put together: (conv_id, perspective, part, rendered, masks) in the order of turn.
+def dialogues(rotated: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """Rotated messages put together: (conv_id, perspective, part, start, n_messages, rendered, masks).
 
-    A part holds the messages of ``turns`` consecutive turn numbers, so a group stays small however
-    long a conversation is; most conversations are one part. masks are the trained ranges in the part's characters.
+    A dialogue is the rendered messages of a perspective in the order of turn, those of one turn in the order of their text. It is one row,
+    part 0; only one of more than ``part_turns`` turn numbers goes on in parts 1, 2, ..., so that no task gathers a conversation of any length, and
+    nothing is left out: start is the place of the part's first character in the whole dialogue. Negative turns stand in parts below 0 and null turns in the first
+    part of all. masks are the trained ranges, in characters of the part.
     """
-    part = F.coalesce(F.floor(F.col("turn") / turns), F.lit(-1)).alias("part")
-    grouped = rotated.groupBy("conv_id", "perspective", part).agg(F.array_sort(F.collect_list(F.struct("turn", "rendered", "mask_start", "mask_end"))).alias("m"))
-    sizes = F.transform("m", lambda x: F.length(x["rendered"]).cast("long"))
-    begins = F.transform("m", lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b))
-    moved = F.zip_with("m", begins, lambda x, b: F.struct((x["mask_start"] + b).alias("start"), (x["mask_end"] + b).alias("end")))
-    return grouped.select("conv_id", "perspective", "part", F.array_join(F.transform("m", lambda x: x["rendered"]), "").alias("rendered"), F.filter(moved, lambda x: x["end"] > x["start"]).alias("masks"))
+    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-(2**62))).alias("part")
+    held = rotated.select("conv_id", "perspective", part, "turn", "rendered", "mask_start", "mask_end")
+    keys = ("conv_id", "perspective", "part")
+    order = ("turn", "rendered", "mask_start", "mask_end")
+    before = F.sum(F.length("rendered").cast("long")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = held.withColumn("at", F.coalesce(before, F.lit(0).cast("long")))
+    message = F.struct("at", "rendered", (F.col("mask_start") + F.col("at")).alias("start"), (F.col("mask_end") + F.col("at")).alias("end"))
+    parts = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(message)).alias("m"))
+    trained = F.transform(F.filter("m", lambda x: x["end"] > x["start"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    texts = parts.select(*keys, F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["rendered"]), "").alias("rendered"), trained.alias("masks"))
+    sizes = held.groupBy(*keys).agg(F.sum(F.length("rendered").cast("long")).alias("size"))  # numbers only
+    earlier = F.sum("size").over(Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*(F.col(k).alias(f"of_{k}") for k in keys), F.coalesce(earlier, F.lit(0).cast("long")).alias("start"))
+    same = F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & (F.col("perspective") == F.col("of_perspective")) & (F.col("part") == F.col("of_part"))
+    return texts.join(starts, same).select(*keys, "start", "n_messages", "rendered", "masks")

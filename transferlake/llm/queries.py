@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, licenses, packing, simhash, token_counts, toxicity, url_filter
 from .common import table
@@ -37,7 +38,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    """One row a dialogue; its masks as text, ``start-end`` after ``start-end``."""
+    spoken = chat.dialogues(chat.rotate_perspectives(table(spark, sf_dir, "conversations")))
+    return spoken.withColumn("masks", F.array_join(F.transform("masks", lambda x: F.concat_ws("-", x["start"], x["end"])), ","))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +103,7 @@ SELECT page_id, host, path, {_rule_case(0, "host", "path")} AS rule,
 FROM seen LEFT JOIN spread ON seen.url = spread.n
 """
 
-OP5_SQL = """
+OP5_SQL = r"""
 WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role IS NOT NULL AND role <> 'system'),
 rows AS (
@@ -108,11 +111,20 @@ rows AS (
     CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS chat_role,
     CASE WHEN coalesce(role <> perspective AND role <> 'system', false) THEN role END AS name
   FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
-headed AS (SELECT *, '<|' || chat_role || coalesce(' name=' || name, '') || '|>' || chr(10) AS header FROM rows)
-SELECT conv_id, perspective, turn, chat_role, name, header || text || '<|end|>' || chr(10) AS rendered,
-  CASE WHEN own THEN length(header) ELSE 0 END::BIGINT AS mask_start,
-  CASE WHEN own THEN length(header || text || '<|end|>' || chr(10)) ELSE 0 END::BIGINT AS mask_end
-FROM headed
+headed AS (SELECT *, '<|' || chat_role || coalesce(' name=' || regexp_replace(name, '[<|>\r\n]', '_', 'g'), '') || '|>' || chr(10) AS header FROM rows),
+spoken AS (
+  SELECT conv_id, perspective, coalesce(floor(turn / 4096)::BIGINT, -4611686018427387904) AS part, turn, own, length(header) AS skip,
+    header || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS rendered FROM headed),
+placed AS (
+  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, rendered, own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM spoken),
+parts AS (
+  SELECT conv_id, perspective, part, count(*) AS n_messages, sum(length(rendered)) AS size, string_agg(rendered, '' ORDER BY pos, rendered) AS rendered,
+    coalesce(string_agg((pos + skip) || '-' || (pos + length(rendered)), ',' ORDER BY pos) FILTER (WHERE own), '') AS masks
+  FROM placed GROUP BY ALL)
+SELECT conv_id, perspective, part, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  n_messages, rendered, masks
+FROM parts
 """
 
 
