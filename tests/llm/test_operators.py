@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -266,6 +267,32 @@ def test_url_verdicts_spread_over_aliases(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def test_relative_and_long_links_count_and_sql_agrees(spark, tmp_path):
+    link = "<link {} rel=canonical {} href={}>"
+    pages = [
+        (1, "http://a.com/de/x", None),
+        (2, "http://b.net/one/two", link.format("", "", "'//a.com/de/x'")),
+        (3, "http://b.net/c/d?q=1", link.format("data-x='" + "y" * 5_000 + "'", "", "../one/./two")),
+        (4, "http://c.net/c/d", link.format("", "data-y=" + "z" * 5_000, '"/e"')),
+        (5, "http://c.net/e", "<META HTTP-EQUIV=Refresh content='0;URL=http://www.c.net/f/../g?x=1&amp;y=2'>"),
+        (6, "http://c.net/g?y=2&x=1", link.format("", "", "?z=3")),
+        (7, "http://c.net/g?z=3", '<p>text</p><link rel="canonical" href="http://a.com/de/y"><link rel=icon href="http://d.org/">'),
+        (8, "http://d.net/", link.format("", "", "mailto:x@a.com") + link.format("", "", "")),
+        (9, "plain", link.format("", "", "/x")),
+        (10, "http://e.net", link.format("", "", "de")),
+        (11, "http://e.net/de", "<meta http-equiv='refresh' content='5; url=//a.com/de/z'>" * 2),
+        (12, None, link.format("", "", "http://a.com/de/x")),
+        (12, "http://f.net/a", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect())
+    assert {i for i, _, _, _, v in got if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 10, 11}
+    frame = df.toPandas()  # noqa: F841
+    connection = duckdb.connect()
+    connection.register("pages", frame)
+    assert Counter((i, h, p, None if r != r else r, v) for i, h, p, r, v in connection.execute(queries.OP3_SQL).fetchall()) == got
+
+
 # 4
 
 

@@ -82,15 +82,35 @@ def _rule_case(column: int, host: str, path: str) -> str:
 
 OP3_SQL = f"""
 WITH RECURSIVE seen AS (SELECT page_id, url, html, {_HOST} AS host, {_PATH} AS path FROM pages),
+tags AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\s[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+named AS (
+  SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?canonical\\b')
+    THEN regexp_replace(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*(?:"([^"]*)|''([^'']*)|([^\\s"''>]+))'), '(?is)^href\\s*=\\s*["'']?', '')
+    WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^\\s"''>]+)', 1) END), '&amp;', '&') AS link FROM tags),
+whole AS (
+  SELECT url, CASE WHEN regexp_matches(link, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '(?s)^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+    WHEN starts_with(link, '?') OR starts_with(link, '#') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || link
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || link END AS target
+  FROM named WHERE link <> ''),
+declared AS (
+  SELECT DISTINCT url, CASE WHEN regexp_matches(target, '(?s)^.*?://[^?#]*/\\.\\.?(?:[/?#]|$)') THEN
+      regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1)
+      || list_reduce(string_split(regexp_extract(target, '(?s)^.*?://[^/?#]*/?([^?#]*)', 1), '/'), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END, '')
+      || regexp_extract(target, '(?s)^.*?://[^?#]*(.*)$', 1) ELSE target END AS target
+  FROM whole WHERE contains(target, '://')),
+known AS (SELECT url FROM seen WHERE contains(url, '://') UNION SELECT target FROM declared),
 addr AS (
   SELECT DISTINCT url, 'https://' || regexp_replace(host, '^(www|m)\\.', '')
     || regexp_replace(regexp_replace(path, '/index\\.html?$', '/'), '/+$', '')
     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'),
          lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|ref|source|fbclid|gclid|session)='))), '&'), ''), '') AS canon
-  FROM seen WHERE contains(url, '://')),
+  FROM (SELECT url, {_HOST} AS host, {_PATH} AS path FROM known)),
 links AS (
   SELECT url AS a, canon AS b FROM addr
-  UNION SELECT canon, canon FROM addr),
+  UNION SELECT canon, canon FROM addr
+  UNION SELECT url, target FROM declared),
 nodes AS (SELECT a AS n FROM links UNION SELECT b FROM links),
 reach(n, m) AS (
   SELECT n, n FROM nodes

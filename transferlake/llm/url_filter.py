@@ -49,12 +49,40 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(F.lit("https://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
-def declared_links(html: Column) -> Column:
-    """Addresses that a page's html declares as itself: canonical links and immediate refreshes, absolute ones only."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]{0,2000}>"), F.lit(0))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\s\"'>]+)", 1))
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute: between quotes of either kind, or up to the next space."""
+    return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+))", 0)
+
+
+def resolved(link: Column, page: Column) -> Column:
+    """The absolute address of a link on a page; null for links to other schemes, such as mailto:, and on pages without ``://``.
+
+    ``//host/path`` takes the page's scheme, ``/path`` its host too, ``?query`` its path too, anything else its folder; ``.`` and ``..`` in
+    paths are followed.
+    """
+    site = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    whole = (
+        F.when(link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(~F.contains(page, F.lit("://")) | link.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(page, r"(?s)^(.*?:)//", 1), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, link))
+        .when(F.startswith(link, F.lit("?")) | F.startswith(link, F.lit("#")) | (link == ""), F.concat(site, path, link))
+        .otherwise(F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")), link))
+    )
+    segments = F.split(F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*/?([^?#]*)", 1), "/")
+    step = lambda held, x: F.when(x == "..", F.regexp_replace(held, r"/[^/]*$", "")).when(x == ".", held).otherwise(F.concat(held, F.lit("/"), x))
+    followed = F.concat(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), F.aggregate(segments, F.lit(""), step), F.regexp_extract(whole, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(whole.rlike(r"(?s)^.*?://[^?#]*/\.\.?(?:[/?#]|$)"), followed).otherwise(whole)
+
+
+def declared_links(html: Column, page: Column) -> Column:
+    """Addresses that a page's html declares as itself: canonical links and immediate refreshes, relative ones resolved against the page's own."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_replace(_attribute(t, "href"), r"(?is)^href\s*=\s*[\"']?", ""))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)", 1))
-    return F.filter(F.coalesce(F.concat(canonical, refresh), F.array().cast("array<string>")), lambda u: F.contains(u, F.lit("://")))
+    found = F.filter(F.transform(F.coalesce(F.concat(canonical, refresh), F.array().cast("array<string>")), lambda u: F.replace(F.trim(u), F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
+    return F.filter(F.transform(found, lambda u: resolved(u, page)), lambda u: F.contains(u, F.lit("://")))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -66,13 +94,14 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     blocked by a rule, unless a member is explicitly allowed, which takes precedence. Without either it is
     allowed. Members include addresses that are only linked to.
 
-    Nodes are 64-bit hashes of addresses; component is the smallest. A null url, or one without ``://``, has empty
-    host and path, no rule and no aliases (component null) and is allowed. Null html declares nothing. Repeated rows each give a
+    Nodes are 128-bit hashes of addresses; component is the smallest. A null url, or one without ``://``, has empty
+    host and path, no rule and no aliases (component null) and is allowed. Null and empty html declares nothing, very long html is read whole. Rules as long as each other cannot
+    fit one address unless they are the same. Repeated rows each give a
     row; other columns play no part; an empty table gives no rows.
     """
-    node = F.xxhash64
+    node = lambda url: F.unhex(F.md5(url))
     seen = pages.select("page_id", "url", F.col("html"))
-    addresses = seen.where(F.contains("url", F.lit("://"))).select("url", F.explode(F.array_distinct(F.concat(F.array(canonical_url(F.col("url"))), declared_links(F.col("html"))))).alias("to"))
+    addresses = seen.where(F.contains("url", F.lit("://"))).select("url", F.explode(F.array_distinct(F.concat(F.array(canonical_url(F.col("url"))), declared_links(F.col("html"), F.col("url"))))).alias("to"))
     pairs = addresses.select(F.col("url").alias("a"), F.col("to").alias("b"))
     declared = pairs.select(F.col("b").alias("a"), canonical_url(F.col("b")).alias("b"))
     pairs = pairs.unionAll(declared)
@@ -89,4 +118,4 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
 
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     own = seen.select("page_id", host.alias("host"), path.alias("path"), matching_rule(host, path, rules).alias("own"), F.when(F.contains("url", F.lit("://")), node("url")).alias("node"))
-    return own.join(verdicts, "node", "left").select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "spread", F.lit("allow")).alias("verdict"), "component")
+    return own.join(verdicts, "node", "left").select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "spread", F.lit("allow")).alias("verdict"), F.lower(F.hex("component")).alias("component"))
