@@ -20,6 +20,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", folder)
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.checkpoint.dir", f"{folder}/checkpoint")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

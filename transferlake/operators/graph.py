@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+from ..sources.files import saved
 
 
 def closure(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(root, reached) for every pair joined by a path of edges(course, needs); cycles end, a root may reach itself.
 
-    Semi-naive: each round extends only the pairs that the last one found.
+    Semi-naive: each round extends only the pairs that the last one found. A round writes those alone; the result is their union.
     """
-    e = _saved(edges.select("course", "needs").distinct())
-    seen = frontier = _saved(e.select(F.col("course").alias("root"), F.col("needs").alias("reached")))
+    e = saved(edges.select("course", "needs").distinct())
+    seen = frontier = saved(e.select(F.col("course").alias("root"), F.col("needs").alias("reached")))
     for _ in range(max_rounds):
         step = frontier.join(e, frontier.reached == e.course).select("root", F.col("needs").alias("reached")).distinct()
-        frontier = _saved(step.join(seen, ["root", "reached"], "left_anti"))
+        frontier = saved(step.join(seen, ["root", "reached"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _saved(seen.unionAll(frontier))
+        seen = seen.unionAll(frontier)
     raise RuntimeError(f"paths longer than {max_rounds}")
 
 
@@ -36,15 +29,15 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFra
 
     Each round takes the nodes all of whose needs are placed.
     """
-    e = _saved(edges.select("course", "needs").distinct())
-    left = _saved(nodes.select("course").distinct())
+    e = saved(edges.select("course", "needs").distinct())
+    left = saved(nodes.select("course").distinct())
     done = None
     for level in range(max_rounds):
         waiting = e.join(left.select(F.col("course").alias("needs")), "needs", "left_semi").select("course").distinct()
-        ready = _saved(left.join(waiting, "course", "left_anti").select("course", F.lit(level).alias("level")))
+        ready = saved(left.join(waiting, "course", "left_anti").select("course", F.lit(level).alias("level")))
         if ready.isEmpty():
             stuck = left.select("course", F.lit(None).cast("int").alias("level"))
             return stuck if done is None else done.unionAll(stuck)
-        done = ready if done is None else _saved(done.unionAll(ready))
-        left = _saved(left.join(ready, "course", "left_anti"))
+        done = ready if done is None else saved(done.unionAll(ready))
+        left = saved(left.join(ready, "course", "left_anti"))
     raise RuntimeError(f"more than {max_rounds} levels")

@@ -9,9 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one is set, but only if driver and executors are one process; on a cluster that is an error,
+    since executors could not read it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-shared-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder: lineage ends there, and lost executors cost no more than what follows."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared checkpoint folder; in a temporary one only where that is unset, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-files-')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
