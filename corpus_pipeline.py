@@ -1,12 +1,12 @@
 """A corpus pipeline: five of the operators in a row, each stage written and read again.
 
 A stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
-columns of documents. Each row is judged by itself, whatever its doc_id: rows that share one, or have none, stay or go apart.
+columns of documents; other columns of docs, whatever their names, are left out. Each row is judged by itself, whatever its doc_id: rows
+that share one, or have none, stay or go apart. Every stage reads whole texts, takes nulls in any column, and gives no rows for an empty table.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -20,6 +20,7 @@ from transferlake.llm.packing import pack_documents
 from transferlake.llm.queries import VOCABULARY, severity_model
 from transferlake.llm.simhash import near_duplicates
 from transferlake.llm.toxicity import drop_toxic
+from transferlake.sources.files import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,19 +31,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification does not reject."""
+    """Documents that language identification does not reject.
+
+    It is learned from docs alone. Null and empty texts, and those without a letter, go; a null lang, source, n_chars or doc_id is no reason to. Repeated
+    rows all stay or all go; a text of any length is judged as a whole.
+    """
     keyed = _keyed(docs)
     gone = identify_languages(keyed, carried=("row_key",)).where("rejected").select("row_key")
     return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model, fitted on labels, does not reject."""
+    """Documents that the severity model, fitted on those of docs that have labels, does not reject.
+
+    Without toxic and other labelled documents there is no model and all stay. Null and empty texts have no words and stay, unless most labelled documents
+    are toxic. Repeated rows all stay or all go; rows with a null doc_id teach nothing and are judged.
+    """
     return drop_toxic(docs.select(*COLUMNS), severity_model(spark, docs, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest id, one without an id only if there is no other."""
+    """One row of each group of near duplicates: that with the smallest id, one without an id only if there is no other.
+
+    Null texts, empty ones and those of white space are one group. Of rows that are alike in id and text one stays.
+    """
     keyed = _keyed(docs)
     groups = near_duplicates(keyed, id_column="row_key").join(keyed.select("row_key", "doc_id"), "row_key")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"))
@@ -50,14 +62,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item.
+
+    Null and empty texts leak nothing and stay; repeated rows all stay or all go; an empty benchmark takes none.
+    """
     keyed = _keyed(docs)
     gone = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_column="row_key").select("row_key").distinct()
     return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 1024 tokens."""
+    """Pieces of the remaining documents in sequences of at most 1024 tokens.
+
+    Null and empty texts are one token each, long texts go on over many sequences, repeated rows are packed each and rows with a null doc_id too.
+    """
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
@@ -74,10 +92,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written as Parquet and read as the next one's docs."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
+
 #: Characters of text that one slice of a batch may hold before it is handed on.
 SLICE_CHARS = 1_000_000
 
@@ -18,16 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared checkpoint folder.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The rows of df, written once to the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+    return saved(df)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:

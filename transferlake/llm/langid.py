@@ -26,6 +26,8 @@ FOLDS, HELD_OUT, CALIBRATES = 4, 2, 1
 REJECT_SD = 8.0
 #: Standard deviation over the median absolute deviation of a normal distribution.
 MAD = 1.4826
+#: Least standard deviations of a long text's cross-entropy and of what a short one adds, however alike the texts are that calibrate.
+LEAST_SPREAD, LEAST_SHORT = 0.03, 0.75
 #: 4-grams that a task gathers before it hands them on.
 HELD = 1 << 20
 
@@ -246,13 +248,17 @@ def reject_limits(known: DataFrame) -> DataFrame:
 
     usual is the language's median cross-entropy. Deviations from it are pooled over all languages: spread is the robust standard deviation of a
     long text, from those with the median length or more, and short_spread that of sqrt(n) times the deviation, which shorter texts
-    add. So every language and length has a limit, and rows that carry a wrong label move it little.
+    add, neither less than LEAST_SPREAD and LEAST_SHORT. So every language and length has a limit, and rows that carry a wrong label move it little.
+    Copies, which have equal figures, count once, so that a group of them does not make its own text the only usual one.
     """
+    known = known.distinct()
     half = lambda x: F.percentile_approx(x, 0.5, 10_000)
     each = known.groupBy("pred").agg(half("ce").alias("usual"))
     size = known.agg(half("n").alias("middle"))
     apart = known.join(each, "pred").crossJoin(F.broadcast(size)).withColumn("apart", F.abs(F.col("ce") - F.col("usual")))  # one row
-    pooled = apart.agg((MAD * half(F.when(F.col("n") >= F.col("middle"), F.col("apart")))).alias("spread"), (MAD * half(F.col("apart") * F.sqrt("n"))).alias("short_spread"), half("ce").alias("usual_of_all"))
+    least = lambda x, floor: F.greatest(MAD * half(x), F.lit(floor))
+    spread, short = least(F.when(F.col("n") >= F.col("middle"), F.col("apart")), LEAST_SPREAD), least(F.col("apart") * F.sqrt("n"), LEAST_SHORT)
+    pooled = apart.agg(spread.alias("spread"), short.alias("short_spread"), half("ce").alias("usual_of_all"))
     return each.crossJoin(F.broadcast(pooled))
 
 

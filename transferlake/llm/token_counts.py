@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,6 +107,12 @@ def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     return [p for p in pieces if p[:1] == b" "], [p for p in pieces if p[:1] != b" "]
 
 
+@lru_cache(maxsize=1)
+def _word_lengths(path: str) -> WordLengths:
+    """One for each worker process, which takes many tasks."""
+    return WordLengths(LongestMatch(*byte_level_pieces(path)), b" ")
+
+
 def token_counts(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, n_words, n_tokens) for every row of docs, in one pass and without a shuffle.
 
@@ -117,7 +124,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
     kind = docs.schema[id_column].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = WordLengths(LongestMatch(*byte_level_pieces(vocabulary_path)), b" ")
+        lengths = _word_lengths(vocabulary_path)
         for batch in batches:
             sizes, words, tokens = [], [], []
             for _, texts in text_slices(batch, "text"):
