@@ -220,7 +220,7 @@ def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column:
     teaches = ~F.col("held_out") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     taught = own.where(teaches).select("lang", "text", (fold == CALIBRATES).alias("calibrates"))
     lonely = taught.groupBy("lang").agg(F.min("calibrates").alias("lonely")).where("lonely").select("lang", "lonely")
-    model = fit_languages(taught.join(lonely, "lang", "left").where("not calibrates or lonely"))
+    model = fit_languages(taught.join(F.broadcast(lonely), "lang", "left").where("not calibrates or lonely"))
     rows = checkpointed(_scored(own.withColumn("truth", F.when(teaches & (fold == CALIBRATES), F.col("lang"))), model, "id", "text", ["held_out", "truth", *carried]))
 
     evidence = F.floor(F.least(F.lit(31.0), 4 * F.log2(1 + F.col("margin") * F.col("n")))).cast("int")
@@ -233,7 +233,7 @@ def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column:
         score = F.element_at(F.array(*map(F.lit, rates)), F.col("bin") + 1)
     limits = reject_limits(known.where("truth = pred").select("pred", "n", "ce"))
     beyond = F.col("ce") > F.coalesce("usual", "usual_of_all") + REJECT_SD * (F.col("spread") + F.col("short_spread") / F.sqrt(F.greatest("n", F.lit(1))))
-    return rows.join(limits, "pred", "left").select(
+    return rows.join(F.broadcast(limits), "pred", "left").select(  # one row a language of the model
         F.col("id").alias(id_column),
         "held_out",
         F.col("pred").alias("lang_pred"),
@@ -255,7 +255,7 @@ def reject_limits(known: DataFrame) -> DataFrame:
     half = lambda x: F.percentile_approx(x, 0.5, 10_000)
     each = known.groupBy("pred").agg(half("ce").alias("usual"))
     size = known.agg(half("n").alias("middle"))
-    apart = known.join(each, "pred").crossJoin(F.broadcast(size)).withColumn("apart", F.abs(F.col("ce") - F.col("usual")))  # one row
+    apart = known.join(F.broadcast(each), "pred").crossJoin(F.broadcast(size)).withColumn("apart", F.abs(F.col("ce") - F.col("usual")))  # one row
     least = lambda x, floor: F.greatest(MAD * half(x), F.lit(floor))
     spread, short = least(F.when(F.col("n") >= F.col("middle"), F.col("apart")), LEAST_SPREAD), least(F.col("apart") * F.sqrt("n"), LEAST_SHORT)
     pooled = apart.agg(spread.alias("spread"), short.alias("short_spread"), half("ce").alias("usual_of_all"))
