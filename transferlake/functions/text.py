@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IMPORTANT = ["gpa", "tag", "ap", "ib", "igetc", "units", "transfer", "major"]
-STOP_WORDS = ["this", "that", "with", "from", "have", "what", "when", "where", "which", "will", "your", "there", "their", "would", "could", "should", "about"]
+# Words that never count as keywords, and words that always do.
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with", "you", "your", "can", "do", "if"]
+IMPORTANT = ["transfer", "degree", "units", "gpa", "counselor", "smc", "transcript", "appointment", "associate", "certificate", "igetc", "csu", "uc", "financial", "visa", "f-1", "i-20", "international", "canvas", "online", "zoom", "synchronous", "asynchronous", "proctoring", "technical", "enrollment", "immigration", "sevis", "opt", "cpt", "work"]
+# Categories of questions by audience, in order, with the words of which one must occur; the last has none.
+CATEGORIES = {
+    "international": [
+        ("Visa and Immigration", ["visa", "f-1", "i-20", "sevis", "immigration", "passport"]),
+        ("Transfer for International Students", ["transfer", "university"]),
+        ("Enrollment Requirements", ["unit", "full-time", "enrollment", "drop", "withdraw"]),
+        ("Work Authorization", ["work", "employment", "cpt", "opt"]),
+        ("Health and Insurance", ["health", "insurance"]),
+        ("International Student Services", []),
+    ],
+    "student": [
+        ("Canvas and Account Access", ["canvas", "login", "access", "password", "account", "username"]),
+        ("Technical Requirements", ["technical", "computer", "browser", "internet", "software", "requirements"]),
+        ("Online Testing and Exams", ["exam", "test", "proctoring", "quiz", "assessment"]),
+        ("Class Format and Schedule", ["zoom", "meeting", "synchronous", "asynchronous", "schedule", "online class"]),
+        ("Student Support Services", ["help", "support", "tutoring", "assistance", "contact"]),
+        ("Enrollment and Registration", ["enroll", "add", "drop", "registration", "corsair connect"]),
+        ("Online Learning General", []),
+    ],
+}
 
 
 def html_text(html: Column, gap: str = " ") -> Column:
@@ -48,13 +71,23 @@ def pack_sentences(text: Column, most: int) -> Column:
 
 
 def keywords(text: Column, most: int = 15) -> Column:
-    """Distinct words in order that are important, or longer than three letters and no stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+    """Distinct words (letters a-z, digits and hyphens) in order that are important, or longer than three characters and no stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z0-9-]+)\b"), F.lit(1))
     kept = F.filter(words, lambda w: w.isin(IMPORTANT) | ((F.length(w) > 3) & ~w.isin(STOP_WORDS)))
     return F.slice(F.array_distinct(kept), 1, most)
 
 
-def rule_category(text: Column) -> Column:
-    """The first category whose words occur."""
-    low = F.lower(text)
-    return F.when(low.rlike("the and"), "general").when(low.rlike("tion"), "requirements").when(low.rlike("ing"), "process").otherwise("other")
+def has_any(text: Column, words: list[str]) -> Column:
+    """Whether one of the words occurs, as a part of another or not."""
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+
+
+def rule_category(question: Column, audience: Column) -> Column:
+    """The first category of the audience one of whose words occurs in the question; ``General`` for other audiences."""
+    low, chosen = F.lower(question), F.lit("General")
+    for who, rules in CATEGORIES.items():
+        own = F.lit(rules[-1][0])
+        for category, words in reversed(rules[:-1]):
+            own = F.when(has_any(low, words), category).otherwise(own)
+        chosen = F.when(audience == who, own).otherwise(chosen)
+    return chosen

@@ -37,10 +37,12 @@ def time_bucket(begins: Column) -> Column:
 
 
 def term_order(term: Column) -> Column:
-    """Year * 100 + first month of ``Fall 2024``, or of ``F2024`` with a season's first letters; null otherwise."""
-    season = F.regexp_extract(term, r"^(Winter|Spring|Summer|Fall)\s*(\d{4})$", 1)
-    month = F.create_map(*(x for k, v in SEASON_MONTH.items() for x in (F.lit(k), F.lit(v))))
-    return F.nullif(F.regexp_extract(term, r"(\d{4})$", 1), F.lit("")).cast("int") * 100 + month[F.nullif(season, F.lit(""))]
+    """Year * 100 + first month of ``F2024``, ``S2024``, ``Su2024``, ``W2024`` or ``Fall 2024``; null otherwise."""
+    whole = r"^\s*(Winter|Spring|Summer|Fall|Su|W|S|F)\s*(\d{4})\s*$"
+    letters = {"W": "Winter", "S": "Spring", "Su": "Summer", "F": "Fall"}
+    months = {**SEASON_MONTH, **{short: SEASON_MONTH[season] for short, season in letters.items()}}
+    month = F.create_map(*(x for k, v in months.items() for x in (F.lit(k), F.lit(v))))
+    return F.nullif(F.regexp_extract(term, whole, 2), F.lit("")).cast("int") * 100 + month[F.nullif(F.regexp_extract(term, whole, 1), F.lit(""))]
 
 
 def is_future_term(term: Column, year: int, month: int) -> Column:

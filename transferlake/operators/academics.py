@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Grade points: fixed values. Other grades do not count.
-POINTS = {"A": 4.0, "A-": 3.7, "B+": 3.3, "B": 3.0, "B-": 2.7, "C+": 2.3, "C": 2.0, "C-": 1.7, "D+": 1.3, "D": 1.0, "D-": 0.7, "F": 0.0}
+#: Grade points, with and without plus and minus: fixed values. Other grades do not count.
+POINTS = {"A+": 4.0, "A": 4.0, "A-": 3.7, "B+": 3.3, "B": 3.0, "B-": 2.7, "C+": 2.3, "C": 2.0, "C-": 1.7, "D+": 1.3, "D": 1.0, "D-": 0.7, "F": 0.0}
+SIMPLE_POINTS = {"A": 4.0, "B": 3.0, "C": 2.0, "D": 1.0, "F": 0.0}
 
 
-def grade_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(POINTS.items()), "grade string, points double")
+def grade_table(spark: SparkSession, simple: bool = False) -> DataFrame:
+    """(grade, points); on the simple scale a plus or minus changes nothing."""
+    points = {grade: SIMPLE_POINTS[grade[0]] if simple else value for grade, value in POINTS.items()}
+    return spark.createDataFrame(list(points.items()), "grade string, points double")
 
 
 def unit_totals(taken: DataFrame, courses: DataFrame) -> DataFrame:
@@ -19,13 +22,13 @@ def unit_totals(taken: DataFrame, courses: DataFrame) -> DataFrame:
     return rows.groupBy("student").agg(F.coalesce(F.sum("units"), F.lit(0)).cast("long").alias("units"), F.count("units").alias("courses"), F.count_if(F.col("units").isNull()).alias("unresolved"))
 
 
-def projected_gpa(taken: DataFrame, courses: DataFrame, prior: DataFrame) -> DataFrame:
+def projected_gpa(taken: DataFrame, courses: DataFrame, prior: DataFrame, simple: bool = False) -> DataFrame:
     """(student, graded_units, gpa): prior points and graded courses together, cut off at two decimals.
 
     prior(student, gpa, units). Grades without points and courses of zero units are left out; a student without
     any graded units keeps the prior gpa.
     """
-    graded = taken.join(F.broadcast(grade_table(taken.sparkSession)), "grade").join(courses.select("code", "units"), "code").where("units > 0")
+    graded = taken.join(F.broadcast(grade_table(taken.sparkSession, simple)), "grade").join(courses.select("code", "units"), "code").where("units > 0")
     sums = graded.groupBy("student").agg(F.sum(F.col("points") * F.col("units")).alias("p"), F.sum("units").alias("u"))
     rows = prior.join(sums, "student", "left")
     total = F.col("units") + F.coalesce("u", F.lit(0))

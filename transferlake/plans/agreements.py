@@ -23,10 +23,6 @@ def _majors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.option_courses(spark, sf_dir).where("option = 0").select((F.col("requirement") % 12).alias("major"), "code").distinct()
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"))
-
-
 # Facts about agreements
 
 
@@ -183,7 +179,7 @@ def series_units(spark, sf_dir):
 
 @query(
     BASE
-    + """, pts(grade, points) AS (VALUES ('A',4.0),('A-',3.7),('B+',3.3),('B',3.0),('B-',2.7),('C+',2.3),('C',2.0),('C-',1.7),('D',1.0),('F',0.0))
+    + """, pts(grade, points) AS (VALUES ('A+',4.0),('A',4.0),('A-',3.7),('B+',3.3),('B',3.0),('B-',2.7),('C+',2.3),('C',2.0),('C-',1.7),('D',1.0),('F',0.0))
 SELECT student, sum(units)::BIGINT AS units, CASE WHEN sum(units) FILTER (points IS NOT NULL) > 0 THEN floor(round(sum(points::DOUBLE * units) / sum(units) FILTER (points IS NOT NULL), 6) * 100 + 1e-9) / 100 ELSE 0.0::DOUBLE END AS gpa
 FROM taken JOIN course USING (code) LEFT JOIN pts USING (grade) GROUP BY 1"""
 )
@@ -281,9 +277,24 @@ def carry_prefix(spark, sf_dir):
     return matching.mentions(_asked(spark, sf_dir)).select("query", "code")
 
 
+ENDINGS = ["", " Is that one full path?", " Do they need honors courses?", " Any articulation at Foothill?", " Tell me more.", " Do both require it?", " An H version would do.", " See group 2."]
+
+
+def _intent_case() -> str:
+    """SQL of the rules: each is tried in its order on the lower-cased text."""
+    quote = lambda x: x.replace("'", "''")
+    whens = ["WHEN regexp_matches(low, 'group [0-9]') THEN 'group'"]
+    for kind, (t0, t1), (o0, o1), words, patterns, besides in matching.INTENTS:
+        some = [f"contains(low, '{quote(w)}')" for w in words] + [f"regexp_matches(low, '{quote(p)}')" for p in patterns]
+        more = [f"regexp_matches(low, '{quote(p)}')" for p in besides]
+        tests = [f"targets BETWEEN {t0} AND {t1}", f"own BETWEEN {o0} AND {o1}", *(["(" + " OR ".join(x) + ")" for x in (some, more) if x])]
+        whens.append(f"WHEN {' AND '.join(tests)} THEN '{kind}'")
+    return f"CASE {' '.join(whens)} ELSE 'unknown' END"
+
+
 @query(
-    f"""WITH {MENTIONED}, n AS (SELECT query, len(list_filter(list_distinct(l), lambda c: NOT starts_with(c, 'PROMO'))) AS targets, len(list_filter(list_distinct(l), lambda c: starts_with(c, 'PROMO'))) AS own FROM m)
-SELECT query, CASE query % 5 WHEN 0 THEN CASE WHEN targets >= 2 THEN 'unknown' ELSE 'equivalency' END WHEN 1 THEN CASE WHEN targets = 1 THEN 'lookup' ELSE 'equivalency' END WHEN 2 THEN CASE WHEN targets = 2 THEN 'comparison' ELSE 'equivalency' END WHEN 3 THEN 'honors' ELSE 'unknown' END AS intent FROM n"""
+    f"""WITH {MENTIONED}, n AS (SELECT m.query, lower(a.text || list_extract([{", ".join(f"'{e}'" for e in ENDINGS)}], m.query // 5 % 8 + 1)) AS low, len(list_filter(list_distinct(l), lambda c: NOT starts_with(c, 'PROMO'))) AS targets, len(list_filter(list_distinct(l), lambda c: starts_with(c, 'PROMO'))) AS own FROM m JOIN a ON m.query = a.p_partkey)
+SELECT query, {_intent_case()} AS intent FROM n"""
 )
 def intent_rules(spark, sf_dir):
     asked = _asked(spark, sf_dir)
@@ -291,7 +302,8 @@ def intent_rules(spark, sf_dir):
     is_own = lambda c: F.startswith(c, F.lit("PROMO"))
     count = lambda keep: F.coalesce(F.size(F.filter("codes", keep)), F.lit(0))
     rows = asked.join(found, "query", "left").select("query", "text", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
-    return rows.select("query", matching.intent(F.col("text"), count(lambda c: ~is_own(c)), count(is_own)).alias("intent"))
+    whole = F.concat("text", F.element_at(F.array(*map(F.lit, ENDINGS)), (F.floor(F.col("query") / 5) % 8 + 1).cast("int")))
+    return rows.select("query", matching.intent(whole, count(lambda c: ~is_own(c)), count(is_own), F.lower(whole).rlike("group [0-9]")).alias("intent"))
 
 
 @query(f"WITH {MENTIONED}, c AS (SELECT DISTINCT {CODE} AS code FROM part) SELECT query, code, (dense_rank() OVER (PARTITION BY query ORDER BY code))::INT AS sub_query FROM (SELECT DISTINCT query, unnest(l) AS code FROM m) SEMI JOIN c USING (code)")
@@ -335,11 +347,11 @@ def cell_articulation(spark, sf_dir):
     return S.read(spark, sf_dir, "orders").select("o_orderkey").join(per, "o_orderkey", "left").select("o_orderkey", F.coalesce("text", F.lit("No articulation")).alias("text"))
 
 
-@query("SELECT doc_id AS id, text, lang, 'documents' AS origin FROM documents UNION ALL SELECT item_id, text, NULL, 'benchmark' FROM benchmark UNION ALL SELECT conv_id * 1000 + turn, text, NULL, 'conversations' FROM conversations")
+@query("SELECT doc_id AS id, text, lang, 'documents' AS origin FROM documents UNION ALL SELECT item_id, text, NULL, 'benchmark' FROM benchmark UNION ALL SELECT conv_id, text, NULL, 'conversations' FROM conversations".replace("SELECT doc_id AS id,", "SELECT doc_id AS id, NULL::BIGINT AS turn,").replace("SELECT item_id,", "SELECT item_id, NULL,").replace("SELECT conv_id,", "SELECT conv_id, turn,"))
 def corpus_union(spark, sf_dir):
     docs = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", F.lit("documents").alias("origin"))
     items = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("benchmark").alias("origin"))
-    turns = S.read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.lit("conversations").alias("origin"))
+    turns = S.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("turn"), "text", F.lit("conversations").alias("origin"))
     return docs.unionByName(items, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
 
 

@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 
 COURSE = r"""course AS (SELECT p_type || ' ' || regexp_extract(p_brand, '([0-9]+)', 1) AS code, min(p_name) AS title, (1 + min(p_size) % 5)::INT AS units,
   regexp_extract(p_type || ' ' || regexp_extract(p_brand, '([0-9]+)', 1), '([0-9]+)$', 1)::INT AS number FROM part GROUP BY 1, 4)"""
-TAKEN = r"""taken AS (SELECT student, code, list_extract(['A','A-','B+','B','B-','C+','C','C-','D','F','P'], round(d * 100)::INT + 1) AS grade FROM (
+TAKEN = r"""taken AS (SELECT student, code, list_extract(['A+','A-','B+','B','B-','C+','C','C-','D','F','P'], round(d * 100)::INT + 1) AS grade FROM (
   SELECT o_custkey AS student, p_type || ' ' || regexp_extract(p_brand, '([0-9]+)', 1) AS code, arg_min(l_discount, l_orderkey * 10000 + l_linenumber * 100 + round(l_discount * 100)) AS d
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2))"""
 OPTION = """opt AS (SELECT r::INT AS requirement, o::INT AS option, k::INT AS slot, code FROM range(60) a(r), range(3) b(o), range(2) c(k)
@@ -170,7 +170,7 @@ def unit_breakdown(spark, sf_dir):
 
 @query(
     BASE
-    + """, pts(grade, points) AS (VALUES ('A',4.0),('A-',3.7),('B+',3.3),('B',3.0),('B-',2.7),('C+',2.3),('C',2.0),('C-',1.7),('D',1.0),('F',0.0)),
+    + """, pts(grade, points) AS (VALUES ('A+',4.0),('A',4.0),('A-',3.7),('B+',3.3),('B',3.0),('B-',2.7),('C+',2.3),('C',2.0),('C-',1.7),('D',1.0),('F',0.0)),
 s AS (SELECT student, sum(points::DOUBLE * units) AS p, sum(units) AS u FROM taken JOIN pts USING (grade) JOIN course USING (code) GROUP BY 1),
 pr AS (SELECT c_custkey AS student, (c_custkey % 41) / 10.0 AS gpa, (c_custkey % 60)::INT AS units FROM customer)
 SELECT student, coalesce(u, 0)::BIGINT AS graded_units, CASE WHEN u > 0 THEN floor(round((gpa::DOUBLE * units + p) / (units + u), 6) * 100 + 1e-9) / 100 ELSE gpa::DOUBLE END AS gpa FROM pr LEFT JOIN s USING (student)"""
@@ -291,25 +291,40 @@ def parse_time_range(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, (y * 100 + m)::INT AS term_order, y * 100 + m > 199606 AS future FROM (SELECT o_orderkey, year(o_orderdate) AS y, list_extract([12, 1, 6, 8], (o_orderkey % 4 + 1)::INT) AS m FROM orders)"""
+    """SELECT o_orderkey, (y * 100 + m)::INT AS term_order, y * 100 + m > 199606 AS future FROM (SELECT o_orderkey, year(o_orderdate) AS y, CASE WHEN month(o_orderdate) = 12 THEN 12 WHEN month(o_orderdate) < 6 THEN 1 WHEN month(o_orderdate) < 8 THEN 6 ELSE 8 END AS m FROM orders)"""
 )
 def term_status(spark, sf_dir):
-    season = F.element_at(F.array(*map(F.lit, times.SEASON_MONTH)), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    term = F.concat(season, F.lit(" "), F.year("o_orderdate").cast("string"))
+    month = F.month("o_orderdate")
+    season = F.when(month == 12, "W").when(month < 6, "S").when(month < 8, "Su").otherwise("F")
+    term = F.concat(season, F.year("o_orderdate").cast("string"))
     return S.read(spark, sf_dir, "orders").select("o_orderkey", times.term_order(term).alias("term_order"), times.is_future_term(term, 1996, 6).alias("future"))
 
 
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
 @query(
-    r"""SELECT doc_id, array_to_string(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 15), ' ') AS keywords FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '([a-z]+)', 1),
-  lambda x: x IN ('gpa','tag','ap','ib','igetc','units','transfer','major') OR (length(x) > 3 AND x NOT IN ('this','that','with','from','have','what','when','where','which','will','your','there','their','would','could','should','about'))) AS w FROM documents)"""
+    rf"""SELECT doc_id, array_to_string(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 15), ' ') AS keywords FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\b([a-z0-9-]+)\b', 1),
+  lambda x: x IN ({_quoted(text.IMPORTANT)}) OR (length(x) > 3 AND x NOT IN ({_quoted(text.STOP_WORDS)}))) AS w FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents))"""
 )
 def keywords(spark, sf_dir):
-    return S.read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
+    """Words of the texts' ASCII characters; where a word ends beside other letters is no matter of these rules."""
+    plain = F.regexp_replace("text", "[^ -~]", " ")
+    return S.read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(plain), " ").alias("keywords"))
+
 
+def _category_case() -> str:
+    parts = []
+    for who, rules in text.CATEGORIES.items():
+        whens = " ".join(f"WHEN {' OR '.join(f'contains(low, {_quoted([w])})' for w in words)} THEN '{category}'" for category, words in rules[:-1])
+        parts.append(f"WHEN '{who}' THEN CASE {whens} ELSE '{rules[-1][0]}' END")
+    return f"CASE audience {' '.join(parts)} ELSE 'General' END"
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'the and') THEN 'general' WHEN contains(lower(text), 'tion') THEN 'requirements' WHEN contains(lower(text), 'ing') THEN 'process' ELSE 'other' END AS category FROM documents")
+
+@query(f"SELECT doc_id, {_category_case()} AS category FROM (SELECT doc_id, lower(text) AS low, CASE lang WHEN 'en' THEN 'student' WHEN 'de' THEN 'international' ELSE 'other' END AS audience FROM documents)")
 def rule_category(spark, sf_dir):
-    return S.read(spark, sf_dir, "documents").select("doc_id", text.rule_category(F.col("text")).alias("category"))
+    audience = F.when(F.col("lang") == "en", "student").when(F.col("lang") == "de", "international").otherwise("other")
+    return S.read(spark, sf_dir, "documents").select("doc_id", text.rule_category(F.col("text"), audience).alias("category"))
 
 
 @query(
@@ -455,9 +470,15 @@ def completeness_counts(spark, sf_dir):
     return S.read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(t.isNull() | (F.trim(t) == "")).alias("empty"), F.count_if(F.col("n_chars") < 20).alias("short"), F.count_if(t.rlike("^[a-z]")).alias("lower_start"), F.count_if(~t.rlike(r"[.!?]\s*\z")).alias("open_end"))
 
 
-@query("SELECT text, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
+@query(
+    r"""SELECT p_type || ' ' || regexp_extract(p_brand, '([0-9]+)', 1) AS code, count(DISTINCT p_partkey // 50) AS files, count(DISTINCT p_name) AS titles, count(DISTINCT p_size) AS notes, min(p_name) AS first_title FROM part GROUP BY 1 HAVING files > 1 AND (titles > 1 OR notes > 1)"""
+)
 def title_conflicts(spark, sf_dir):
-    return S.read(spark, sf_dir, "documents").groupBy("text").agg(F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_doc")).where("sources > 1")
+    """Codes that several files have with other titles or notes."""
+    code = F.concat_ws(" ", "p_type", F.regexp_extract("p_brand", r"(\d+)", 1))
+    rows = S.read(spark, sf_dir, "part").select(code.alias("code"), F.floor(F.col("p_partkey") / 50).alias("file"), F.col("p_name").alias("title"), F.col("p_size").alias("note"))
+    per = rows.groupBy("code").agg(F.count_distinct("file").alias("files"), F.count_distinct("title").alias("titles"), F.count_distinct("note").alias("notes"), F.min("title").alias("first_title"))
+    return per.where("files > 1 and (titles > 1 or notes > 1)")
 
 
 @query("SELECT doc_id, 'unlabelled' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'unknown' FROM labels ANTI JOIN documents USING (doc_id)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Letter grades by hundredths of discount: fixed values.
-LETTERS = ["A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D", "F", "P"]
+LETTERS = ["A+", "A-", "B+", "B", "B-", "C+", "C", "C-", "D", "F", "P"]
 REQUIREMENTS, OPTIONS, SLOTS, CODES = 60, 3, 2, 150
 
 
