@@ -59,3 +59,17 @@ def read_labelled(spark: SparkSession, path: str, schema: str, required: list[st
     if lacking := [c for c in required if c not in found]:
         raise ValueError(f"columns missing: {', '.join(lacking)}")
     return spark.read.option("header", True).schema(schema).csv(path).dropDuplicates()
+
+
+def read_json_tree(spark: SparkSession, path: str, schema: str, name_column: str, skip: tuple[str, ...] = ("extra_refs",)) -> DataFrame:
+    """One record a file of all JSON files below a folder; unreadable files, and those whose name has one of ``skip`` in it, are left out.
+
+    A record without a name takes that of its file, without the ending.
+    """
+    held = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
+    named = held.withColumn("file_name", F.col("_metadata.file_name"))
+    kept = named.where(F.col("_corrupt_record").isNull())
+    for part in skip:
+        kept = kept.where(~F.contains("file_name", F.lit(part)))
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    return kept.withColumn(name_column, F.coalesce(F.nullif(F.trim(name_column), F.lit("")), stem)).drop("_corrupt_record", "file_name")
