@@ -58,16 +58,54 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
 
 
-def pack_sentences(text: Column, most: int) -> Column:
-    """Consecutive sentences joined by spaces while they fit into ``most`` characters; a longer one stands alone."""
-    start = F.array().cast("array<string>")
+def pack_sentences(text: Column, most: int, overlap: int = 0) -> Column:
+    """Consecutive sentences joined by spaces while they fit into ``most`` characters; a longer one stands alone.
 
-    def add(chunks: Column, s: Column) -> Column:
-        last = F.element_at(chunks, -1)
-        fits = F.length(last) + 1 + F.length(s) <= most
-        return F.when((F.size(chunks) > 0) & fits, F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(F.concat(last, F.lit(" "), s)))).otherwise(F.concat(chunks, F.array(s)))
+    With ``overlap`` 1 a chunk begins with the last sentence of the one before.
+    """
 
-    return F.aggregate(sentences(text), start, lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(add(acc, s)))
+    def add(held: Column, s: Column) -> Column:
+        fits = F.length(held["open"]) + 1 + F.length(s) <= most
+        joined = F.concat(held["open"], F.lit(" "), s)
+        begun = F.concat(held["last"], F.lit(" "), s) if overlap else s
+        kept = F.when(held["open"].isNull() | fits, held["done"]).otherwise(F.concat(held["done"], F.array(held["open"])))
+        return F.struct(kept.alias("done"), F.when(held["open"].isNull(), s).when(fits, joined).otherwise(begun).alias("open"), s.alias("last"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(None).cast("string").alias("last"))
+    return F.aggregate(sentences(text), start, add, lambda held: F.when(held["open"].isNull(), held["done"]).otherwise(F.concat(held["done"], F.array(held["open"]))))
+
+
+# Sentences that stand alone in a chunk.
+PRESERVE_PATTERNS = [r"(?i)MATH \d+[A-Z]?: .+? \(\d+\.\d+ units?\)", r"(?i)https?://[^\s]+", r"(?i)For more information.+?\.edu"]
+
+
+def pack_preserve(text: Column, most: int = 800, least: int = 150, patterns: list[str] | None = None) -> Column:
+    """Chunks of sentences of at most ``most`` characters, each with a space behind it; sentences of a pattern stand alone, and a chunk shorter than ``least`` takes in the next."""
+    alone = lambda s: reduce(Column.__or__, (s.rlike(p) for p in (patterns or PRESERVE_PATTERNS)))
+    closed = lambda held: F.when(held["open"].isNull(), held["done"]).otherwise(F.concat(held["done"], F.array(held["open"])))
+
+    def add(held: Column, s: Column) -> Column:
+        fits = held["open"].isNotNull() & (F.length(held["open"]) + F.length(s) + 2 <= most)
+        done = F.when(alone(s), F.concat(closed(held), F.array(s))).when(fits, held["done"]).otherwise(closed(held))
+        return F.struct(done.alias("done"), F.when(alone(s), F.lit(None).cast("string")).when(fits, F.concat(held["open"], F.lit(" "), s)).otherwise(s).alias("open"))
+
+    def merge(held: Column, chunk: Column) -> Column:
+        short = held["open"].isNotNull() & (F.length(held["open"]) < least)
+        return F.struct(F.when(short, held["done"]).otherwise(closed(held)).alias("done"), F.when(short, F.concat(held["open"], F.lit(" "), chunk)).otherwise(chunk).alias("open"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    return F.aggregate(F.aggregate(sentences(text), start, add, closed), start, merge, closed)
+
+
+def pack_lines(header: Column, lines: Column, most: int = 1_000) -> Column:
+    """Chunks of lines of at most ``most`` characters, each under the header; a longer line stands alone under it."""
+
+    def add(held: Column, line: Column) -> Column:
+        fits = F.length(held["open"]) + 1 + F.length(line) <= most
+        return F.struct(F.when(fits, held["done"]).otherwise(F.concat(held["done"], F.array(held["open"]))).alias("done"), F.concat(F.when(fits, held["open"]).otherwise(header), F.lit("\n"), line).alias("open"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), header.alias("open"))
+    return F.aggregate(lines, start, add, lambda held: F.concat(held["done"], F.array(held["open"])))
 
 
 def keywords(text: Column, most: int = 15) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def _joined(values: Column, between: str = ", ") -> Column:
     return F.array_join(F.transform(F.array_sort(values), lambda x: x.cast("string")), between)
@@ -120,10 +122,10 @@ def logic_dnf(groups: DataFrame, most: int = 1000) -> DataFrame:
     return small.unionAll(per.where(ways > most).select("requirement", F.lit(0), F.lit(None).cast("string"), F.lit(True)))
 
 
-def assign_ids(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """Rows with ``id``: the key, with -1, -2 .. behind it for its second and later rows in order."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return rows.withColumn("id", F.concat(F.col(key), F.when(place > 0, F.concat(F.lit("-"), place.cast("string"))).otherwise("")))
+def assign_ids(rows: DataFrame, key: str, bucket: Column, *order: str) -> DataFrame:
+    """Rows with ``id``: the key, with -1, -2 .. behind it for its second and later rows in order; bucket must not fall as the order rises."""
+    placed = numbered(rows, key, bucket, *order)
+    return placed.withColumn("id", F.concat(F.col(key), F.when(F.col("place") > 1, F.concat(F.lit("-"), (F.col("place") - 1).cast("string"))).otherwise(""))).drop("place", "size")
 
 
 def series_units(members: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def class_weights(rows: DataFrame) -> DataFrame:
     """(label, n, weight): 1 / sqrt(n), scaled so that the weights of all labels have mean 1."""
@@ -15,20 +17,38 @@ def class_weights(rows: DataFrame) -> DataFrame:
 
 def stratified_split(rows: DataFrame, ratio: float = 0.15) -> DataFrame:
     """Rows with ``part``: of each label the share ``ratio`` with the smallest md5 of id is validation."""
-    within = Window.partitionBy("label")
-    place = F.row_number().over(within.orderBy(F.md5(F.col("id").cast("string")), "id"))
-    size = F.count("*").over(within)
-    return rows.withColumn("part", F.when(place <= F.floor(size * ratio), "validation").otherwise("train"))
+    hashed = F.md5(F.col("id").cast("string"))
+    placed = numbered(rows, "label", F.substring(hashed, 1, 3), hashed, "id")
+    return placed.withColumn("part", F.when(F.col("place") <= F.floor(F.col("size") * ratio), "validation").otherwise("train")).drop("place", "size")
+
 
+def oversample(rows: DataFrame, factors: dict[str, int], least: int = 0) -> DataFrame:
+    """Each row as often as its label's factor says, with copy numbers from 0; labels with fewer than ``least`` rows then are topped up to it.
 
-def oversample(rows: DataFrame, factors: dict[str, int]) -> DataFrame:
-    """Each row as often as its label's factor says, with copy numbers from 0."""
+    The missing rows of a label are dealt over its rows in the order of id, as further copies.
+    """
     times = F.lit(1)
     for label, factor in factors.items():
         times = F.when(F.col("label") == label, factor).otherwise(times)
+    if least:
+        # Only labels below ``least`` are numbered, so a group is small.
+        small = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") * times < least)
+        place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+        few = rows.join(F.broadcast(small), "label").withColumn("place", place)
+        lacking = F.lit(least) - F.col("n") * times
+        extra = F.floor(lacking / F.col("n")) + (F.col("place") <= lacking % F.col("n")).cast("int")
+        topped = few.withColumn("copy", F.explode(F.sequence(F.lit(0), (times + extra - 1).cast("int")))).drop("n", "place")
+        rest = rows.join(F.broadcast(small), "label", "left_anti").withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
+        return rest.unionByName(topped)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
 
 
+def changed(text: Column, id_: Column, copy: Column) -> Column:
+    """The text of a row, lightly changed in its copies: by a hash of id and copy in lower case, without its last mark, or with its last character x."""
+    kind = F.pmod(F.xxhash64(id_, copy), F.lit(3))
+    return F.when(copy == 0, text).when(kind == 0, F.lower(text)).when(kind == 1, F.regexp_replace(text, r"[.!?]$", "")).otherwise(F.regexp_replace(text, r"(?s).$", "x"))
+
+
 def label_index(rows: DataFrame) -> DataFrame:
     """(label, idx) in alphabetical order: one row a label."""
     return rows.select("label").distinct().withColumn("idx", F.row_number().over(Window.orderBy("label")) - 1)

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
+
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
@@ -21,20 +31,24 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best of queries(query_id, text), ties to the smaller doc_id.
+def word_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score): Okapi scores of queries(query_id, text) for every document that has one of their terms.
 
     Only postings of terms that some query has are kept before anything is joined.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("mean"))
-    found = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    found = saved(postings(docs).join(asked.select("term").distinct(), "term", "left_semi"))  # written once, read for df and for scores
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(whole)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = found.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
+    return found.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best of queries(query_id, text), ties to the smaller doc_id."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return word_scores(docs, queries, k1, b).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,13 +56,115 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): exact k nearest by cosine, the query's own row left out.
+def excerpt(text: Column, most: int = 120) -> Column:
+    """The first characters of a text, with an ellipsis where more follow."""
+    return F.concat(F.rtrim(F.substring(text, 1, most)), F.when(F.length(text) > most, "…").otherwise(""))
+
+
+def _best_of_block(query_ids: np.ndarray, unit: np.ndarray, k: int, slice_rows: int):
+    """A function for mapInArrow that gives each query of the block the k best of every slice of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                part = part.filter(pc.equal(pc.list_value_length(part.column("embedding")), unit.shape[1])).sort_by("vec_id")
+                if not part.num_rows:
+                    continue
+                ids = part.column("vec_id").to_numpy()
+                rows = np.asarray(pc.list_flatten(part.column("embedding"))).astype(np.float64).reshape(len(ids), -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.round(unit @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 4)
+                score[np.isnan(score) | (query_ids[:, None] == ids)] = -np.inf
+                own = min(k, len(ids))
+                order = np.argsort(-score, axis=1, kind="stable")[:, :own] if own < len(ids) else np.tile(np.arange(len(ids)), (len(unit), 1))
+                best = np.take_along_axis(score, order, axis=1)
+                kept = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, own)[kept.ravel()]), pa.array(ids[order].ravel()[kept.ravel()]), pa.array(best.ravel()[kept.ravel()])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2_048, slice_rows: int = 1_024) -> DataFrame:
+    """(query_id, rank, vec_id, score): exact k nearest by cosine, the query's own row left out, ties to the smaller vec_id.
+
+    queries is a stated batch. It is taken in blocks of at most ``block`` rows, which is all that the driver and a task hold of it; for each block the rows are read
+    once and scored in slices by a matrix product, and k rows a query leave each slice.
+    """
+    found = None
+    asked = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").toLocalIterator()
+    while rows := list(islice(asked, block)):
+        for size in sorted({len(r.embedding) for r in rows}):
+            own = [r for r in rows if len(r.embedding) == size]
+            q = np.array([[np.nan if x is None else x for x in r.embedding] for r in own], np.float64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+            scored = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").mapInArrow(_best_of_block(np.array([r.vec_id for r in own]), unit, k, slice_rows), "query_id long, vec_id long, score double")
+            found = scored if found is None else found.unionAll(scored)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k candidates(query_id, doc_id) nearest by cosine; docs(doc_id, v), queries(query_id, q)."""
+    scored = candidates.select("query_id", "doc_id").join(queries, "query_id").join(docs, "doc_id").select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("v")), 4).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame, k: int = 10, candidates: int = 40) -> DataFrame:
+    """(query_id, rank, doc_id, score, excerpt): the best by words, put in order by vectors."""
+    by_words = bm25(docs, queries, candidates)
+    best = rerank(by_words, doc_vectors, query_vectors, k)
+    return best.join(docs.select("doc_id", excerpt(F.col("text")).alias("excerpt")), "doc_id").select("query_id", "rank", "doc_id", "score", "excerpt")
+
+
+def token_set(a: Column, b: Column) -> Column:
+    """Share of the smaller set of words that the other has too."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))), F.lit(1))
+
 
-    queries is a stated batch; every row is scored against it and only k rows a query leave each partition.
+def hybrid_events(docs: DataFrame, queries: DataFrame, near: DataFrame, likeness: float = 0.75, title_likeness: float = 0.9, k: int = 10) -> DataFrame:
+    """(query_id, rank, doc_id, tier): near(query_id, doc_id) are the candidates by vectors; docs(doc_id, title, text), queries(query_id, text).
+
+    Tier 1: candidates whose title is alike to the query; tier 2: those whose text is; tier 3, where neither is found: the k best by words. The first tier that a
+    query has is its answer, in the order of word scores. What is alike is told by shared words.
+    """
+    scores = word_scores(docs.select("doc_id", "text"), queries)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
+    by_words = scores.withColumn("rank", place).where(F.col("rank") <= k)
+    words = docs.select("doc_id", terms(F.col("title")).alias("in_title"), terms(F.col("text")).alias("in_text"))
+    asked = queries.select("query_id", terms(F.col("text")).alias("q"))
+    alike = near.join(asked, "query_id").join(words, "doc_id")
+    tiers = alike.select("query_id", "doc_id", F.when(token_set(F.col("q"), F.col("in_title")) >= title_likeness, 1).when(token_set(F.col("q"), F.col("in_text")) >= likeness, 2).alias("tier")).where("tier is not null")
+    found = tiers.join(scores.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").select("query_id", "doc_id", "tier", F.coalesce("score", F.lit(0.0)).alias("score"))
+    every = found.unionAll(by_words.select("query_id", "doc_id", F.lit(3).alias("tier"), "score"))
+    first = every.withColumn("first", F.min("tier").over(Window.partitionBy("query_id"))).where("tier = first")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
+    return first.select("query_id", rank.alias("rank"), "doc_id", "tier")
+
+
+def nearest_by_hashing(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 6, seed: int = 11) -> DataFrame:
+    """(query_id, rank, vec_id, score): k nearest by cosine among those that share a bucket of random projections with the query.
+
+    Unit vectors are dealt to ``tables`` sets of buckets, so recall is a matter of their number and width; ``nearest`` is the measure for it.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
+    unit = F.udf(_unit_vector, VectorUDT())
+    made = vectors.where("vec_id is not null and embedding is not null").select("vec_id", unit("embedding").alias("unit")).where("unit is not null")
+    asked = queries.where("vec_id is not null and embedding is not null").select("vec_id", unit("embedding").alias("unit")).where("unit is not null")
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.7, numHashTables=tables, seed=seed).fit(made)
+    pairs = model.approxSimilarityJoin(asked, made, 2.0, distCol="distance").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), "distance").where("query_id <> vec_id")
+    scored = pairs.select("query_id", "vec_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _unit_vector(values: list[float] | None):
+    """A unit vector; null for one that is null, zero or not finite."""
+    if not values or any(x is None for x in values):
+        return None
+    v = np.array(values, np.float64)
+    norm = np.linalg.norm(v)
+    return Vectors.dense(v / norm) if np.isfinite(norm) and norm > 0 else None

@@ -150,21 +150,20 @@ def compare_many(spark, sf_dir):
 
 @query(
     BASE
-    + """, ch AS (SELECT DISTINCT student, code FROM taken JOIN (SELECT code, number FROM course) USING (code) WHERE number % 9 = student % 9), se AS (SELECT DISTINCT requirement AS section, code FROM opt WHERE slot = 0 OR option = 1),
+    + """, ch AS (SELECT DISTINCT l_orderkey AS student, p_type || ' ' || regexp_extract(p_brand, '([0-9]+)', 1) AS code FROM lineitem JOIN part ON l_partkey = p_partkey), se AS (SELECT DISTINCT requirement AS section, code FROM opt WHERE slot = 0 OR option = 1),
 p AS (SELECT DISTINCT student, section FROM ch JOIN se USING (code)), m AS (SELECT student, list(code) AS own FROM ch GROUP BY 1), w AS (SELECT section, list(code) AS wanted FROM se GROUP BY 1),
 x AS (SELECT student, section, list_sort(list_filter(wanted, lambda c: NOT list_contains(own, c))) AS lacks, list_sort(list_filter(own, lambda c: NOT list_contains(wanted, c))) AS extra FROM p JOIN m USING (student) JOIN w USING (section))
 SELECT student, section, CASE WHEN len(lacks) = 0 AND len(extra) = 0 THEN 'exact' WHEN len(extra) = 0 THEN 'partial' ELSE 'over-complete' END AS kind, array_to_string(lacks, ', ') AS missing, array_to_string(extra, ', ') AS extra FROM x WHERE len(lacks) = 0 OR len(extra) = 0"""
 )
 def path_completion(spark, sf_dir):
-    number = F.regexp_extract("code", r"(\d+)$", 1).cast("int")
-    chosen = S.student_courses(spark, sf_dir).where(number % 9 == F.col("student") % 9).select("student", "code")
+    chosen = S.order_courses(spark, sf_dir)
     sections = S.option_courses(spark, sf_dir).where("slot = 0 or option = 1").select(F.col("requirement").alias("section"), "code").distinct()
     return agreements.path_completion(chosen, sections)
 
 
 @query(f"SELECT p_partkey, c || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS id FROM (SELECT p_partkey, {CODE} AS c, row_number() OVER (PARTITION BY {CODE} ORDER BY p_partkey) - 1 AS n FROM part)")
 def assign_ids(spark, sf_dir):
-    return agreements.assign_ids(S.read(spark, sf_dir, "part").select("p_partkey", _code().alias("code")), "code", "p_partkey").select("p_partkey", "id")
+    return agreements.assign_ids(S.read(spark, sf_dir, "part").select("p_partkey", _code().alias("code")), "code", F.floor(F.col("p_partkey") / 10_000), "p_partkey").select("p_partkey", "id")
 
 
 @query(

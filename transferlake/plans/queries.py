@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, text, times
 from ..operators import academics, graph, intervals, labels, lines, requirements, search
 from ..sources import stand_ins as S
+from ..sources.files import new_folder, saved
 from ..streaming import tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,8 +79,8 @@ SELECT b.student, b.requirement, b.option, b.percent, string_agg(DISTINCT o.code
 FROM best b JOIN opt o ON b.requirement = o.requirement AND b.option = o.option ANTI JOIN taken t ON t.student = b.student AND t.code = o.code GROUP BY ALL"""
 )
 def req_partial_best(spark, sf_dir):
-    taken, options = S.student_courses(spark, sf_dir), S.option_courses(spark, sf_dir)
-    return requirements.best_partial(requirements.option_progress(options, taken), options, taken)
+    taken, options = saved(S.student_courses(spark, sf_dir)), S.option_courses(spark, sf_dir)
+    return requirements.best_partial(saved(requirements.option_progress(options, taken)), options, taken)
 
 
 @query(
@@ -359,12 +359,6 @@ def json_unpack(spark, sf_dir):
     return S.read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query()
-def pack_sentences(spark, sf_dir):
-    chunks = S.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.pack_sentences(F.col("text"), 500)).alias("chunk_index", "chunk"))
-    return chunks.select("doc_id", "chunk_index", "chunk", F.length("chunk").alias("n"))
-
-
 @query("SELECT lang, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.5), 4)::DOUBLE AS median, round(stddev_pop(n_chars), 4) AS sd FROM documents GROUP BY 1")
 def length_stats(spark, sf_dir):
     return S.read(spark, sf_dir, "documents").groupBy("lang").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.percentile("n_chars", 0.5), 4).alias("median"), F.round(F.stddev_pop("n_chars"), 4).alias("sd"))
@@ -442,9 +436,12 @@ def stratified_split(spark, sf_dir):
     return labels.stratified_split(_labelled(spark, sf_dir))
 
 
-@query(f"WITH {LABELLED} SELECT id, label, unnest(range(CASE label WHEN '01' THEN 4 WHEN '11' THEN 2 ELSE 1 END))::INT AS copy FROM lab")
+@query(
+    f"""WITH {LABELLED}, f AS (SELECT *, CASE label WHEN '01' THEN 4 WHEN '11' THEN 2 ELSE 1 END AS times, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY id) AS place FROM lab),
+c AS (SELECT id, label, unnest(range(times + CASE WHEN n * times < 50 THEN (50 - n * times) // n + (place <= (50 - n * times) % n)::INT ELSE 0 END))::INT AS copy FROM f) SELECT id, label, copy FROM c"""
+)
 def oversample(spark, sf_dir):
-    return labels.oversample(_labelled(spark, sf_dir), {"01": 4, "11": 2})
+    return labels.oversample(_labelled(spark, sf_dir), {"01": 4, "11": 2}, 50)
 
 
 @query(f"WITH {LABELLED} SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS idx FROM (SELECT DISTINCT label FROM lab)")
@@ -502,26 +499,30 @@ def merge_results(spark, sf_dir):
     return tasks.finished_by_tool(_events(spark, S.read(spark, sf_dir, "events")))
 
 
-@query(FINISHED)
-def stream_coverage(spark, sf_dir):
-    """The same as a stream over the table's file, run until all that is there is read."""
-    name = f"stream_{uuid.uuid4().hex}"
+PLANNED = """WITH p AS (SELECT user_id AS plan, count(DISTINCT event_type) AS planned FROM events GROUP BY 1), d AS (SELECT user_id AS plan, count(DISTINCT event_type) AS done FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+SELECT plan, planned, coalesce(done, 0) AS done, round(coalesce(done, 0) / planned, 4) AS coverage, round(coalesce(done, 0) / planned, 4) < 0.6 AS needs_more FROM p LEFT JOIN d USING (plan)"""
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(S.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    counts = tasks.finished_by_tool(_events(spark, source.withColumn("ts", F.col("ts").cast("timestamp"))))
-    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return _events(spark, source.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query(PLANNED)
+def stream_coverage(spark, sf_dir):
+    """Coverage from a stream over the table's file, run until all that is there is read."""
+    events = S.read(spark, sf_dir, "events")
+    finished = tasks.latest(tasks.run_updates(tasks.finished_by_tool(_stream(spark, sf_dir)), new_folder(spark, "coverage")), "plan", "tool")
+    return tasks.plan_coverage(events.select(F.col("user_id").alias("plan"), F.col("event_type").alias("tool")), finished)
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, CASE WHEN event_id % 2 = 0 THEN 'finished' ELSE 'started' END AS state, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
-    return tasks.windowed_counts(_events(spark, S.read(spark, sf_dir, "events")))
+    """Windows of a stream over the table's file; what the watermark has not closed is given as it stands."""
+    return tasks.latest(tasks.run_updates(tasks.windowed_counts(_stream(spark, sf_dir)), new_folder(spark, "windows")), "window_start", "state")
 
 
-@query(
-    """WITH p AS (SELECT user_id AS plan, count(DISTINCT event_type) AS planned FROM events GROUP BY 1), d AS (SELECT user_id AS plan, count(DISTINCT event_type) AS done FROM events WHERE event_id % 2 = 0 GROUP BY 1)
-SELECT plan, planned, coalesce(done, 0) AS done, round(coalesce(done, 0) / planned, 4) AS coverage, round(coalesce(done, 0) / planned, 4) < 0.6 AS needs_more FROM p LEFT JOIN d USING (plan)"""
-)
+@query(PLANNED)
 def plan_coverage(spark, sf_dir):
     e = _events(spark, S.read(spark, sf_dir, "events"))
     return tasks.plan_coverage(e.select("plan", "tool"), e.where("state = 'finished'").select("plan", "tool"))

@@ -35,6 +35,13 @@ def student_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("student", "code", F.element_at(F.array(*map(F.lit, LETTERS)), F.round(F.col("d") * 100).cast("int") + 1).alias("grade"))
 
 
+def order_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(student, code): the courses of each order, a student's plan for one term."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("student"), "l_partkey")
+    part = read(spark, sf_dir, "part").select("p_partkey", _code().alias("code"))
+    return lines.join(part, lines.l_partkey == part.p_partkey).select("student", "code").distinct()
+
+
 def option_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(requirement, option, slot, code): each requirement has three options of two courses."""
     place = F.row_number().over(Window.orderBy("code")) - 1  # at most CODES rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def finished_by_tool(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -29,3 +30,26 @@ def plan_coverage(planned: DataFrame, finished: DataFrame, threshold: float = 0.
     d = finished.groupBy("plan").agg(F.count_distinct("tool").alias("done"))
     coverage = F.round(F.coalesce("done", F.lit(0)) / F.col("planned"), 4)
     return p.join(d, "plan", "left").select("plan", "planned", F.coalesce("done", F.lit(0)).alias("done"), coverage.alias("coverage"), (coverage < threshold).alias("needs_more"))
+
+
+def run_updates(counts: DataFrame, folder: str) -> DataFrame:
+    """What a streaming aggregate changed in each batch, with the batch's number, run until all that is there is read.
+
+    Every batch is written below ``folder`` by its executors; a batch that runs again after a failure replaces its own rows.
+    """
+    spark, schema = counts.sparkSession, counts.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    run = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if run.lastProgress is None:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+
+
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last update of each key."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
