@@ -80,3 +80,73 @@ def test_split_and_report(spark):
     assert rows(labels.stratified_split(data, 0.2).groupBy("label", "part").count(), "label", "part", "count") == [("a", "train", 16), ("a", "validation", 4), ("b", "train", 8), ("b", "validation", 2)]
     judged = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "b")], "truth string, pred string")
     assert rows(labels.classification_report(judged), "label", "precision", "recall", "support") == [("a", 1.0, 0.5, 2), ("b", 0.0, 0.0, 0), ("c", 0.0, 0.0, 1)]
+
+
+def test_hyphens_at_line_ends_and_in_compounds(spark):
+    from transferlake.operators import catalogue
+
+    said = {"infor-\nmation": "infor-\nmation".replace("-\n", ""), "commu- nity": "community", "self- paced": "self- paced", "an- tic": "an- tic", "course- anywhere": "course- anywhere", "Long-\nTerm": "Long-\nTerm"}
+    got = spark.createDataFrame([(k,) for k in said], "t string").select("t", catalogue.without_breaks(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == said
+
+
+def test_agreement_trees_on_hand_made_json(spark):
+    import json
+
+    from transferlake.operators import trees
+
+    course = lambda p, n, units=4.0: {"prefix": p, "courseNumber": n, "courseTitle": f"{p} title", "units": units}
+    cell = lambda i, c: {"id": i, "type": "Course", "course": c}
+    assets = [
+        {"position": 9, "type": "RequirementGroup", "instruction": {"conjunction": "Or", "selectionType": "Select"}, "sections": [{"rows": [{"position": 0, "cells": [cell("c", course("BIO", "1"))]}]}, {"rows": [{"position": 0, "cells": [cell("d", course("CHEM", "2"))]}]}]},
+        {"position": 1, "type": "RequirementTitle", "content": "<p>Recommended&nbsp;</p> first"},
+        {"position": 2, "type": "RequirementGroup", "sections": [{"rows": [{"position": 0, "cells": [cell("a", course("MATH", "1A", None)), {"id": "s", "type": "Series", "series": {"conjunction": "And", "courses": [course("PHYS", "1"), course("PHYS", "2", None)]}}]}]}, {"rows": []}]},
+        {"position": 8, "type": "RequirementTitle", "content": "Then"},
+        {"type": "GeneralText", "content": "no position"},
+    ]
+    sends = lambda *options: {"items": [{"position": k, "items": [{"prefix": "S", "courseNumber": n} for n in o]} for k, o in enumerate(options)]}
+    arts = [{"templateCellId": "a", "articulation": sends(["1", "2"], ["3"])}, {"templateCellId": "a", "articulation": sends(["9"])}, {"templateCellId": "c", "articulation": {"items": [], "noArticulationReason": "None here"}}]
+    raw = spark.createDataFrame([(1, "x", json.dumps(assets), json.dumps(arts)), (2, "bad", "{not json", None)], "agreement int, name string, templateAssets string, articulations string")
+    flat = sorted((r.group_id, r.area, r.section, r.cell_id, r.sending_text) for r in trees.flatten(raw).collect())
+    assert flat == [(1, "Recommended first", "A", "a", "S 9"), (1, "Recommended first", "A", "s", "No Course Articulated"), (2, "Then", "A", "c", "None here"), (2, "Then", "B", "d", "No Course Articulated")]
+    rows = {r.uc_course_id: r for r in trees.requirements_of(trees.trees(raw)).collect()}
+    assert (rows["MATH 1A"].units, rows["MATH 1A"].units_estimated, rows["MATH 1A"].recommended) == (4.0, True, True)
+    assert (rows["PHYS 1 + PHYS 2"].units, rows["BIO 1"].group_logic_type, rows["BIO 1"].recommended) == (8.0, "choose_one_section", False)
+
+
+def test_terms_in_short_form(spark):
+    got = spark.createDataFrame([("F2017",), ("S2002",), ("Su2007",), ("W1999",), ("Fall 2020",), ("X2000",), ("",)], "t string").select("t", times.term_order(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == {"F2017": 201708, "S2002": 200201, "Su2007": 200706, "W1999": 199912, "Fall 2020": 202008, "X2000": None, "": None}
+
+
+def test_plus_grades_count_and_the_simple_scale(spark):
+    taken = spark.createDataFrame([(1, "A 1", "A+"), (1, "B 2", "C+")], "student int, code string, grade string")
+    courses = spark.createDataFrame([("A 1", 4), ("B 2", 3)], "code string, units int")
+    prior = spark.createDataFrame([(1, 0.0, 0)], "student int, gpa double, units int")
+    assert academics.projected_gpa(taken, courses, prior).first().gpa == 3.27 and academics.projected_gpa(taken, courses, prior, simple=True).first().gpa == 3.14
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    from datetime import datetime
+
+    from transferlake.streaming import tasks
+
+    at = lambda day, k: (k, datetime(2024, 1, day), 1, "t", "started")
+    schema = "event_id long, ts timestamp, plan long, tool string, state string"
+    for n, rows in enumerate([[at(1, 1), at(20, 2)], [at(20, 3)], [at(1, 4), at(20, 5)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        run = tasks.windowed_counts(stream).writeStream.outputMode("update").foreachBatch(lambda df, batch, n=n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/run={n}/batch={batch}")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    counts = spark.read.parquet(f"{tmp_path}/out").groupBy("window_start").agg(F.max("n").alias("n")).collect()
+    assert {r.window_start.day: r.n for r in counts} == {1: 1, 20: 3}
+
+
+def test_nearest_by_hashing_has_recall(spark):
+    from transferlake.operators import search
+
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = vectors.where("vec_id % 50 = 0")
+    pairs = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    exact = pairs(search.nearest(vectors, asked))
+    assert len(exact & pairs(search.nearest_by_hashing(vectors, asked))) / len(exact) >= 0.9
