@@ -52,3 +52,39 @@ def name_key(full_name: Column) -> Column:
     """Last word and first initial of a name, lower-cased."""
     words = F.split(F.trim(F.lower(full_name)), r"\s+")
     return F.concat(F.element_at(words, -1), F.lit("|"), F.substring(F.element_at(words, 1), 1, 1))
+
+
+def file_slug(name: Column) -> Column:
+    """A name as a file's: lower case, & as and, no hyphens, full stops or colons, underscores for spaces."""
+    low = F.replace(F.lower(name), F.lit("&"), F.lit("and"))
+    return F.replace(F.replace(F.trim(F.regexp_replace(low, "[.:-]", "")), F.lit("  "), F.lit(" ")), F.lit(" "), F.lit("_"))
+
+
+def bare_slug(name: Column) -> Column:
+    """A name without brackets and degree marks, with underscores for all else that is no letter or digit."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(name), r"\(.*?\)", ""), r"\b[bm]\.?[as]\.?\b", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def unit_range(said: Column) -> Column:
+    """Struct (least, most) of ``3 - 5 units`` or ``4``; nulls without a number."""
+    number = r"(\d+(?:\.\d+)?)"
+    least = F.nullif(F.regexp_extract(said, number, 1), F.lit("")).cast("double")
+    most = F.nullif(F.regexp_extract(said, rf"{number}\s*(?:-|to)\s*{number}", 2), F.lit("")).cast("double")
+    return F.struct(least.alias("least"), F.coalesce(most, least).alias("most"))
+
+
+def agreement_url(year: Column, institution: Column, agreement: Column, major: Column, site: str = "https://agreements.example.org/results") -> Column:
+    """The address of an agreement; its key is written as one parameter."""
+    key = F.concat_ws("/", year, institution, F.lit("to"), agreement, F.lit("Major"), major)
+    return F.concat(F.lit(f"{site}?year="), year, F.lit("&institution="), institution, F.lit("&agreement="), agreement, F.lit("&viewByKey="), F.url_encode(key))
+
+
+def url_part(url: Column, name: str) -> Column:
+    return F.url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit(name)))
+
+
+def url_major(url: Column) -> Column:
+    """The last part of an agreement's key, if that has six parts or more."""
+    parts = F.split(url_part(url, "viewByKey"), "/")
+    return F.when(F.size(parts) >= 6, F.element_at(parts, -1))

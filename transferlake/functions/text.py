@@ -44,6 +44,29 @@ def html_title(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
 
 
+def heading(html: Column) -> Column:
+    """The text of the first heading; null without one."""
+    inner = F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")
+    return F.nullif(F.trim(F.regexp_replace(inner, r"\s+", " ")), F.lit(""))
+
+
+def _visible(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", " ")
+
+
+def paragraphs(html: Column, most: int) -> Column:
+    """Texts of the first paragraphs that are not empty."""
+    found = F.regexp_extract_all(_visible(html), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    bare = F.transform(found, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", " "), r"\s+", " ")))
+    return F.slice(F.filter(bare, lambda p: p != ""), 1, most)
+
+
+def degrees(html: Column) -> Column:
+    """Degree marks in the visible text, each once, sorted."""
+    said = F.regexp_replace(_visible(html), "<[^>]*>", " ")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(said, F.lit(r"\b([BM]\.?[SA]\.?)(?:\s|$)"), F.lit(1))))
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*?\bhref="([^"]*)"'), F.lit(1))
 

@@ -41,3 +41,11 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFra
         done = ready if done is None else saved(done.unionAll(ready))
         left = saved(left.join(ready, "course", "left_anti"))
     raise RuntimeError(f"more than {max_rounds} levels")
+
+
+def issues(nodes: DataFrame) -> DataFrame:
+    """(plan, node, issue, detail) of nodes(plan, node, needs): ids that come several times, and dependencies that no node of the plan has."""
+    repeated = nodes.groupBy("plan", "node").agg(F.count("*").alias("times")).where("times > 1").select("plan", "node", F.lit("repeated id").alias("issue"), F.col("times").cast("string").alias("detail"))
+    known = nodes.select("plan", F.col("node").alias("needs")).distinct()
+    unknown = nodes.where("needs is not null").distinct().join(known, ["plan", "needs"], "left_anti")
+    return repeated.unionAll(unknown.select("plan", "node", F.lit("unknown dependency"), F.col("needs").cast("string")))

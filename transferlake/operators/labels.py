@@ -54,13 +54,25 @@ def label_index(rows: DataFrame) -> DataFrame:
     return rows.select("label").distinct().withColumn("idx", F.row_number().over(Window.orderBy("label")) - 1)
 
 
+def _tallies(judged: DataFrame) -> DataFrame:
+    long = judged.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("h")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), (F.col("truth") == F.col("pred")).cast("int").alias("h")))).alias("x")).select("x.*")
+    return long.groupBy("label").agg(F.sum("t").alias("support"), F.sum("p").alias("said"), F.sum("h").alias("hits"))
+
+
+def _f1() -> Column:
+    return F.coalesce(F.try_divide(2 * F.col("hits"), F.col("said") + F.col("support")), F.lit(0.0))
+
+
 def classification_report(judged: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) of judged(truth, pred); 0 where undefined."""
-    long = judged.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("h")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), (F.col("truth") == F.col("pred")).cast("int").alias("h")))).alias("x")).select("x.*")
-    s = long.groupBy("label").agg(F.sum("t").alias("support"), F.sum("p").alias("said"), F.sum("h").alias("hits"))
     precision, recall = (F.coalesce(F.try_divide(F.col("hits"), F.col(c)), F.lit(0.0)) for c in ("said", "support"))
-    f1 = F.coalesce(F.try_divide(2 * F.col("hits"), F.col("said") + F.col("support")), F.lit(0.0))
-    return s.select("label", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"), "support")
+    return _tallies(judged).select("label", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(_f1(), 4).alias("f1"), "support")
+
+
+def weighted_f1(judged: DataFrame) -> DataFrame:
+    """(weighted_f1, support): the mean f1 of the labels, each as often as it is true."""
+    s = _tallies(judged)
+    return s.agg(F.round(F.sum(_f1() * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"), F.sum("support").alias("support"))
 
 
 def softmax(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
