@@ -37,10 +37,10 @@ def alternative_paths(required: DataFrame) -> DataFrame:
 
 
 def course_mappings(options: DataFrame) -> DataFrame:
-    """(sending, status, kind, majors): equal mappings of several majors as one; options(major, option, code)."""
-    per = options.groupBy("major", "option").agg(F.collect_set("code").alias("c"))
-    per = per.select("major", _joined(F.col("c"), " AND ").alias("sending"), F.when(F.size("c") > 1, "AND").otherwise("single").alias("kind"))
-    return per.groupBy("sending", "kind").agg(_joined(F.collect_set("major")).alias("majors"), F.count_distinct("major").alias("n_majors"))
+    """(receiving, sending, status, kind, majors, n_majors): equal mappings of several majors as one; options(major, receiving, option, code, status)."""
+    per = options.groupBy("major", "receiving", "option", "status").agg(F.collect_set("code").alias("c"))
+    per = per.select("major", "receiving", "status", _joined(F.col("c"), " AND ").alias("sending"), F.when(F.size("c") > 1, "AND").otherwise("single").alias("kind"))
+    return per.groupBy("receiving", "sending", "status", "kind").agg(_joined(F.collect_set("major")).alias("majors"), F.count_distinct("major").alias("n_majors"))
 
 
 def requirement_stats(rows: DataFrame) -> DataFrame:
@@ -108,18 +108,20 @@ def compare_many(options: DataFrame, chosen: DataFrame) -> DataFrame:
     return per.select("comparison", "code", _joined(F.col("r"), ",").alias("requirements"), (F.size("r") == F.col("size")).alias("common"))
 
 
-def logic_dnf(groups: DataFrame, most: int = 1000) -> DataFrame:
-    """(requirement, option, courses, cut): one row per way to choose one alternative of each AND group.
+def logic_dnf(groups: DataFrame, block: int = 65_536) -> DataFrame:
+    """(requirement, option, courses): one row per way to choose one alternative of each AND group; groups(requirement, grp, alternative, code).
 
-    groups(requirement, grp, alternative, code). Requirements with over ``most`` ways get one row flagged ``cut`` instead.
+    Ways are numbered, the last group's alternatives fastest, and each is made from its number, so that however many a requirement has, no array holds them.
     """
     alternatives = groups.groupBy("requirement", "grp", "alternative").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     per_group = alternatives.groupBy("requirement", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("alternative", "codes"))), lambda x: x["codes"]).alias("ways"))
     per = per_group.groupBy("requirement").agg(F.transform(F.array_sort(F.collect_list(F.struct("grp", "ways"))), lambda x: x["ways"]).alias("g"))
-    ways = F.aggregate("g", F.lit(1.0), lambda n, w: n * F.size(w))
-    product = F.aggregate("g", F.array(F.array().cast("array<string>")), lambda acc, w: F.flatten(F.transform(acc, lambda a: F.transform(w, lambda b: F.array_union(a, b)))))
-    small = per.where(ways <= most).select("requirement", F.posexplode(product).alias("option", "c")).select("requirement", "option", F.array_join(F.array_sort("c"), " AND ").alias("courses"), F.lit(False).alias("cut"))
-    return small.unionAll(per.where(ways > most).select("requirement", F.lit(0), F.lit(None).cast("string"), F.lit(True)))
+    ways = per.withColumn("n", F.aggregate("g", F.lit(1).cast("long"), lambda n, w: n * F.size(w)))
+    blocks = ways.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    numbered = blocks.withColumn("option", F.explode(F.sequence("first", F.least(F.col("first") + block, F.col("n")) - 1)))
+    start = F.struct(F.col("option").alias("rest"), F.array().cast("array<string>").alias("codes"))
+    chosen = F.aggregate(F.reverse("g"), start, lambda held, w: F.struct(F.floor(held["rest"] / F.size(w)).cast("long").alias("rest"), F.array_union(held["codes"], F.get(w, (held["rest"] % F.size(w)).cast("int"))).alias("codes")), lambda held: held["codes"])
+    return numbered.select("requirement", F.col("option").cast("int").alias("option"), F.array_join(F.array_sort(chosen), " AND ").alias("courses"))
 
 
 def assign_ids(rows: DataFrame, key: str, bucket: Column, *order: str) -> DataFrame:

@@ -47,13 +47,14 @@ def alternative_paths(spark, sf_dir):
 
 @query(
     BASE
-    + """, o2 AS (SELECT 'm' || (requirement % 12) AS major, requirement * 3 + option AS option, code FROM opt WHERE option < 2 OR slot = 0),
-per AS (SELECT major, option, string_agg(DISTINCT code, ' AND ' ORDER BY code) AS sending, CASE WHEN count(DISTINCT code) > 1 THEN 'AND' ELSE 'single' END AS kind FROM o2 GROUP BY ALL)
-SELECT sending, kind, string_agg(DISTINCT major, ', ' ORDER BY major) AS majors, count(DISTINCT major) AS n_majors FROM per GROUP BY ALL"""
+    + """, o2 AS (SELECT 'm' || (requirement % 12) AS major, 'R ' || (requirement % 4) AS receiving, CASE WHEN requirement % 11 = 0 THEN 'not articulated' ELSE 'articulated' END AS status, requirement * 3 + option AS option, code FROM opt WHERE option < 2 OR slot = 0),
+per AS (SELECT major, receiving, status, option, string_agg(DISTINCT code, ' AND ' ORDER BY code) AS sending, CASE WHEN count(DISTINCT code) > 1 THEN 'AND' ELSE 'single' END AS kind FROM o2 GROUP BY ALL)
+SELECT receiving, sending, status, kind, string_agg(DISTINCT major, ', ' ORDER BY major) AS majors, count(DISTINCT major) AS n_majors FROM per GROUP BY ALL"""
 )
 def course_mappings(spark, sf_dir):
-    rows = S.option_courses(spark, sf_dir).where("option < 2 or slot = 0")
-    return agreements.course_mappings(rows.select(F.concat(F.lit("m"), (F.col("requirement") % 12).cast("string")).alias("major"), (F.col("requirement") * 3 + F.col("option")).alias("option"), "code"))
+    rows, r = S.option_courses(spark, sf_dir).where("option < 2 or slot = 0"), F.col("requirement")
+    status = F.when(r % 11 == 0, "not articulated").otherwise("articulated")
+    return agreements.course_mappings(rows.select(F.concat(F.lit("m"), (r % 12).cast("string")).alias("major"), F.concat(F.lit("R "), (r % 4).cast("string")).alias("receiving"), (r * 3 + F.col("option")).alias("option"), "code", status.alias("status")))
 
 
 @query(
@@ -130,7 +131,7 @@ def no_articulation(spark, sf_dir):
     BASE
     + """, w AS (SELECT o.requirement, 0 AS grp, o.option AS alternative, code FROM opt o UNION ALL SELECT requirement, 1, slot, code FROM opt WHERE option = 0),
 a AS (SELECT requirement, grp, alternative, list(DISTINCT code) AS l FROM w GROUP BY ALL), p AS (SELECT x.requirement, x.alternative * 2 + y.alternative AS option, list_sort(list_distinct(x.l || y.l)) AS l FROM a x JOIN a y ON x.requirement = y.requirement AND x.grp = 0 AND y.grp = 1)
-SELECT requirement, (row_number() OVER (PARTITION BY requirement ORDER BY option) - 1)::INT AS option, array_to_string(l, ' AND ') AS courses, false AS cut FROM p"""
+SELECT requirement, (row_number() OVER (PARTITION BY requirement ORDER BY option) - 1)::INT AS option, array_to_string(l, ' AND ') AS courses FROM p"""
 )
 def logic_dnf(spark, sf_dir):
     options = S.option_courses(spark, sf_dir)
