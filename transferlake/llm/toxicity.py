@@ -27,7 +27,11 @@ SAMPLE_ROWS = 6_000
 #: A candidate feature occurs in this many sample texts and lies this many standard errors from no association with one of the thresholds.
 MIN_TEXTS, MIN_Z = 5, 5.0
 #: A candidate becomes a feature if the model so far leaves it this many standard errors to explain.
-LEFT_Z = 3.0
+LEFT_Z = 4.0
+#: Selection ends when so many rounds have lowered the negative log likelihood by less than this part of what it was without features.
+PATIENCE, LEAST_GAIN = 8, 0.001
+#: Features are alike if they share this part of the texts that have one of them; one of them stands for all.
+ALIKE = 0.95
 #: A feature is dense in a text if it occurs twice or more, and once in this many words.
 DENSE = 200
 #: Lengths of the word beginnings that are features beside whole words: they stand for stems.
@@ -151,39 +155,62 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, start: np.ndar
     return at[:p], at[p:]
 
 
-def residuals(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row, the slope of its log likelihood in its score, and the information on the score that the model expects of it."""
+def residuals(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of each row, the slope of its log likelihood in its score, and the information on the score that the model expects of it; and the negative log likelihood."""
     below = 1 / (1 + np.exp(-np.clip(np.concatenate([[-60.0], cuts, [60.0]]) - score[:, None], -60, 60)))
     slopes = below[:, 1:] + below[:, :-1] - 1
-    return slopes[np.arange(len(grades)), grades], (np.diff(below, axis=1) * slopes**2).sum(axis=1)
+    shares, own = np.diff(below, axis=1), (np.arange(len(grades)), grades)
+    return slopes[own], (shares * slopes**2).sum(axis=1), float(-np.log(np.maximum(shares[own], 1e-300)).sum())
 
 
 def select_features(rows: list[list[int]], grades: np.ndarray, names: list[str], n_grades: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(features, weights, thresholds) by forward selection.
 
-    Each round adds the feature that explains most of what the model so far leaves, over all thresholds and of either sign (a score test),
-    if that is LEFT_Z standard errors; of those alike the longest, and fits again: one stem stands for the many words that begin with it.
+    A score test says how much of what the model so far leaves a feature explains, over all thresholds and of either sign, in standard errors. Each round adds the
+    feature that explains most, at nearly the same the longest, since one stem stands for the many words that begin with it; then, in the same order, every
+    other that lies in texts that the round's features for the most part do not have; and fits again, by a few steps until the end. Features ALIKE to a chosen one go. It ends when none explains LEFT_Z,
+    or PATIENCE rounds no more than LEAST_GAIN.
     """
     n_features = len(names)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.array([f for r in rows for f in r], np.int64)
+    order = np.argsort(feature, kind="stable")
+    texts_of = np.split(owner[order], np.cumsum(np.bincount(feature, minlength=n_features))[:-1]) if n_features else []
     size = np.array([len(f.rstrip("@")) for f in names])
+    times = np.bincount(feature, minlength=n_features)
+    gone = np.zeros(n_features, bool)  # chosen, or alike to a chosen one
     chosen: list[int] = []
+    costs: list[float] = []
     x = np.zeros((len(rows), 0))
     weights, cuts = fit_ordinal(x, grades, n_grades)
     while n_features:
-        slope, information = residuals(x @ weights, cuts, grades)
+        slope, information, cost = residuals(x @ weights, cuts, grades)
+        costs.append(cost)
+        if len(costs) > PATIENCE and costs[-1 - PATIENCE] - cost < LEAST_GAIN * costs[0]:
+            break
         z = np.abs(np.bincount(feature, slope[owner], n_features)) / np.sqrt(np.bincount(feature, information[owner], n_features) + 0.5)
-        z[chosen] = 0
+        z[gone] = 0
         if z.max() < LEFT_Z:
             break
-        alike = np.flatnonzero(z >= 0.98 * z.max())
-        best = int(alike[np.lexsort((alike, -z[alike], -size[alike]))[0]])
-        chosen.append(best)
-        column = np.zeros((len(rows), 1))
-        column[owner[feature == best]] = 1
-        x = np.hstack([x, column])
-        weights, cuts = fit_ordinal(x, grades, n_grades, np.concatenate([weights, [0.0], cuts]))
+        taken = np.zeros(len(rows), bool)
+        added: list[int] = []
+        open_ = np.flatnonzero(z >= LEFT_Z)
+        # Within 2 % of each other features are alike, and the longest comes first.
+        for f in open_[np.lexsort((open_, -size[open_], -np.floor(np.log(z[open_]) / np.log(1.02))))].tolist():
+            if not gone[f] and (not added or taken[texts_of[f]].mean() < 0.5):
+                added.append(f)
+                taken[texts_of[f]] = True
+                has = np.zeros(len(rows), bool)
+                has[texts_of[f]] = True
+                both = np.bincount(feature[has[owner]], minlength=n_features)
+                gone |= both >= ALIKE * (times + times[f] - both)
+        columns = np.zeros((len(rows), len(added)))
+        for k, f in enumerate(added):
+            columns[texts_of[f], k] = 1
+        chosen += added
+        x = np.hstack([x, columns])
+        weights, cuts = fit_ordinal(x, grades, n_grades, np.concatenate([weights, np.zeros(len(added)), cuts]), rounds=15)
+    weights, cuts = fit_ordinal(x, grades, n_grades, np.concatenate([weights, cuts]))
     return chosen, weights, cuts
 
 
