@@ -27,7 +27,7 @@ SAMPLE_ROWS = 6_000
 #: A candidate feature occurs in this many sample texts and lies this many standard errors from no association with one of the thresholds.
 MIN_TEXTS, MIN_Z = 5, 5.0
 #: A candidate becomes a feature if the model so far leaves it this many standard errors to explain.
-LEFT_Z = 4.0
+LEFT_Z = 3.0
 #: Selection ends when so many rounds have lowered the negative log likelihood by less than this part of what it was without features.
 PATIENCE, LEAST_GAIN = 8, 0.001
 #: Features are alike if they share this part of the texts that have one of them; one of them stands for all.
