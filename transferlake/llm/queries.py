@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, licenses, packing, simhash, token_counts, toxicity, url_filter
+from . import ann, chat, decontam, divergence, html_text, langid, lexical, licenses, packing, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,8 +64,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_decontamination, op3_url_filter, op4_toxicity, op5_chat_rotation, op6_language_id, op7_packing, op8_license_scan, op9_nearest_neighbours, op10_simhash)
+    ops = (op1_token_counts, op2_decontamination, op3_url_filter, op4_toxicity, op5_chat_rotation, op6_language_id, op7_packing, op8_license_scan, op9_nearest_neighbours, op10_simhash, op11_lexical_search, op12_html_text, op13_source_divergence)
     return {f.__name__: f for f in ops}
 
 
@@ -147,7 +159,44 @@ SELECT conv_id, perspective, part, coalesce(sum(size) OVER (PARTITION BY conv_id
 FROM parts
 """
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11_SQL = f"""
+WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT doc_id, len(l) AS n, l FROM (SELECT doc_id, {_TERMS} AS l FROM documents) WHERE len(l) > 0),
+st AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM w),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(l) AS term FROM w) SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), st),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // tokens)))))::BIGINT AS score FROM p JOIN f USING (term) JOIN q USING (term), st GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+#: For pages whose main text stands in one article element without boxes, as in all given ones; what else repeats there stands outside it.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h[1-6]|ul|ol|li|div|blockquote)\b[^>]*>'), lambda x: regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')) AS l FROM a),
+c AS (SELECT page_id, url, list_transform(l, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g')) AS l FROM b),
+d AS (SELECT page_id, url, list_transform(l, lambda x: trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM d)
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS count FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, coalesce(sum(count), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(count, 0) AS count, 1 + (1000000000::HUGEINT * (coalesce(count, 0) + 1)) // (n.n + v) AS p, 1 + (1000000000::HUGEINT * (total + 1)) // (l.n + v) AS q
+  FROM n JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE count > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force in tests/llm."""
-    return {"op3_url_filter": OP3_SQL, "op5_chat_rotation": OP5_SQL}
+    return {"op3_url_filter": OP3_SQL, "op5_chat_rotation": OP5_SQL, "op11_lexical_search": OP11_SQL, "op12_html_text": OP12_SQL, "op13_source_divergence": OP13_SQL}
