@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from transferlake.llm import ann, chat, common, decontam, langid, licenses, packing, queries, simhash, token_counts, toxicity, url_filter
@@ -283,7 +284,7 @@ def test_relative_and_long_links_count_and_sql_agrees(spark, tmp_path):
         (8, "http://d.net/", link.format("", "", "mailto:x@a.com") + link.format("", "", "")),
         (9, "plain", link.format("", "", "/x")),
         (10, "http://e.net", link.format("", "", "de")),
-        (11, "http://e.net/de", "<meta http-equiv='refresh' content='5; url=//a.com/de/z'>" * 2),
+        (11, "http://e.net/de", "<meta http-equiv='refresh' content='0; url=//a.com/de/z'>" * 2),
         (12, None, link.format("", "", "http://a.com/de/x")),
         (12, "http://f.net/a", ""),
     ]
@@ -296,6 +297,43 @@ def test_relative_and_long_links_count_and_sql_agrees(spark, tmp_path):
     assert Counter((i, h, p, None if r != r else r, v) for i, h, p, r, v in connection.execute(queries.OP3_SQL).fetchall()) == got
 
 
+LINKING = [  # (html of a page without a rule, whether it is another name of the blocked page)
+    ('<meta http-equiv="refresh" content="600; url=http://a.com/de/x">', False),
+    ('<meta http-equiv="refresh" content="5;URL=http://a.com/de/x">', False),
+    ('<meta http-equiv=" Refresh " content=" 0 ; URL=\'http://a.com/de/x\' ">', True),
+    ('<meta content="0.0;http://a.com/de/x" http-equiv=refresh />', True),
+    ('<!-- <link rel="canonical" href="http://a.com/de/x"> -->', False),
+    ('<!-- never closed <link rel="canonical" href="http://a.com/de/x">', False),
+    ('<script>var t = \'<link rel="canonical" href="http://a.com/de/x">\';</script>', False),
+    ('<noscript><meta http-equiv="refresh" content="0;url=http://a.com/de/x"></noscript>', False),
+    ('<link rel="alternate" data-rel="canonical" href="http://a.com/de/x">', False),
+    ('<link rel="canonical" data-href="http://a.com/de/x">', False),
+    ('<link title="rel=canonical" href="http://a.com/de/x">', False),
+    ('<link title="a>b" rel="canonical" href="http://a.com/de/x">', True),
+    ("<LINK REL='Alternate CANONICAL' HREF = http://a.com/de/x >", True),
+    ('<link rel=canonical href="http://a.com/de/x" href="http://b.com/">', True),
+    ('<link rel=canonical href="http://b.com/" href="http://a.com/de/x">', False),
+    ('<base href="http://a.com/de/"><link rel=canonical href="x">', True),
+    ('<base target=_top><base href="//a.com/fr/"><base href="http://b.com"><link rel=canonical href="../de/x">', True),
+    ('<base href="javascript:0"><link rel=canonical href="de/x">', False),
+    ('<link rel="canonical" href="http://a.com/de/x"', False),
+    ("<link title=it's rel=canonical href=http://a.com/de/x>", True),
+    ('<link rel="canonical" href="http://a.com/de/x?' + "&amp;".join(f"utm_a={i}" for i in range(20_000)) + '">', True),
+    ('<link rel=canonical href="http://a.com/de/x"\n><p>' + "text = 'a' " * 20_000, True),
+    ("<linked rel=canonical href=http://a.com/de/x>", False),
+]
+
+
+def test_only_declared_links_make_aliases_and_sql_agrees(spark):
+    pages = [(0, "http://a.com/de/x", None)] + [(i + 1, f"http://site{i}.net/p", html) for i, (html, _) in enumerate(LINKING)]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect())
+    assert {i for i, _, _, _, v in got if v == "block"} == {0} | {i + 1 for i, (_, alias) in enumerate(LINKING) if alias}
+    connection = duckdb.connect()
+    connection.register("pages", df.toPandas())
+    assert Counter((i, h, p, None if r != r else r, v) for i, h, p, r, v in connection.execute(queries.OP3_SQL).fetchall()) == got
+
+
 # 4
 
 
@@ -421,14 +459,41 @@ def test_dialogues_hold_no_forged_marks_and_go_on_in_parts(spark):
     assert re.sub(r"<\\(\\*)\|", r"<\1|", body) == forged
     assert whole["ann"].rendered.startswith("<|assistant|>\n") and "<|user name=a_____b|>" in whole["ann"].rendered
     long = spark.createDataFrame([(7, k, "ab"[k % 2], f"m{k}") for k in range(10)] + [(7, None, "a", "first"), (7, -1, "b", "second")], "conv_id int, turn int, role string, text string")
-    for turns in (3, 100):
-        parts = sorted((r for r in chat.dialogues(chat.rotate_perspectives(long), turns).collect() if r.perspective == "a"), key=lambda r: r.start)
+    for chars in (60, 10_000):
+        parts = sorted((r for r in chat.dialogues(chat.rotate_perspectives(long), chars).collect() if r.perspective == "a"), key=lambda r: r.start)
         joined = "".join(r.rendered for r in parts)
         assert [len("".join(p.rendered for p in parts[:k])) for k in range(len(parts))] == [r.start for r in parts]
         assert re.findall(r"first|second|m\d", joined) == ["first", "second", *(f"m{k}" for k in range(10))]
         assert [joined[r.start + m.start : r.start + m.end].removesuffix("<|end|>\n") for r in parts for m in r.masks] == ["first", *(f"m{k}" for k in range(0, 10, 2))]
 
 
+def test_a_hot_conversation_goes_on_in_bounded_rows(spark):
+    """100,000 messages without an id share eight turn numbers, and a third of them are one message."""
+    said = [(None, k % 8 if k % 5 else None, "ann" if k % 2 else "bob", "again and again" if k % 3 == 0 else f"message {k}") for k in range(100_000)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    rotated = chat.rotate_perspectives(df)
+    for chars in (50_000, chat.PART_CHARS):
+        parts = sorted((r.perspective, r.part, r.start, r.n_messages, r.rendered) for r in chat.dialogues(rotated, chars).collect())
+        assert max(len(r[4]) for r in parts) < chars + 100
+        for who in ("ann", "bob"):
+            whole = "".join(r[4] for r in parts if r[0] == who)
+            assert [r[2] for r in parts if r[0] == who] == np.cumsum([0] + [len(r[4]) for r in parts if r[0] == who])[:-1].tolist()
+            assert sum(r[3] for r in parts if r[0] == who) == len(said)
+            texts = re.findall(r"<\|[^>]*\|>\n(.*?)<\|end\|>\n", whole)
+            turns = {}
+            for _, turn, _, text in said:
+                turns.setdefault(-1 if turn is None else turn, []).append(text)
+            at = 0
+            for turn in sorted(turns):
+                assert Counter(texts[at : at + len(turns[turn])]) == Counter(turns[turn])
+                at += len(turns[turn])
+    connection = duckdb.connect()
+    connection.register("conversations", df.toPandas())
+    held = chat.dialogues(rotated).withColumn("masks", F.array_join(F.transform("masks", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")).collect()
+    theirs = connection.execute(queries.OP5_SQL).fetchall()
+    assert sorted((r.perspective, r.part, r.start, r.n_messages, r.rendered, r.masks) for r in held) == sorted(tuple(r[1:]) for r in theirs)
+
+
 # 6
 
 

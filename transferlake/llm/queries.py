@@ -92,20 +92,40 @@ def _rule_case(column: int, host: str, path: str) -> str:
     return f"CASE{whens} END"
 
 
+#: A quote within a quoted SQL text is doubled.
+_TOKENS = url_filter.TOKENS.replace("'", "''")
+
+
+def _attribute(name: str) -> str:
+    """A tag's first attribute of a name, from its tokens ``t``."""
+    value = f"regexp_replace(list_filter(t[2:], lambda a: regexp_matches(a, '(?is)^{name}(?:\\s*=|\\z)'))[1], '(?s)^[^=]*=?\\s*', '')"
+    unquoted = f"""regexp_replace(regexp_replace({value}, '(?s)^"(.*)"\\z', '\\1'), '(?s)^''(.*)''\\z', '\\1')"""
+    return f"replace(trim(translate({unquoted}, chr(9) || chr(10) || chr(13), '   ')), '&amp;', '&')"
+
+
+def _resolved(page: str) -> str:
+    """``link`` as an address on a page, before ``.`` and ``..`` are followed."""
+    return f"""CASE WHEN regexp_matches(link, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '(?s)^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '//') THEN regexp_extract({page}, '(?s)^(.*?:)//', 1) || link
+    WHEN starts_with(link, '/') THEN regexp_extract({page}, '(?s)^(.*?://[^/?#]*)', 1) || link
+    WHEN link = '' OR starts_with(link, '?') OR starts_with(link, '#') THEN regexp_extract({page}, '(?s)^(.*?://[^/?#]*)', 1) || regexp_extract({page}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || link
+    ELSE regexp_extract({page}, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({page}, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || link END"""
+
+
 OP3_SQL = f"""
 WITH RECURSIVE seen AS (SELECT page_id, url, html, {_HOST} AS host, {_PATH} AS path FROM pages),
-tags AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\s[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+bare AS (SELECT DISTINCT url, regexp_replace(translate(html, chr(1), ''), '{url_filter.UNREAD}', ' ', 'g') AS html FROM pages WHERE contains(url, '://')),
+begun AS (SELECT url, list_transform(string_split(regexp_replace(html, '(?i)<(link|meta|base)([\\s/])', chr(1) || '\\1\\2', 'g'), chr(1))[2:], lambda t: regexp_extract_all(t, '{_TOKENS}')) AS tags FROM bare),
+ended AS (SELECT url, list_filter(list_transform(tags, lambda t: list_slice(t, 1, coalesce(list_position(t, '>'), 1) - 1)), lambda t: len(t) > 0) AS tags FROM begun),
+read AS (
+  SELECT url, list_transform(tags, lambda t: {{'tag': lower(t[1]), 'rel': {_attribute("rel")}, 'href': {_attribute("href")}, 'equiv': lower({_attribute("http-equiv")}), 'content': {_attribute("content")}}}) AS tags FROM ended),
+based AS (SELECT url, tags, list_filter(tags, lambda t: t.tag = 'base' AND t.href IS NOT NULL)[1].href AS link FROM read),
+bases AS (SELECT url, tags, CASE WHEN contains({_resolved("url")}, '://') THEN {_resolved("url")} ELSE url END AS base FROM based),
 named AS (
-  SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?canonical\\b')
-    THEN regexp_replace(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*(?:"([^"]*)|''([^'']*)|([^\\s"''>]+))'), '(?is)^href\\s*=\\s*["'']?', '')
-    WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^\\s"''>]+)', 1) END), '&amp;', '&') AS link FROM tags),
-whole AS (
-  SELECT url, CASE WHEN regexp_matches(link, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '(?s)^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-    WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
-    WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
-    WHEN starts_with(link, '?') OR starts_with(link, '#') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || link
-    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || link END AS target
-  FROM named WHERE link <> ''),
+  SELECT url, base, unnest(list_transform(list_filter(tags, lambda t: t.tag = 'link' AND list_contains(regexp_split_to_array(lower(coalesce(t.rel, '')), '\\s+'), 'canonical')), lambda t: t.href)) AS link FROM bases
+  UNION ALL SELECT url, base, unnest(list_transform(list_filter(tags, lambda t: t.tag = 'meta' AND t.equiv = 'refresh'),
+    lambda t: trim(regexp_replace(regexp_replace(regexp_extract(t.content, '(?is)^\\s*0*(?:\\.0*)?\\s*[;,]\\s*(?:url\\s*=\\s*)?(.*)\\z', 1), '(?s)^"([^"'']*).*\\z', '\\1'), '(?s)^''([^"'']*).*\\z', '\\1')))) FROM bases),
+whole AS (SELECT url, {_resolved("base")} AS target FROM named WHERE link <> ''),
 declared AS (
   SELECT DISTINCT url, CASE WHEN regexp_matches(target, '(?s)^.*?://[^?#]*/\\.\\.?(?:[/?#]|$)') THEN
       regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1)
@@ -139,24 +159,19 @@ OP5_SQL = r"""
 WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role IS NOT NULL AND role <> 'system'),
 rows AS (
-  SELECT s.conv_id, perspective, turn, text, coalesce(role = perspective, false) AS own,
+  SELECT s.conv_id, perspective, turn, text, role, coalesce(role = perspective, false) AS own,
     CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS chat_role,
     CASE WHEN coalesce(role <> perspective AND role <> 'system', false) THEN role END AS name
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM (SELECT conv_id, turn, role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text FROM said) s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 headed AS (SELECT *, '<|' || chat_role || coalesce(' name=' || regexp_replace(name, '[<|>\r\n]', '_', 'g'), '') || '|>' || chr(10) AS header FROM rows),
-spoken AS (
-  SELECT conv_id, perspective, coalesce(floor(turn / 4096)::BIGINT, -4611686018427387904) AS part, turn, own, length(header) AS skip,
-    header || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS rendered FROM headed),
+spoken AS (SELECT conv_id, perspective, turn, md5(coalesce(role, '') || chr(10) || text) AS digest, own, length(header) AS skip, header || text || '<|end|>' || chr(10) AS rendered FROM headed),
 placed AS (
-  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, rendered, own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, digest, rendered, own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM spoken),
-parts AS (
-  SELECT conv_id, perspective, part, count(*) AS n_messages, sum(length(rendered)) AS size, string_agg(rendered, '' ORDER BY pos, rendered) AS rendered,
-    coalesce(string_agg((pos + skip) || '-' || (pos + length(rendered)), ',' ORDER BY pos) FILTER (WHERE own), '') AS masks
-  FROM placed GROUP BY ALL)
-SELECT conv_id, perspective, part, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-  n_messages, rendered, masks
-FROM parts
+parts AS (SELECT *, pos // 1048576 AS part, min(pos) OVER (PARTITION BY conv_id, perspective, pos // 1048576) AS start FROM placed)
+SELECT conv_id, perspective, part, start, count(*) AS n_messages, string_agg(rendered, '' ORDER BY pos) AS rendered,
+  coalesce(string_agg((pos + skip - start) || '-' || (pos + length(rendered) - start), ',' ORDER BY pos) FILTER (WHERE own), '') AS masks
+FROM parts GROUP BY conv_id, perspective, part, start
 """
 
 _TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"

@@ -49,9 +49,27 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(F.lit("https://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute: between quotes of either kind, or up to the next space."""
-    return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+))", 0)
+#: Comments, and elements whose content is no markup or does not count with scripts on; open ones go to the end.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)" + "".join(rf"|<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"))
+#: What a tag consists of: its end, or a name, with a value in quotes of either kind or without.
+TOKENS = r"(?s)>|[^\s=/\"'<>]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)?"
+
+
+def page_tags(html: Column) -> Column:
+    """The link, meta and base tags of a page, each as the list of its tokens: its name, then its attributes."""
+    read = F.regexp_replace(F.translate(html, "\x01", ""), UNREAD, " ")
+    begun = F.split(F.regexp_replace(read, r"(?i)<(link|meta|base)([\s/])", "\x01$1$2"), "\x01")
+    tokens = F.transform(F.slice(begun, 2, 1 << 30), lambda t: F.regexp_extract_all(t, F.lit(TOKENS), F.lit(0)))
+    # a tag without an end is none
+    return F.filter(F.transform(tokens, lambda t: F.slice(t, 1, F.greatest(F.array_position(t, ">").cast("int") - 1, F.lit(0)))), lambda t: F.size(t) > 0)
+
+
+def attribute(tokens: Column, name: str) -> Column:
+    """The value of a tag's attribute, trimmed; that of the first one of the name; null without one."""
+    own = F.filter(F.slice(tokens, 2, 1 << 30), lambda t: t.rlike(rf"(?is)^{name}(?:\s*=|\z)"))
+    value = F.regexp_replace(F.get(own, F.lit(0)), r"(?s)^[^=]*=?\s*", "")
+    bare = F.regexp_replace(value, r"(?s)^([\"'])(.*)\1\z", "$2")
+    return F.replace(F.trim(F.translate(bare, "\t\r\n", "   ")), F.lit("&amp;"), F.lit("&"))
 
 
 def resolved(link: Column, page: Column) -> Column:
@@ -77,12 +95,21 @@ def resolved(link: Column, page: Column) -> Column:
 
 
 def declared_links(html: Column, page: Column) -> Column:
-    """Addresses that a page's html declares as itself: canonical links and immediate refreshes, relative ones resolved against the page's own."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_replace(_attribute(t, "href"), r"(?is)^href\s*=\s*[\"']?", ""))
-    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)", 1))
-    found = F.filter(F.transform(F.coalesce(F.concat(canonical, refresh), F.array().cast("array<string>")), lambda u: F.replace(F.trim(u), F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
-    return F.filter(F.transform(found, lambda u: resolved(u, page)), lambda u: F.contains(u, F.lit("://")))
+    """Addresses that a page's html declares as itself: canonical links and immediate refreshes, resolved against the page's base.
+
+    A link counts if canonical is one of the words of its rel attribute, a refresh if its delay is 0; what stands in comments, scripts and the like does not. The base is the first base tag's
+    href, itself resolved against the page's address, or else that address.
+    """
+    tags = F.when(html.rlike("(?i)canonical|refresh"), page_tags(html)).otherwise(F.array().cast("array<array<string>>"))
+    named = lambda t, name: F.lower(F.get(t, F.lit(0))) == name
+    canonical = F.filter(tags, lambda t: named(t, "link") & F.array_contains(F.split(F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))), r"\s+"), "canonical"))
+    refresh = F.filter(tags, lambda t: named(t, "meta") & (F.lower(attribute(t, "http-equiv")) == "refresh"))
+    target = lambda t: F.regexp_replace(F.regexp_extract(attribute(t, "content"), r"(?is)^\s*0*(?:\.0*)?\s*[;,]\s*(?:url\s*=\s*)?(.*)\z", 1), r"(?s)^([\"'])([^\"']*).*\z", "$2")
+    found = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, lambda t: F.trim(target(t))))
+    href = F.get(F.filter(F.transform(F.filter(tags, lambda t: named(t, "base")), lambda t: attribute(t, "href")), lambda x: x.isNotNull()), F.lit(0))
+    base = F.coalesce(F.when(F.contains(resolved(href, page), F.lit("://")), resolved(href, page)), page)
+    links = F.transform(F.filter(found, lambda u: u != ""), lambda u: F.struct(u.alias("link"), base.alias("base")))
+    return F.filter(F.transform(links, lambda x: resolved(x["link"], x["base"])), lambda u: F.contains(u, F.lit("://")))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
