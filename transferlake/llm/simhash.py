@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +16,26 @@ from pyspark.sql import functions as F
 from .common import checkpointed, connected_components, text_slices
 
 SEED, WORDS, MAX_BITS = 42, 3, 2
-#: References of the distance table: zero, the 32 words of two neighbouring bits, and random ones.
-PAIRS = [3 << k for k in range(0, 64, 2)]
+#: Three references that lie 32 bits apart, each with the eight that differ from it in one byte, and random ones.
+ORIGIN = xxhash.xxh64_intdigest(b"origin")
+SPREAD = (ORIGIN, ORIGIN ^ 0x0F0F0F0F0F0F0F0F, ORIGIN ^ 0x3333333333333333)
 RANDOM = [xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(16)]
-#: Coordinates of PAIRS form eight blocks of four; a link changes at most two of them and leaves six as they are.
-BLOCKS, WIDTH = 8, 4
+#: Parts of a fingerprint in which references differ, and bits of each. A link changes the distances of at most two parts and leaves six as they are.
+PARTS, BITS = 8, 8
+#: Base in which six distances that differ by 2 at most are one number without carries.
+BASE = BITS + 2 * MAX_BITS + 1
 #: Pairs that are compared at once.
 CHUNK = 1 << 20
 
 
 def _neighbours() -> np.ndarray:
-    """Differences between the cells of two linked fingerprints, in base 5 over the coordinates of two blocks: one of each +/- pair, and zero.
+    """Differences between the cells of two linked fingerprints: one of each +/- pair, and zero.
 
-    Coordinates are 0, 1 or 2 and differ by 2 in all at most, so no carry makes other cells alike.
+    A cell is the distances of two parts to the three spread references. A bit of a part moves each of its three distances by one, up or down; a link has two bits at most.
     """
-    steps = [sign * 5**k for k in range(2 * WIDTH) for sign in (1, -1)]
-    return np.array(sorted({d for a in [0, *steps] for b in [0, *steps] if (d := a + b) >= 0}))
+    bit = [(0,) * 6] + [x for signs in product((1, -1), repeat=3) for x in ((*signs, 0, 0, 0), (0, 0, 0, *signs))]
+    steps = {sum((x + y) * BASE**k for k, (x, y) in enumerate(zip(a, b, strict=True))) for a in bit for b in bit}
+    return np.array(sorted(d for d in steps if d >= 0))
 
 
 def fingerprint(text: str) -> int:
@@ -80,35 +85,40 @@ def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked_pairs(bucket: np.ndarray, cell: np.ndarray, table: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(bucket: np.ndarray, cell: np.ndarray, table: np.ndarray, fp: np.ndarray, counted: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within MAX_BITS in one bucket, in chunks; rows are distinct and sorted by (bucket, cell).
 
     A difference of two rows' distances to a reference bounds their Hamming distance from below. So pairs come from
-    neighbouring cells only, those whose distances to a random reference differ by more than MAX_BITS are discarded, and the
-    survivors are verified.
+    neighbouring cells only, those whose distances to a reference of the table differ by more than MAX_BITS are discarded, and the
+    survivors are verified. A row of one cell meets the other cell's rows, so a chunk is bounded whatever the cells hold.
     """
-    number = bucket * 25**WIDTH + cell
+    number = bucket * BASE**6 + cell
     cells, first, size = np.unique(number, return_index=True, return_counts=True)
-    for step in _neighbours():
+    for step in NEIGHBOURS:
         at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
         a = np.flatnonzero(cells[at] == cells + step)
-        b = at[a]
-        total = np.cumsum(size[a] * size[b])
+        rows = np.arange(size[a].sum()) + np.repeat(first[a] - (np.cumsum(size[a]) - size[a]), size[a])
+        other = np.repeat(at[a], size[a])
+        total = np.cumsum(size[other])
         begin = 0
-        while begin < len(a):
+        while begin < len(rows):
             end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CHUNK, side="right")))
-            x, y, count = a[begin:end], b[begin:end], size[a[begin:end]] * size[b[begin:end]]
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            wide = np.repeat(size[y], count)
-            i, j = np.repeat(first[x], count) + place // wide, np.repeat(first[y], count) + place % wide
+            wide = size[other[begin:end]]
+            i = np.repeat(rows[begin:end], wide)
+            j = np.arange(len(i)) + np.repeat(first[other[begin:end]] - (np.cumsum(wide) - wide), wide)
             if step == 0:
                 i, j = i[i < j], j[i < j]
-            near = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1, initial=0) <= MAX_BITS)
-            near = near[np.bitwise_count(fp[i[near]] ^ fp[j[near]]) <= MAX_BITS]
+            kept = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1, initial=0) <= MAX_BITS)
+            near = kept[np.bitwise_count(fp[i[kept]] ^ fp[j[kept]]) <= MAX_BITS]
+            if counted is not None:
+                counted.update(candidates=len(i), kept=len(kept), linked=len(near))
             yield i[near], j[near]
             begin = end
 
 
+NEIGHBOURS = _neighbours()
+
+
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges from each fingerprint to the first one that it reaches in its bucket; rows come sorted by bucket."""
     held = [np.zeros(0, np.int64)] * 5
@@ -145,34 +155,47 @@ def _signed(word: int) -> int:
     return word - 2**64 if word >> 63 else word
 
 
+def _distance(word: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(word))))
+
+
 def distance_table(distinct: DataFrame) -> DataFrame:
-    """(fp, coordinates, low, high): Hamming distances of each fingerprint to the references.
+    """(fp, parts, low, high): Hamming distances of each fingerprint to the references.
 
-    coordinates has, for each of PAIRS, half of (distance to zero + 2 - distance to it), which is 0, 1 or 2; low and high have the distances to RANDOM, a byte each.
+    parts has, by part and then by spread reference, the distance within the part: half of 8 + (distance to the reference - distance to the one that differs from it in that part). low and high have
+    the distances to RANDOM, a byte each.
     """
-    to = lambda word: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(word))))
-    zero = F.bit_count("fp")
-    packed = [reduce(Column.bitwiseOR, (F.shiftleft(to(word).cast("long"), 8 * k) for k, word in enumerate(RANDOM[half : half + 8]))) for half in (0, 8)]
-    return distinct.select("fp", F.array(*(F.shiftright(zero + 2 - to(word), 1) for word in PAIRS)).alias("coordinates"), packed[0].alias("low"), packed[1].alias("high"))
+    packed = [reduce(Column.bitwiseOR, (F.shiftleft(_distance(word).cast("long"), 8 * k) for k, word in enumerate(RANDOM[half : half + 8]))) for half in (0, 8)]
+    whole = distinct.select("fp", *(_distance(r).alias(f"to{k}") for k, r in enumerate(SPREAD)), packed[0].alias("low"), packed[1].alias("high"))
+    part = lambda k, r, word: F.shiftright(F.lit(BITS) + F.col(f"to{k}") - _distance(r ^ word), 1)
+    masks = [((1 << BITS) - 1) << (BITS * n) for n in range(PARTS)]
+    return whole.select("fp", F.array(*(part(k, r, mask) for mask in masks for k, r in enumerate(SPREAD))).alias("parts"), "low", "high")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(src, dst) edges whose components are those of all pairs of distinct ``fp`` within MAX_BITS.
+def cells(distinct: DataFrame) -> DataFrame:
+    """(bucket, cell, low, high, fp): each fingerprint of distinct(fp) once for each choice of six parts.
 
-    The distances of each fingerprint to the references are computed once and go with it. Candidates are joined on them: two linked
-    fingerprints differ by at most MAX_BITS in all coordinates of PAIRS together, so of the eight blocks of coordinates six are equal: each fingerprint goes
-    to 28 buckets, one for each choice of six blocks whose coordinates must agree, and in a bucket meets the cells that are as near in the other two.
+    bucket is the distances of those parts to the spread references, cell those of the other two parts.
     """
     table = distance_table(distinct)
-    block = lambda base, k: reduce(Column.__add__, (F.element_at("coordinates", WIDTH * k + i + 1) * F.lit(base**i) for i in range(WIDTH))).cast("long")
-    blocks = table.select("fp", "low", "high", *(block(3, k).alias(f"agree{k}") for k in range(BLOCKS)), *(block(5, k).alias(f"cell{k}") for k in range(BLOCKS)))
-    size = 3**WIDTH
+    number = lambda n, base: reduce(Column.__add__, (F.element_at("parts", len(SPREAD) * n + k + 1) * F.lit(base**k) for k in range(len(SPREAD)))).cast("long")
+    parts = table.select("fp", "low", "high", *(number(n, BITS + 1).alias(f"agree{n}") for n in range(PARTS)), *(number(n, BASE).alias(f"cell{n}") for n in range(PARTS)))
+    size = (BITS + 1) ** len(SPREAD)
     keys = []
-    for n, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
-        agree = reduce(lambda held, k: held * size + F.col(f"agree{k}"), (k for k in range(BLOCKS) if k not in (i, j)), F.lit(n).cast("long"))
-        keys.append(F.struct(agree.alias("bucket"), (F.col(f"cell{i}") * 5**WIDTH + F.col(f"cell{j}")).alias("cell")))
-    rows = blocks.select(F.explode(F.array(*keys)).alias("k"), "low", "high", "fp").select("k.bucket", "k.cell", "low", "high", "fp")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link, "src long, dst long")
+    for n, (i, j) in enumerate(combinations(range(PARTS), 2)):
+        agree = reduce(lambda held, k: held * size + F.col(f"agree{k}"), (k for k in range(PARTS) if k not in (i, j)), F.lit(n).cast("long"))
+        keys.append(F.struct(agree.alias("bucket"), (F.col(f"cell{i}") + F.col(f"cell{j}") * BASE ** len(SPREAD)).alias("cell")))
+    return parts.select(F.explode(F.array(*keys)).alias("k"), "low", "high", "fp").select("k.bucket", "k.cell", "low", "high", "fp")
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(src, dst) edges whose components are those of all pairs of distinct ``fp`` within MAX_BITS.
+
+    The distances of each fingerprint to the references are computed once and go with it. Candidates are joined on them: the distances of a part to the spread references stay as they are
+    unless the part has one of the at most two bits in which linked fingerprints differ, so six of eight parts agree in all of theirs. Each fingerprint goes
+    to 28 buckets, one for each choice of six parts, and in a bucket meets the cells that a link can lead to.
+    """
+    return cells(distinct).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -180,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Fingerprints that differ in two bits or fewer are linked; component_id is the smallest id that
     can be reached, itself included. Exact copies share a fingerprint and enter the search once. Null and empty
-    texts have fingerprint zero, which links like any other. Rows with a null id get the smallest id reached, null if there is none; repeated
+    texts have fingerprint zero, which links like any other, and texts of any length are read whole. Links hold whatever the order of rows, so there are no ties. Rows with a null id get the smallest id reached, null if there is none; repeated
     rows each give a row; other columns play no part; an empty table gives no rows.
     """
     rows = checkpointed(fingerprints(docs, id_column, text_column))
