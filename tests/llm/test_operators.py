@@ -587,11 +587,31 @@ def test_languages_match_brute_force(spark):
         x, c, margin, n = rows[r.doc_id]
         mine = got[r.doc_id]
         assert mine.lang_pred == x or margin < 1e-5
-        assert abs(mine.score - (rates[level(margin, n)] if n else 0)) < 1e-9 or abs(4 * np.log2(1 + margin * n) % 1 - 0.5) > 0.499
+        over = max(0.0, c - usual.get(x, half([c for _, c, _ in right]))) / (langid.REJECT_SD * (spread + short / max(n, 1) ** 0.5))
+        assert abs(mine.score - (rates[level(margin, n)] / (1 + over**4) if n else 0)) < 1e-3 or abs(4 * np.log2(1 + margin * n) % 1 - 0.5) > 0.499
         limit = usual.get(x, half([c for _, c, _ in right])) + langid.REJECT_SD * (spread + short / max(n, 1) ** 0.5)
         assert mine.rejected == (x == "und" or c > limit) or abs(c - limit) < 1e-4
 
 
+FOREIGN = [
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki",
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem",
+    "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler",
+    "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом",
+    "for (int i = 0; i < n; ++i) { buf[i] ^= key[i % klen]; printf(\"%x\\n\", buf[i]); } return xmalloc(sz);",
+    "qzxv jkwq vbnm xcvz plkj qwpz mnbv zxqj kjhg vwxq zzkx qjxv wkzj",
+]
+
+
+def test_foreign_texts_score_low_and_own_ones_high(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(10**9 + i, " ".join([t] * 3), None) for i, t in enumerate(FOREIGN)], "doc_id long, text string, lang string")
+    got = langid.identify_languages(docs.unionAll(foreign)).collect()
+    assert all(r.rejected and 0 <= r.score < 0.5 for r in got if r.doc_id >= 10**9)
+    own = sorted(r.score for r in got if r.doc_id < 10**9 and not r.rejected)
+    assert own[len(own) // 10] > 0.9 and len({round(s, 6) for s in own}) > 50
+
+
 def test_rejection_at_every_length(spark):
     """Texts of noise are rejected whatever their length, others are kept, with few rows of each length to calibrate on."""
     rng = np.random.default_rng(9)

@@ -209,7 +209,8 @@ def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column:
     has no other: on them the figures are calibrated. lang_pred is the language of the lowest cross-entropy per character, the first by name
     at a tie; ``und`` if the text is null or has no letter, or nothing was learned. score is how often calibrating rows with
     a margin like that (in characters' worth of evidence) are right, in bins over all calibrating rows,
-    never falling as the margin grows; 0 for ``und``. rejected holds for ``und``, and for a cross-entropy beyond its language's limit (see ``reject_limits``).
+    never falling as the margin grows, times 1 / (1 + x^4), x being the text's cross-entropy above the usual one as a share of the limit: at the limit the score is halved, so foreign texts and noise
+    stay below 0.5 however clearly one language is the least bad; 0 for ``und``. rejected holds for ``und``, and for a cross-entropy beyond its language's limit (see ``reject_limits``).
 
     Repeated rows teach and answer each time; very long texts take time in proportion; columns other than
     the three play no part; an empty table gives no rows.
@@ -232,12 +233,15 @@ def identify_languages(docs: DataFrame, id_column: str = "doc_id", text_column:
         rates = _rising([(bins.get(b, (0, 0))[0], bins.get(b, (0, 0))[1]) for b in range(32)])
         score = F.element_at(F.array(*map(F.lit, rates)), F.col("bin") + 1)
     limits = reject_limits(known.where("truth = pred").select("pred", "n", "ce"))
-    beyond = F.col("ce") > F.coalesce("usual", "usual_of_all") + REJECT_SD * (F.col("spread") + F.col("short_spread") / F.sqrt(F.greatest("n", F.lit(1))))
+    # how far a text's cross-entropy is above its language's usual one, as a share of what is let through
+    excess = (F.col("ce") - F.coalesce("usual", "usual_of_all")) / (REJECT_SD * (F.col("spread") + F.col("short_spread") / F.sqrt(F.greatest("n", F.lit(1)))))
+    beyond = excess > 1
+    near = F.coalesce(1 / (1 + F.pow(F.greatest(excess, F.lit(0.0)), F.lit(4))), F.lit(1.0))
     return rows.join(F.broadcast(limits), "pred", "left").select(  # one row a language of the model
         F.col("id").alias(id_column),
         "held_out",
         F.col("pred").alias("lang_pred"),
-        F.when(F.col("pred") == UNKNOWN, 0.0).otherwise(score).alias("score"),
+        F.when(F.col("pred") == UNKNOWN, 0.0).otherwise(score * near).alias("score"),
         ((F.col("pred") == UNKNOWN) | F.coalesce(beyond, F.lit(False))).alias("rejected"),
         *carried,
     )
