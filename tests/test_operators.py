@@ -140,13 +140,3 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
         run.awaitTermination()
     counts = spark.read.parquet(f"{tmp_path}/out").groupBy("window_start").agg(F.max("n").alias("n")).collect()
     assert {r.window_start.day: r.n for r in counts} == {1: 1, 20: 3}
-
-
-def test_nearest_by_hashing_has_recall(spark):
-    from transferlake.operators import search
-
-    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    asked = vectors.where("vec_id % 50 = 0")
-    pairs = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
-    exact = pairs(search.nearest(vectors, asked))
-    assert len(exact & pairs(search.nearest_by_hashing(vectors, asked))) / len(exact) >= 0.9

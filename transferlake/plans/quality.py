@@ -115,17 +115,15 @@ SELECT query_id, own, label, vec_id, round(list_dot_product(q, embedding::DOUBLE
 def knn_multi(spark, sf_dir):
     """The best of three indexes, each searched by itself."""
     vectors = S.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).alias("index"))
-    each = [search.nearest(vectors.where(F.col("index") == i), vectors.where("vec_id % 50 = 0")).select("query_id", F.lit(i).alias("index"), "vec_id", "score") for i in range(3)]
-    return quality.merged_nearest(each[0].unionAll(each[1]).unionAll(each[2]))
+    asked = vectors.where("vec_id % 50 = 0").select("vec_id", "embedding", F.explode(F.array(*(F.lit(i).cast(vectors.schema["index"].dataType) for i in range(3)))).alias("index"))
+    return quality.merged_nearest(search.nearest(vectors, asked, within="index").drop("rank"))
 
 
 @query(f"WITH {SCORED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, label AS index, vec_id, score FROM s WHERE own = label QUALIFY rank <= 5")
 def knn_filtered(spark, sf_dir):
-    """Among vectors with the query's own label: the filter is an equi-join ahead of the ranking."""
+    """Among vectors with the query's own label: the filter is part of the tiles' key, ahead of the ranking."""
     vectors = S.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("index"))
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "index")
-    scored = vectors.join(asked, "index").where("vec_id <> query_id").select("query_id", "index", "vec_id", F.round(search.cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
-    return quality.merged_nearest(scored)
+    return search.nearest(vectors, vectors.where("vec_id % 50 = 0"), within="index").select("query_id", "rank", "index", "vec_id", "score")
 
 
 # Sinks, written to a folder of their own and read again
