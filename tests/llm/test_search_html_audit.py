@@ -99,8 +99,7 @@ def test_blocks_are_skipped_and_bounds_hold():
     assert counted["skipped"] > 0 and counted["scored"] < 600 * 12
     lists = np.arange(len(slab.list_terms))
     block, _ = slab.blocks(lists)
-    keys, most = slab.summaries(block, slab.list_rows)
-    summary = dict(zip(keys.tolist(), most.tolist(), strict=True))
+    summary = slab.summaries(block, slab.list_rows, int(block.max()) + 1)
     for b, r in zip(block.tolist()[::7], slab.list_rows.tolist()[::7], strict=True):
         assert all(summary[b * 40 + t] >= value[r, t] for t in rows[r])
 

@@ -16,12 +16,12 @@ from .common import checkpointed
 #: A-Z become a-z, digits, other letters and all bytes from 0x80 stay, every other byte parts two terms.
 WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 TOP = 10
-#: Bytes of distinct terms and terms with repeats of the items that are searched at once, which bounds what the driver and a task hold of them.
-BATCH_BYTES, BATCH_TERMS = 32 << 20, 2_000_000
+#: Bytes, terms with repeats and number of the items that are searched at once, which bounds what the driver and a task hold of them.
+BATCH_BYTES, BATCH_TERMS, BATCH_ITEMS = 32 << 20, 2_000_000, 1_024
 #: Documents and postings whose lists are blocked together, documents of a block, dimensions in which documents are compared for blocking.
 SLAB_DOCS, SLAB_POSTINGS, BLOCK_DOCS, SKETCH = 8_192, 2_000_000, 24, 64
-#: Postings that are summed up, and terms of items that are looked up, at once.
-AT_ONCE = 1 << 21
+#: Postings that are summed up, terms of items that are looked up, and numbers of summaries that are held, at once.
+AT_ONCE, CELLS = 1 << 21, 1 << 22
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 
@@ -82,6 +82,11 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 class Items:
     """The items of a batch: for each its distinct terms with their multiplicity, and for each term its items."""
 
@@ -95,8 +100,8 @@ class Items:
         self.size = size
 
 
-def sums(items: Items, rows: np.ndarray, which: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each pair of a row and an item the sum, over the item's terms with repeats, of the row's value; keys = row * terms + term, sorted."""
+def sums(items: Items, rows: np.ndarray, which: np.ndarray, value) -> np.ndarray:
+    """For each pair of a row and an item the sum, over the item's terms with repeats, of value(rows, terms)."""
     out = np.zeros(len(rows), np.int64)
     sizes = np.diff(items.ends)[which]
     total = np.cumsum(sizes)
@@ -105,10 +110,8 @@ def sums(items: Items, rows: np.ndarray, which: np.ndarray, keys: np.ndarray, va
         end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + AT_ONCE, side="right")))
         own = sizes[begin:end]
         at = _spans(items.ends[which[begin:end]], own)
-        wanted = np.repeat(rows[begin:end], own) * items.size + items.terms[at]
-        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        part = np.where(keys[place] == wanted, values[place] * items.times[at], 0)
-        out[begin:end] = np.add.reduceat(part, np.cumsum(own) - own) if len(own) else 0
+        part = value(np.repeat(rows[begin:end], own), items.terms[at]) * items.times[at]
+        out[begin:end] = np.add.reduceat(part, np.cumsum(own) - own)
         begin = end
     return out
 
@@ -128,7 +131,12 @@ class Slab:
         self.list_most = np.maximum.reduceat(self.list_values, first) if len(first) else first
 
     def scores(self, which: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return sums(self.items, rows, which, self.keys, self.values)
+        def value(rows: np.ndarray, terms: np.ndarray) -> np.ndarray:
+            wanted = rows * self.items.size + terms
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            return np.where(self.keys[place] == wanted, self.values[place], 0)
+
+        return sums(self.items, rows, which, value)
 
     def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the term's list, whether there is one)."""
@@ -143,7 +151,7 @@ class Slab:
         order = np.lexsort((-self.list_values, np.repeat(np.arange(len(self.list_terms)), self.list_sizes)))
         sizes = np.minimum(self.list_sizes[at[there]], TOP)
         rows = self.list_rows[order[_spans(self.list_starts[at[there]], sizes)]]
-        pairs = np.unique(np.repeat(self.items.of[there], sizes) * len(self.doc_ids) + rows)
+        pairs = _distinct(np.repeat(self.items.of[there], sizes) * len(self.doc_ids) + rows)
         return pairs // len(self.doc_ids), pairs % len(self.doc_ids)
 
     def essential(self, least: np.ndarray) -> np.ndarray:
@@ -191,14 +199,13 @@ class Slab:
             self._sketch = flat / np.where(norm > 0, norm, 1)
         return self._sketch
 
-    def summaries(self, block: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(block * terms + term, most that a document of the block has of the term), sorted."""
+    def summaries(self, block: np.ndarray, rows: np.ndarray, blocks: int) -> np.ndarray:
+        """(block, term) -> the most that a document of the block has of the term."""
         sizes = np.diff(self.starts)[rows]
         at = _spans(self.starts[rows], sizes)
-        key = np.repeat(block, sizes) * self.items.size + self.terms[at]
-        order = np.argsort(key, kind="stable")
-        keys, first = np.unique(key[order], return_index=True)
-        return keys, np.maximum.reduceat(self.values[at[order]], first)
+        most = np.zeros(blocks * self.items.size, np.int64)
+        np.maximum.at(most, np.repeat(block, sizes) * self.items.size + self.terms[at], self.values[at])
+        return most
 
 
 class Best:
@@ -228,40 +235,43 @@ def search_slab(slab: Slab, best: Best, counted: Counter | None = None) -> None:
         return
     which, rows = slab.promising()
     score = slab.scores(which, rows)
-    seen = which * len(slab.doc_ids) + rows
+    seen = np.zeros(len(items.keys) * len(slab.doc_ids), bool)  # pairs that have been scored
+    seen[which * len(slab.doc_ids) + rows] = True
     best.add(which, score, slab.doc_ids[rows])
     wanted = slab.essential(best.least)
     at, _ = slab.lists(items.terms[wanted])
     lists = np.unique(at)
-    total = np.cumsum(np.diff(slab.starts)[slab.list_rows][_spans(slab.list_starts[lists], slab.list_sizes[lists])]) if len(lists) else np.zeros(0, np.int64)
-    ends = np.cumsum(slab.list_sizes[lists])
+    if not len(lists):
+        return
+    block, of_block = slab.blocks(lists)
+    order = np.argsort(block, kind="stable")
+    members, sizes = slab.list_rows[_spans(slab.list_starts[lists], slab.list_sizes[lists])][order], np.bincount(block)
+    starts = np.cumsum(sizes) - sizes
+    held = np.cumsum(np.add.reduceat(np.diff(slab.starts)[members], starts))  # postings of all blocks up to one
+    list_no = np.searchsorted(lists, at)
+    first, many = np.searchsorted(of_block, lists), np.bincount(np.searchsorted(lists, of_block), minlength=len(lists))  # blocks stand in the order of their lists
+    pair_block = _spans(first[list_no], many[list_no])
+    pair_item = np.repeat(items.of[wanted], many[list_no])
+    order = np.argsort(pair_block, kind="stable")
+    pair_block, pair_item = pair_block[order], pair_item[order]
     begin = 0
-    while begin < len(lists):  # so many lists at once as their summaries take memory for
-        done = total[ends[begin - 1] - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total[ends - 1], done + AT_ONCE, side="right")))
-        own = lists[begin:end]
-        posts = slab.list_rows[_spans(slab.list_starts[own], slab.list_sizes[own])]
-        block, of_block = slab.blocks(own)
-        keys, most = slab.summaries(block, posts)
-        order = np.argsort(block, kind="stable")
-        members, sizes = posts[order], np.bincount(block)
-        starts = np.cumsum(sizes) - sizes
-        by_list = np.searchsorted(own, of_block)  # blocks stand in the order of their lists
-        first, many = np.searchsorted(by_list, np.arange(len(own))), np.bincount(by_list, minlength=len(own))
-        mine = np.isin(at, own)
-        list_no = np.searchsorted(own, at[mine])
-        pair_block = _spans(first[list_no], many[list_no])
-        pair_item = np.repeat(items.of[wanted][mine], many[list_no])
-        bound = sums(items, pair_block, pair_item, keys, most)
+    while begin < len(sizes):  # so many blocks at once as their summaries take memory for
+        end = int(np.searchsorted(held, (held[begin - 1] if begin else 0) + AT_ONCE, side="right"))
+        end = max(begin + 1, min(end, begin + CELLS // items.size))
+        docs = members[starts[begin] : starts[end - 1] + sizes[end - 1]]
+        most = slab.summaries(np.repeat(np.arange(end - begin), sizes[begin:end]), docs, end - begin)
+        a, b = np.searchsorted(pair_block, (begin, end))
+        own_block, own_item = pair_block[a:b], pair_item[a:b]
+        bound = sums(items, own_block - begin, own_item, lambda rows, terms, most=most: most[rows * items.size + terms])
         order = np.argsort(-bound, kind="stable")
-        pair_block, pair_item, bound = pair_block[order], pair_item[order], bound[order]
+        own_block, own_item, bound = own_block[order], own_item[order], bound[order]
         step = max(1, AT_ONCE // (4 * BLOCK_DOCS * max(1, int(np.diff(items.ends).mean()))))
         for i in range(0, len(bound), step):
-            kept = bound[i : i + step] >= np.maximum(best.least[pair_item[i : i + step]], 1)
-            b, q = pair_block[i : i + step][kept], pair_item[i : i + step][kept]
-            found = np.unique(np.repeat(q, sizes[b]) * len(slab.doc_ids) + members[_spans(starts[b], sizes[b])])
-            found = np.setdiff1d(found, seen, assume_unique=True)
-            seen = np.union1d(seen, found)
+            kept = bound[i : i + step] >= np.maximum(best.least[own_item[i : i + step]], 1)
+            x, q = own_block[i : i + step][kept], own_item[i : i + step][kept]
+            found = np.repeat(q, sizes[x]) * len(slab.doc_ids) + members[_spans(starts[x], sizes[x])]
+            found = _distinct(found[~seen[found]])
+            seen[found] = True
             q, rows = found // len(slab.doc_ids), found % len(slab.doc_ids)
             best.add(q, slab.scores(q, rows), slab.doc_ids[rows])
             if counted is not None:
@@ -320,7 +330,7 @@ def search_batch(docs: DataFrame, keys: list[int], texts: list[list[bytes]]) ->
     return vectors.mapInArrow(run, "item long, doc_id long, score long")
 
 
-def item_batches(items: DataFrame, batch_bytes: int = BATCH_BYTES, batch_terms: int = BATCH_TERMS) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+def item_batches(items: DataFrame, batch_bytes: int = BATCH_BYTES, batch_terms: int = BATCH_TERMS, batch_items: int = BATCH_ITEMS) -> Iterator[tuple[list[int], list[list[bytes]]]]:
     """(keys, terms of each) of items(item, text), taken from Spark row by row, in batches of bounded size; a longer item is a batch of its own."""
     keys: list[int] = []
     texts: list[list[bytes]] = []
@@ -329,7 +339,7 @@ def item_batches(items: DataFrame, batch_bytes: int = BATCH_BYTES, batch_terms:
         own = [t for part in split_terms(bytes(row.text)) for t in part]
         if not own:
             continue
-        if keys and (size + len(row.text) > batch_bytes or terms + len(own) > batch_terms):
+        if keys and (size + len(row.text) > batch_bytes or terms + len(own) > batch_terms or len(keys) == batch_items):
             yield keys, texts
             keys, texts, size, terms = [], [], 0, 0
         keys.append(row.item)
