@@ -516,6 +516,17 @@ def stream_coverage(spark, sf_dir):
     return tasks.plan_coverage(events.select(F.col("user_id").alias("plan"), F.col("event_type").alias("tool")), finished)
 
 
+@query(
+    """WITH e AS (SELECT user_id AS plan, event_id, ts::TIMESTAMP AS ts, event_type AS tool FROM events WHERE event_id % 2 = 0), n AS (SELECT user_id AS plan, count(DISTINCT event_type) AS planned FROM events GROUP BY 1),
+d AS (SELECT *, count(DISTINCT tool) OVER (PARTITION BY plan ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done FROM e)
+SELECT plan, event_id, ts, tool, done, planned, round(done / planned, 4) AS coverage FROM d JOIN n USING (plan)"""
+)
+def stream_coverage_updates(spark, sf_dir):
+    """Coverage after each finished event, from a stream with a state for each plan."""
+    planned = S.read(spark, sf_dir, "events").select(F.col("user_id").alias("plan"), F.col("event_type").alias("tool"))
+    return tasks.run_updates(tasks.coverage_updates(_stream(spark, sf_dir), planned), new_folder(spark, "updates")).drop("batch")
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, CASE WHEN event_id % 2 = 0 THEN 'finished' ELSE 'started' END AS state, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Windows of a stream over the table's file; what the watermark has not closed is given as it stands."""
