@@ -16,7 +16,7 @@ DEGREE = r"(?i)\b(BA|B\.A\.|BS|B\.S\.|Minor|Certificate|AA-T|AS-T)\b"
 DEPARTMENT_PREFIXES = {"cse": "CSE:", "ece": "ECE:", "mae": "MAE:", "cogs": "COGS:"}
 DEGREE_NAMES = {"bs": "B.S.", "ba": "B.A.", "minor": "(Minor)"}
 SMALL_WORDS = ["and", "in", "of", "the"]
-
+# Fixed values too: the patterns of courses, units and sections.
 COURSE_TEXT = r"(?i)([A-Z]{2,}\s?\d+[A-Z]?)\s*:\s*(.*?)\s*\((\d+(?:\.\d+)?)\s*units?\)"
 UNITS_TEXT = r"(?i)\((\d+(?:\.\d+)?)\s*units?\)"
 SAME_COURSE = r"[A-Z]+(?:\s+[A-Z]+)*\s+[A-Z]*\d+[A-Z]*"

@@ -75,10 +75,18 @@ def reference_check(spark, sf_dir):
     return catalogue.reference_check(rows, names.groupBy("doc_id").agg(F.array_join(F.collect_list("p_name"), " ").alias("text")))
 
 
+_W = r"[\p{L}\p{N}_]"
+_DECIDED = f"""CASE WHEN length(first) > 2 AND NOT list_contains({catalogue.COMPOUNDS}, lower(first)) AND NOT (length(second) >= 4 AND regexp_matches(second, '^[aeiou]') AND NOT list_contains({catalogue.PREFIXES}, lower(first))) THEN first || second ELSE first || '-' || gap || second END"""
+_MARKED = "{'first': split_part(p, chr(2), 1), 'gap': split_part(split_part(p, chr(2), 2), chr(4), 1), 'second': split_part(split_part(p, chr(4), 2), chr(3), 1), 'behind': split_part(p, chr(3), 2)}"
+
+
 @query(
-    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '([a-zA-Z])([aeiou])', '\1\2', 'g'), 'tion', 'tion', 'g') AS text FROM documents"""
+    rf"""WITH b AS (SELECT doc_id, {{0}} AS text FROM documents),
+j AS (SELECT doc_id, regexp_replace(text, '({_W}+)-\s*\n\s*({_W}+)', '\1\2', 'g') AS text FROM b),
+m AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '({_W}+)-(\s+)([a-z]{_W}+)', chr(1) || '\1' || chr(2) || '\2' || chr(4) || '\3' || chr(3), 'g'), chr(1)), lambda p: CASE WHEN contains(p, chr(2)) THEN {_MARKED} ELSE {{{{'first': NULL, 'gap': NULL, 'second': NULL, 'behind': p}}}} END) AS l FROM j)
+SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN x.first IS NULL THEN x.behind ELSE {_DECIDED.replace("first", "x.first").replace("second", "x.second").replace("gap", "x.gap")} || x.behind END), '') AS text FROM m""".replace("{0}", r"""regexp_replace(regexp_replace(text, '(\p{L})tion', '\1-' || chr(10) || 'tion', 'g'), '(\p{L}+)(en|th|in|se)(\p{L})', '\1- \2\3', 'g')""").replace("{{", "{").replace("}}", "}")
 )
 def fix_hyphenation(spark, sf_dir):
-    """Texts whose lines are broken within words at ``tion``, joined again."""
-    broken = F.regexp_replace("text", r"([A-Za-z])tion", "$1-\ntion")
+    """Texts whose words are broken at line ends before ``tion``, and by spaces at four other places, repaired by the rules; breaks that look like compounds or two words stay."""
+    broken = F.regexp_replace(F.regexp_replace("text", r"(\p{L})tion", "$1-\ntion"), r"(\p{L}+)(en|th|in|se)(\p{L})", "$1- $2$3")
     return S.read(spark, sf_dir, "documents").select("doc_id", catalogue.without_breaks(broken).alias("text"))
