@@ -192,12 +192,51 @@ def notes_text(*notes: Column) -> Column:
     return F.nullif(F.concat_ws("; ", *(F.nullif(F.trim(n), F.lit("")) for n in notes)), F.lit(""))
 
 
+# What a bracket speaks of that names no course to take.
+ASIDES = ["same as", "within", "placement", "permission", "department consent"]
+#: A bracket, a slash, the word or, other text.
+PARTS = r"(?i)[()/]|(?<!\p{L})or(?!\p{L})|[^()/oO]+|[oO]"
+
+
+def without_asides(text: Column) -> Column:
+    """The text without brackets that speak of consent, placement and the like. A stack of open brackets decides on each by its own content, after those within it; one that is never closed stays."""
+    said = lambda content: F.exists(F.array(*map(F.lit, ASIDES)), lambda a: F.contains(F.lower(content), a))
+    rest = lambda held, n: F.slice(held, 1, F.size(held) - n)
+
+    def step(held: Column, part: Column) -> Column:
+        top, below = F.element_at(held, -1), F.try_element_at(held, F.lit(-2))
+        closed = F.concat(rest(held, 2), F.array(F.when(said(top), below).otherwise(F.concat(below, F.lit("("), top, F.lit(")")))))
+        return F.when(part == "(", F.concat(held, F.array(F.lit("")))).when((part == ")") & (F.size(held) > 1), closed).otherwise(F.concat(rest(held, 1), F.array(F.concat(top, part))))
+
+    return F.array_join(F.aggregate(F.regexp_extract_all(text, F.lit(PARTS), F.lit(0)), F.array(F.lit("")), step), "(")
+
+
+def alternatives(text: Column) -> Column:
+    """The text's parts between the words or and the slashes that stand in no bracket, trimmed; empty ones are left out."""
+    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
+
+    def step(held: Column, part: Column) -> Column:
+        depth = F.when(part == "(", held["depth"] + 1).when(part == ")", F.greatest(held["depth"] - 1, F.lit(0))).otherwise(held["depth"])
+        splits = (held["depth"] == 0) & ((part == "/") | (F.lower(part) == "or"))
+        longer = F.concat(F.slice(held["parts"], 1, F.size(held["parts"]) - 1), F.array(F.concat(F.element_at(held["parts"], -1), part)))
+        return F.struct(depth.alias("depth"), F.when(splits, F.concat(held["parts"], F.array(F.lit("")))).otherwise(longer).alias("parts"))
+
+    parts = F.aggregate(F.regexp_extract_all(text, F.lit(PARTS), F.lit(0)), start, step)["parts"]
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
 def prerequisite_segments(text: Column) -> Column:
-    """Alternatives of a prerequisite text, each as the array of its course codes: all of one are needed.
+    """Alternatives of a requirement text, each as the sorted array of its course codes: all of one are needed.
 
-    Brackets go first; ``or`` and ``/`` part alternatives; segments without a code are left out.
+    Brackets of consent, placement and the like go first; only an ``or`` or ``/`` outside brackets parts alternatives; segments without a code are left out. A code is capitals or small letters, at
+    least two, and a number that a letter may follow.
     """
-    bare = F.regexp_replace(F.upper(text), r"\([^)]*\)", " ")
-    parts = F.split(bare, r"\bOR\b|/")
-    codes = F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(r"([A-Z]{2,12} \d+[A-Z]?)"), F.lit(1)))
+    bare = F.transform(alternatives(without_asides(text)), lambda p: F.regexp_replace(p, r"(?i)\band\b|,|;", " "))
+    found = F.transform(bare, lambda p: F.regexp_extract_all(F.upper(p), F.lit(r"([A-Z]{2,}\s*\d+[A-Z]?)"), F.lit(1)))
+    codes = F.transform(found, lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: F.regexp_replace(x, r"^([A-Z]+)\s*(\d+)([A-Z]?)$", "$1 $2$3")))))
     return F.filter(codes, lambda c: F.size(c) > 0)
+
+
+def requirement_edges(text: Column, kind: Column) -> Column:
+    """array<struct<kind, courses>>: an edge of the kind (prerequisite, corequisite, ...) for each alternative of the text."""
+    return F.transform(F.coalesce(prerequisite_segments(text), F.array().cast("array<array<string>>")), lambda c: F.struct(kind.alias("kind"), c.alias("courses")))

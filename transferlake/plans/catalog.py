@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, parsing
+from ..sources import hard_lines
 from ..sources import stand_ins as S
 from .queries import query
 
@@ -194,10 +195,33 @@ def notes_text(spark, sf_dir):
 @query(
     f"""WITH c AS (SELECT p_partkey, {CODE} AS code FROM part), s AS (
 SELECT p_partkey, (p_partkey % 3 = 1)::INT AS s, unnest([[code, p_type || ' 7'], [code], ['PROMO 1'], [code, 'PROMO 2']]) AS l, unnest(range(4)) AS i FROM c JOIN part USING (p_partkey))
-SELECT p_partkey, (CASE WHEN i = 1 THEN 0 ELSE i - 2 END)::INT AS edge, array_to_string(l, ' AND ') AS needs FROM s WHERE (p_partkey % 3 = 0 AND i = 1) OR (p_partkey % 3 = 1 AND i > 1)
-UNION ALL SELECT p_partkey, 0, array_to_string(l, ' AND ') FROM s WHERE p_partkey % 3 = 2 AND i = 0"""
+SELECT p_partkey, (CASE WHEN i = 1 THEN 0 ELSE i - 2 END)::INT AS edge, array_to_string(list_sort(list_distinct(l)), ' AND ') AS needs FROM s WHERE (p_partkey % 3 = 0 AND i = 1) OR (p_partkey % 3 = 1 AND i > 1)
+UNION ALL SELECT p_partkey, 0, array_to_string(list_sort(list_distinct(l)), ' AND ') FROM s WHERE p_partkey % 3 = 2 AND i = 0"""
 )
 def prereq_edges(spark, sf_dir):
     said = _pick("p_partkey", F.concat(_code(), F.lit(" (or consent of the department)")), F.concat(F.lit("Promo 1 / "), _code(), F.lit(" and Promo 2 or eligibility")), F.concat(_code(), F.lit(" and "), F.col("p_type"), F.lit(" 7")))
     rows = _part(spark, sf_dir).select("p_partkey", F.posexplode(parsing.prerequisite_segments(said)).alias("edge", "codes"))
     return rows.select("p_partkey", "edge", F.array_join("codes", " AND ").alias("needs"))
+
+
+_ASIDE = "(?:" + "|".join(parsing.ASIDES) + ")"
+_FREE = lambda t: f"regexp_replace({t}, '(?i)\\([^()]*{_ASIDE}[^()]*\\)', '', 'g')"
+#: One level of innermost brackets: asides go, and what they stood in if it is one; the others get other marks.
+_LEVEL = lambda t: f"regexp_replace({_FREE(_FREE(t))}, '\\(([^()]*)\\)', chr(2) || '\\1' || chr(3), 'g')"
+
+
+@query(
+    rf"""WITH t AS (SELECT p_partkey, ['prerequisite', 'corequisite', 'advisory'][(p_partkey % 3 + 1)::INT] AS kind, replace(replace({hard_lines.REQUIREMENTS}[(p_partkey % {len(hard_lines.REQUIREMENTS)})::INT + 1], '@', p_type || ' ' || regexp_extract(p_brand, '([0-9]+)', 1)), '%', p_type) AS text FROM part),
+b AS (SELECT p_partkey, kind, translate({_LEVEL(_LEVEL(_LEVEL("text")))}, chr(2) || chr(3), '()') AS text FROM t),
+c AS (SELECT p_partkey, kind, text, i, substr(text, i, 1) AS ch, sum(CASE substr(text, i, 1) WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS depth FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM b)),
+m AS (SELECT *, depth = 0 AND (ch = '/' OR (lower(substr(text, i, 2)) = 'or' AND NOT regexp_matches(substr(' ' || text, i, 1), '\p{{L}}') AND NOT regexp_matches(substr(text || ' ', i + 2, 1), '\p{{L}}'))) AS splits FROM c),
+n AS (SELECT *, count_if(splits) OVER (PARTITION BY p_partkey ORDER BY i) AS seg, coalesce(lag(splits AND ch <> '/') OVER (PARTITION BY p_partkey ORDER BY i), false) AS second FROM m),
+s AS (SELECT p_partkey, kind, seg, upper(regexp_replace(string_agg(CASE WHEN splits OR second THEN '' ELSE ch END, '' ORDER BY i), '(?i)\band\b|,|;', ' ', 'g')) AS text FROM n GROUP BY ALL),
+e AS (SELECT p_partkey, kind, seg, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Z]{{2,}}\s*\d+[A-Z]?'), lambda x: regexp_replace(x, '^([A-Z]+)\s*(\d+)([A-Z]?)$', '\1 \2\3')))) AS l FROM s)
+SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY seg) - 1)::INT AS edge, kind, array_to_string(l, ' AND ') AS needs FROM e WHERE len(l) > 0"""
+)
+def requirement_edges(spark, sf_dir):
+    """Edges of requirement texts with nested brackets, alternatives within and outside them, and asides at any depth."""
+    rows = hard_lines.requirement_texts(spark, sf_dir)
+    each = rows.select("p_partkey", F.posexplode(parsing.requirement_edges(F.col("text"), F.col("kind"))).alias("edge", "x"))
+    return each.select("p_partkey", "edge", "x.kind", F.array_join("x.courses", " AND ").alias("needs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lines, quality, search
-from ..sources import files
+from ..sources import files, hard_lines
 from ..sources import stand_ins as S
 from .queries import BASE, LINES, _areas, _lines, query
 
@@ -58,15 +58,33 @@ def master_summary(spark, sf_dir):
     return quality.master_summary(_areas(spark, sf_dir).withColumn("department", F.split_part("code", F.lit(" "), F.lit(1))))
 
 
-@query(
-    f"""WITH {LINES}, b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM ln),
-f AS (SELECT *, CASE WHEN coalesce(regexp_matches(p, '{quality.OPEN_END}') OR (NOT regexp_matches(p, '[.!?:]\\z') AND regexp_matches(line, '^[a-z]')) OR (regexp_matches(p, '{quality.CAPITAL_END}') AND regexp_matches(line, '^[A-Z]') AND NOT regexp_matches(line, '{quality.STARTER}')), false) THEN 0 ELSE 1 END AS new FROM b),
-r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM f) SELECT doc_id, min(line_no) AS first_line, count(*) AS n, string_agg(line, ' ' ORDER BY line_no) AS text FROM r GROUP BY doc_id, run"""
-)
+_ANY = lambda test, values: "(" + " OR ".join(test.format("'" + v + "'") for v in values) + ")"
+_GOES_ON = f"""({_ANY("ends_with(A_, {0})", quality.OPEN_ENDS)} OR {_ANY("contains(A_, {0})", quality.OPEN_PARTS)} OR {_ANY("starts_with(S_, {0})", quality.GOES_ON)} OR (NOT regexp_matches(A_, '[.!?:]\\z') AND regexp_matches(S_, '^\\p{{Ll}}'))
+  OR (regexp_matches(A_, '(^|\\s)\\p{{Lu}}\\S*\\s*\\z') AND regexp_matches(S_, '^\\s*\\p{{Lu}}') AND NOT list_contains({quality.STARTERS}, rtrim(regexp_extract(S_, '^\\s*(\\S+)', 1), '.,;:'))) OR (ends_with(A_, ',') AND {_ANY("contains(lower(A_), {0})", quality.ADDRESSES)}))"""
+_BETWEEN = "CASE WHEN (ends_with(A_, '/') AND NOT starts_with(S_, ' ')) OR (ends_with(A_, 'to smc.') AND starts_with(S_, 'edu/OnlineEd.')) THEN '' ELSE ' ' END"
+#: A_ as the text of the last note so far, S_ as that of a line.
+_FOLDED = lambda sql: sql.replace("A_", "split_part(list_last(string_split(a, chr(1))), chr(2), 2)").replace("S_", "split_part(s, chr(2), 2)")
+#: The lines of a document as one text, notes parted by chr(1), each behind the number of its first line.
+_MERGED = f"""f AS (SELECT doc_id, list_reduce(list(line_no || chr(2) || line ORDER BY line_no), lambda a, s: CASE WHEN {_FOLDED(_GOES_ON)} THEN a || {_FOLDED(_BETWEEN)} || split_part(s, chr(2), 2) ELSE a || chr(1) || s END) AS t FROM ln WHERE line IS NOT NULL GROUP BY 1),
+n AS (SELECT doc_id, split_part(x, chr(2), 1)::INT AS first_line, split_part(x, chr(2), 2) AS text FROM (SELECT doc_id, unnest(string_split(t, chr(1))) AS x FROM f)),
+e AS (SELECT *, lead(first_line) OVER (PARTITION BY doc_id ORDER BY first_line) AS next FROM n)
+SELECT e.doc_id, first_line, count(*) AS n, any_value(text) AS text FROM e JOIN ln ON ln.doc_id = e.doc_id AND line_no >= first_line AND (next IS NULL OR line_no < next) WHERE line IS NOT NULL GROUP BY e.doc_id, first_line"""
+
+
+@query(f"WITH {LINES}, {_MERGED}")
 def merge_notes(spark, sf_dir):
     return quality.merge_notes(_lines(spark, sf_dir))
 
 
+@query(
+    f"""WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS line_no, min(l_partkey) AS part FROM lineitem GROUP BY ALL),
+ln AS (SELECT doc_id, line_no, replace({hard_lines.FRAGMENTS}[((part + line_no * 7) % {len(hard_lines.FRAGMENTS)})::INT + 1], '#', part::VARCHAR) AS line FROM r), {_MERGED}"""
+)
+def merge_broken_notes(spark, sf_dir):
+    """Notes broken at odd places: addresses over several lines, links, names, and notes that go on whatever follows."""
+    return quality.merge_notes(hard_lines.note_lines(spark, sf_dir))
+
+
 @query("SELECT p_type AS owner, min(p_partkey) AS place, p_size % 7 AS area, 2000 + p_size % 5 AS approved, CASE WHEN p_size % 3 = 0 THEN 2020 + p_size % 2 END AS removed FROM part GROUP BY ALL")
 def area_merge(spark, sf_dir):
     """The first of each area with the same dates, in order of the list."""
