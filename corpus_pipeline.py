@@ -20,7 +20,7 @@ from transferlake.llm.packing import pack_documents
 from transferlake.llm.queries import VOCABULARY, severity_model
 from transferlake.llm.simhash import near_duplicates
 from transferlake.llm.toxicity import drop_toxic
-from transferlake.sources.files import shared_folder
+from transferlake.sources.files import new_folder, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,15 +30,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return checkpointed(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")))
 
 
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of keyed whose row_key is not in gone. Those keys are few against the texts; they are written as a file, so that the planner knows their size and moves no text where they are small."""
+    path = new_folder(keyed.sparkSession, "gone")
+    gone.select("row_key").distinct().write.parquet(path)
+    return keyed.join(keyed.sparkSession.read.parquet(path), "row_key", "left_anti").select(*COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification does not reject.
 
     It is learned from docs alone. Null and empty texts, and those without a letter, go; a null lang, source, n_chars or doc_id is no reason to. Repeated
     rows all stay or all go; a text of any length is judged as a whole.
     """
-    keyed = _keyed(docs)
-    gone = identify_languages(keyed, carried=("row_key",)).where("rejected").select("row_key")
-    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
+    rows = docs.select("doc_id", "text", "lang", F.struct(*COLUMNS).alias("row"))  # goes through the operator with its verdict, so that no text is shuffled
+    return identify_languages(rows, carried=("row",)).where("not rejected").select("row.*")
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +62,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null texts, empty ones and those of white space are one group. Of rows that are alike in id and text one stays.
     """
     keyed = _keyed(docs)
-    groups = near_duplicates(keyed, id_column="row_key").join(keyed.select("row_key", "doc_id"), "row_key")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"))
-    return keyed.join(first.select("first.row_key"), "row_key", "left_semi").select(*COLUMNS)
+    groups = checkpointed(near_duplicates(keyed, id_column="row_key").select("row_key", "component_id").join(keyed.select("row_key", "doc_id"), "row_key"))
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = groups.join(first.select("component_id", F.col("first.row_key").alias("stays")), "component_id").where("row_key <> stays")
+    return _without(keyed, gone)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +74,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts leak nothing and stay; repeated rows all stay or all go; an empty benchmark takes none.
     """
     keyed = _keyed(docs)
-    gone = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_column="row_key").select("row_key").distinct()
-    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
+    return _without(keyed, find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_column="row_key"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
