@@ -167,7 +167,8 @@ def excerpt(text: Column, most: int = 120) -> Column:
 
 
 def _usable(vectors: DataFrame, *more: str) -> DataFrame:
-    return vectors.select("vec_id", "embedding", *more).where("vec_id is not null and embedding is not null")
+    kept = vectors.where("vec_id is not null and embedding is not null")
+    return kept.select(*(F.col(c).alias(c) for c in ("vec_id", "embedding", *more)))  # columns of its own, where both sides come from one table
 
 
 def _unit(column: pa.ChunkedArray, size: int) -> np.ndarray:
