@@ -93,3 +93,15 @@ def test_edges_of_nested_texts(spark):
     for r in df.collect():
         assert [list(x.courses) for x in r.e] == (edges(r.t) if r.t else []), r.t
         assert all(x.kind == "advisory" for x in r.e)
+
+
+def test_page_furniture_goes_and_text_stays(spark):
+    from transferlake.operators import catalogue
+
+    word = dict(enumerate("zero anatomy botany chemistry dance".split()))
+    pages = [["Running title p. %d" % n, f"Course {word[n]} needs measure-", "ment of things.", "B", "U", "R I S K   A N D  R E T U R N", "It goes on", "in lower case", f"Unique line {n}:", f"a note on {word[n]}", "12", "Go to list Fall 2025", str(12 + n)] for n in range(1, 5)]
+    rows = [(1, i, x) for i, x in enumerate(x for p in pages for x in p)] + [(2, 0, "Running title p. 1"), (2, 1, "140"), (2, 2, "require-"), (2, 3, "ment"), (2, 4, None), (2, 5, "  lots   of   space ")]
+    got = catalogue.cleaned(spark.createDataFrame(rows, "doc_id long, line_no int, line string")).orderBy("doc_id", "first_line").collect()
+    kept = [t for n in range(1, 5) for t in (f"Course {word[n]} needs measurement of things.", "It goes on in lower case", f"Unique line {n}:", f"a note on {word[n]}")]
+    assert [r.text for r in got if r.doc_id == 1 and r.text != "12"] == kept
+    assert [r.text for r in got if r.doc_id == 2] == ["Running title p. 1", "140 requirement lots of space"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.parsing import AREA
-from .lines import in_order, merge_lines
+from .lines import in_order
 
 #: Labels of fields and how their lines begin, in the order in which they are tried.
 LABELS = {
@@ -28,12 +28,61 @@ ARRANGED = r"^(Arrange-[\d.]+ Hours?)\s+(?:N\s+)?(.+)$"
 COURSE_CODE = r"^[A-Z][A-Z ]*\d+[A-Z]?$"
 
 
-def cleaned(lines: DataFrame, first_page: int = 13, last_page: int = 103) -> DataFrame:
-    """(doc_id, first_line, n, text): page numbers standing alone, lines of two characters or fewer and repeated spaces go; lines that go on are merged."""
-    bare = F.trim(F.regexp_replace("line", r"\s+", " "))
-    number = F.when(bare.rlike(r"^\d{1,3}$"), bare.cast("int"))
-    page = F.coalesce(number.between(first_page, last_page), F.lit(False))
-    return merge_lines(lines.withColumn("line", bare).where((F.length("line") > 2) & ~page))
+# Words that pages split, as they stand at the end of a line and the beginning of the next.
+SPLIT_WORDS = {
+    "measure-": "ment",
+    "invest-": "ment",
+    "develop-": "ment",
+    "manage-": "ment",
+    "require-": "ment",
+    "depart-": "ment",
+    "educa-": "tional",
+    "informa-": "tion",
+    "administra-": "tion",
+}
+#: A line of capitals and spaces only is a caption set vertically.
+CAPTION = r"^[A-Z\s]{10,}$"
+
+
+def without_furniture(lines: DataFrame, first_page: int = 13, last_page: int = 103, least_pages: int = 3) -> DataFrame:
+    """(doc_id, line_no, line): lines without what pages add to a text, spaces collapsed.
+
+    A number of one to three digits alone on a line, from ``first_page`` to ``last_page``, ends a page and goes. A first or last line of a page goes if the same line, whatever its numbers, stands there on ``least_pages`` pages of the
+    document or more; after it the next one is looked at, up to two lines at either end. Captions in capitals, also those of single letters below each other, go, and so do lines of two characters or fewer that are no number.
+    """
+    bare = lines.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
+    number = F.when(F.col("line").rlike(r"^\d{1,3}$"), F.col("line").cast("int"))
+    ends = F.coalesce(number.between(first_page, last_page), F.lit(False))
+    short = (F.length("line") <= 2) & ~F.col("line").rlike(r"^\d+$")
+    marked = bare.withColumn("ends", ends).where(F.col("ends") | ~(short | F.col("line").rlike(CAPTION)))
+    paged = marked.withColumn("page", F.count_if("ends").over(in_order().rowsBetween(Window.unboundedPreceding, -1)))
+    kept = paged.where("not ends").withColumn("key", F.regexp_replace("line", r"\d+", "#"))
+    of_page = Window.partitionBy("doc_id", "page")
+    for _ in range(2):
+        placed = kept.withColumn("up", F.row_number().over(of_page.orderBy("line_no"))).withColumn("down", F.row_number().over(of_page.orderBy(F.col("line_no").desc())))
+        there = lambda edge: F.when(F.col(edge) == 1, F.count_if(F.col(edge) == 1).over(Window.partitionBy("doc_id", "key")))
+        seen = placed.withColumn("top", there("up")).withColumn("bottom", there("down"))
+        kept = seen.where(~(F.coalesce(F.col("top") >= least_pages, F.lit(False)) | F.coalesce(F.col("bottom") >= least_pages, F.lit(False)))).drop("up", "down", "top", "bottom")
+    return kept.select("doc_id", "line_no", "line")
+
+
+def cleaned(lines: DataFrame, first_page: int = 13, last_page: int = 103, least_pages: int = 3) -> DataFrame:
+    """(doc_id, first_line, n, text): lines without page furniture (``without_furniture``), words that a page splits joined again, and lines that go on merged.
+
+    A line goes on if it begins in lower case, has fewer than eight words and the one before does not end with ``.`` or ``:``.
+    """
+    bare = without_furniture(lines, first_page, last_page, least_pages)
+    before = F.lag("line").over(in_order())
+    split = F.lit(False)
+    for first, second in SPLIT_WORDS.items():
+        split = split | (F.endswith(before, F.lit(first)) & F.startswith(F.col("line"), F.lit(second)))
+    split = F.coalesce(split, F.lit(False))
+    goes_on = F.col("line").rlike(r"^\p{Ll}") & ~before.rlike(r"[.:]$") & (F.size(F.split("line", " ")) < 8)
+    joins = split | F.coalesce(goes_on, F.lit(False))
+    runs = bare.withColumn("split", split).withColumn("joins", joins).withColumn("run", F.count_if(~F.col("joins")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "split", "line")))
+    joined = F.aggregate(parts, F.lit(""), lambda held, x: F.when(held == "", x["line"]).when(x["split"], F.concat(F.regexp_replace(held, "-$", ""), x["line"])).otherwise(F.concat_ws(" ", held, x["line"])))
+    return runs.groupBy("doc_id", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n"), joined.alias("text")).drop("run")
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -44,37 +93,49 @@ def segments(lines: DataFrame) -> DataFrame:
     return numbered.where("segment > 0").groupBy("doc_id", "segment").agg(F.max("title").alias("title"), F.max("under").alias("under"), F.count("*").alias("n_lines"))
 
 
-def _label(line: Column) -> Column:
-    """The label of a line; null for one that goes on or describes."""
-    found = F.lit(None).cast("string")
+#: Fields that go on in the next line until one ends in a full stop.
+OPEN_FIELDS = ["prerequisite", "corequisite", "advisory"]
+#: Several of them at once, parted by slashes.
+COMBINED = r"^\W*((?:Prerequisite|Corequisite|Advisory)(?:\s*/\s*(?:Prerequisite|Corequisite|Advisory))+):\s*"
+
+
+def _labels(line: Column) -> Column:
+    """The labels of a line; none for one that goes on or describes."""
+    found = F.array().cast("array<string>")
     for label, begins in reversed(LABELS.items()):
-        found = F.when(line.rlike(begins), label).otherwise(found)
-    return found
+        found = F.when(line.rlike(begins), F.array(F.lit(label))).otherwise(found)
+    return F.when(line.rlike(COMBINED), F.split(F.lower(F.regexp_extract(line, COMBINED, 1)), r"\s*/\s*")).otherwise(found)
 
 
 def course_blocks(lines: DataFrame) -> DataFrame:
     """(doc_id, course_no, code, title, units, labels.., description): a header line begins a course, and labelled lines its fields.
 
-    A line after an open field, one that does not end in a full stop, goes on with it; the others, but for schedules and marks, are the description. A field that
-    comes again is appended, unless it holds the same text already.
+    The lines of a course are read from first to last. A labelled line opens its field, or its fields where labels are combined. Where a prerequisite, corequisite or advisory is open and its text so far does not end in a full stop, a
+    line without a label goes on with it, over any number of lines; other such lines are the description. Schedules and marks belong to no field and close what is open. What a field gets is appended, unless the field
+    holds it already.
     """
     line = F.col("line")
     header = line.rlike(HEADER)
     mark = line.rlike("^[=~]") | line.rlike(SCHEDULE) | line.rlike(ARRANGED)
-    known = lines.withColumn("header", header).withColumn("mark", mark).withColumn("label", F.when(~header & ~mark, _label(line)))
+    known = lines.withColumn("header", header).withColumn("mark", mark).withColumn("labels", F.when(~header & ~mark, _labels(line)))
     numbered = known.withColumn("course_no", F.count_if("header").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).where("course_no > 0")
-    within = Window.partitionBy("doc_id", "course_no").orderBy("line_no")
-    before = F.lag(F.struct("label", "line")).over(within)
-    goes_on = F.col("label").isNull() & ~F.col("header") & ~F.col("mark") & before["label"].isin("prerequisite", "corequisite", "advisory") & ~before["line"].rlike(r"[.]\s*$")
-    field = F.when(F.col("header"), "header").when(F.col("mark"), F.lit(None).cast("string")).otherwise(F.coalesce("label", F.when(goes_on, before["label"]), F.lit("description")))
-    body = F.col("line")
+    body = F.regexp_replace("line", COMBINED, "")
     for begins in LABELS.values():
         body = F.regexp_replace(body, begins, "")
-    placed = numbered.withColumn("field", field).withColumn("body", F.when(F.col("field") == "header", F.col("line")).otherwise(body)).where("field is not null")
-    text = lambda name: F.nullif(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct("line_no", "body")))), lambda x: x["body"])), " "), F.lit(""))
-    per = placed.groupBy("doc_id", "course_no").agg(F.max(F.when(F.col("field") == "header", F.col("line"))).alias("h"), *(text(name).alias(name) for name in [*LABELS, "description"]))
+    per = numbered.withColumn("body", body).groupBy("doc_id", "course_no").agg(F.max(F.when(F.col("header"), F.col("line"))).alias("h"), F.array_sort(F.collect_list(F.when(~F.col("header"), F.struct("line_no", "mark", "labels", "line", "body")))).alias("l"))
+    names = [*LABELS, "description"]
+    nothing = F.array().cast("array<string>")
+    start = F.struct(nothing.alias("open"), *(F.lit(None).cast("string").alias(n) for n in names))
+
+    def step(held: Column, x: Column) -> Column:
+        into = F.when(x["mark"], nothing).when(F.size(x["labels"]) > 0, x["labels"]).when(F.size(held["open"]) > 0, held["open"]).otherwise(F.array(F.lit("description")))
+        ended = x["mark"] | x["line"].rlike(r"[.]\s*$") | ~F.arrays_overlap(into, F.array(*map(F.lit, OPEN_FIELDS)))
+        longer = lambda n: F.when(held[n].isNull(), x["body"]).when(F.contains(held[n], x["body"]), held[n]).otherwise(F.concat_ws(" ", held[n], x["body"]))
+        return F.struct(F.when(ended, nothing).otherwise(into).alias("open"), *(F.when(F.array_contains(into, n), longer(n)).otherwise(held[n]).alias(n) for n in names))
+
     part = lambda k: F.regexp_extract("h", HEADER, k)
-    return per.select("doc_id", "course_no", F.concat_ws(" ", part(1), part(2)).alias("code"), part(3).alias("title"), part(4).cast("double").alias("units"), *LABELS, "description")
+    read = per.select("doc_id", "course_no", F.concat_ws(" ", part(1), part(2)).alias("code"), part(3).alias("title"), part(4).cast("double").alias("units"), F.aggregate("l", start, step).alias("f"))
+    return read.select("doc_id", "course_no", "code", "title", "units", *(F.nullif(F.col(f"f.{n}"), F.lit("")).alias(n) for n in names))
 
 
 def schedules(lines: DataFrame) -> DataFrame:

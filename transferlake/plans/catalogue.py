@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue
-from ..sources import catalogues
+from ..sources import catalogues, hard_lines
 from ..sources import stand_ins as S
 from .queries import LINES, _lines, query
 
@@ -14,15 +14,38 @@ c AS (SELECT cell.*, p_type AS prefix, regexp_extract(p_brand, '([0-9]+)', 1) AS
 """
 
 
-@query(
-    f"""WITH {LINES}, b AS (SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM ln), k AS (SELECT * FROM b WHERE length(line) > 2 AND NOT coalesce(CASE WHEN regexp_matches(line, '^\\d{{1,3}}$') THEN line::INT BETWEEN 13 AND 103 END, false)),
-f AS (SELECT *, CASE WHEN regexp_matches(line, '^[a-z]') AND NOT regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), '[.:]$') THEN 0 ELSE 1 END AS new FROM k),
-r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM f) SELECT doc_id, min(line_no) AS first_line, count(*) AS n, string_agg(line, ' ' ORDER BY line_no) AS text FROM r GROUP BY doc_id, run"""
+_EDGE = """, u{n} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) = 1 AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no DESC) = 1 AS down FROM {of}),
+e{n} AS (SELECT doc_id, line_no, line, page, key FROM (SELECT *, up AND count_if(up) OVER k >= 3 AS top, down AND count_if(down) OVER k >= 3 AS bottom FROM u{n} WINDOW k AS (PARTITION BY doc_id, key)) WHERE NOT top AND NOT bottom)"""
+_SPLIT = " OR ".join(f"(ends_with(p, '{a}') AND starts_with(line, '{b}'))" for a, b in catalogue.SPLIT_WORDS.items())
+_CLEANED = (
+    r"""b AS (SELECT doc_id, line_no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM ln),
+m AS (SELECT *, coalesce(CASE WHEN regexp_matches(line, '^\d{1,3}$') THEN line::INT BETWEEN 13 AND 103 END, false) AS ends FROM b),
+k0 AS (SELECT * FROM m WHERE ends OR NOT ((length(line) <= 2 AND NOT regexp_matches(line, '^\d+$')) OR regexp_matches(line, '^[A-Z\s]{10,}$'))),
+k1 AS (SELECT *, coalesce(count_if(ends) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page, regexp_replace(line, '\d+', '#', 'g') AS key FROM k0),
+k2 AS (SELECT * FROM k1 WHERE NOT ends)"""
+    + _EDGE.replace("{n}", "1").replace("{of}", "k2")
+    + _EDGE.replace("{n}", "2").replace("{of}", "e1")
+    + r""", f AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM e2),
+j AS (SELECT *, coalesce(SPLIT, false) AS split, coalesce(SPLIT, false) OR coalesce(regexp_matches(line, '^\p{Ll}') AND NOT regexp_matches(p, '[.:]$') AND len(string_split(line, ' ')) < 8, false) AS joins FROM f),
+r AS (SELECT *, count_if(NOT joins) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM j)
+SELECT doc_id, min(line_no) AS first_line, count(*) AS n, replace(ltrim(string_agg(CASE WHEN split THEN chr(1) ELSE ' ' END || line, '' ORDER BY line_no)), '-' || chr(1), '') AS text FROM r GROUP BY doc_id, run""".replace("SPLIT", _SPLIT)
 )
+
+
+@query(f"WITH {LINES}, {_CLEANED}")
 def clean_lines(spark, sf_dir):
     return catalogue.cleaned(_lines(spark, sf_dir))
 
 
+@query(
+    f"""WITH pg AS (SELECT l_suppkey AS doc_id, l_orderkey * 8 + l_linenumber AS spot, min(l_partkey) AS part FROM lineitem GROUP BY ALL),
+ln AS (SELECT doc_id, spot * 16 + i AS line_no, replace(replace({hard_lines.PAGE}[i + 1], '#', part::VARCHAR), '@', (spot % 120)::VARCHAR) AS line FROM pg, range({len(hard_lines.PAGE)}) t(i) WHERE (part + i) % 7 <> 0), {_CLEANED}"""
+)
+def clean_pages(spark, sf_dir):
+    """Pages with running titles, footers, page numbers, captions and split words, cleaned and merged."""
+    return catalogue.cleaned(hard_lines.page_lines(spark, sf_dir))
+
+
 @query(
     COURSES
     + """, l AS (SELECT *, 4 + (size % 2 = 0)::INT + (size % 3 = 0)::INT + (size % 5 = 0)::INT + 2 * (size % 4 = 0)::INT + (size % 6 = 0)::INT + (size % 7 = 0)::INT - 1 AS n, pos IN (1, 5) AS opens FROM c),
@@ -43,6 +66,30 @@ def parse_course_blocks(spark, sf_dir):
     return catalogue.course_blocks(catalogues.catalogue_lines(spark, sf_dir))
 
 
+_BODY = "regexp_replace(line, '" + catalogue.COMBINED + "', '')"
+for _begins in catalogue.LABELS.values():
+    _BODY = f"regexp_replace({_BODY}, '{_begins}', '')"
+_LABEL = "CASE WHEN regexp_matches(line, '" + catalogue.COMBINED + "') THEN regexp_split_to_array(lower(regexp_extract(line, '" + catalogue.COMBINED + r"', 1)), '\s*/\s*')" + "".join(f" WHEN regexp_matches(line, '{b}') THEN ['{n}']" for n, b in catalogue.LABELS.items()) + " END"
+_FIELD = lambda n: f"list_reduce(list(body ORDER BY line_no) FILTER (list_contains(fields, '{n}')), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || ' ' || x END) AS {n}"
+
+
+@query(
+    rf"""WITH pg AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS pos, min(l_partkey) AS part FROM lineitem GROUP BY ALL),
+ln AS (SELECT doc_id, pos * 100 + i AS line_no, replace({["MATH #, CALCULUS # 5 UNITS", *hard_lines.COURSE]}[i + 1], '#', part::VARCHAR) AS line FROM pg, range({len(hard_lines.COURSE) + 1}) t(i) WHERE i = 0 OR (part + i) % 7 <> 0),
+k AS (SELECT *, regexp_matches(line, '{catalogue.HEADER}') AS header, regexp_matches(line, '^[=~]') OR regexp_matches(line, '{catalogue.SCHEDULE}') OR regexp_matches(line, '{catalogue.ARRANGED}') AS mark FROM ln),
+c AS (SELECT *, count_if(header) OVER (PARTITION BY doc_id ORDER BY line_no) AS course_no, CASE WHEN NOT header AND NOT mark THEN {_LABEL} END AS labels, {_BODY} AS body FROM k),
+b AS (SELECT *, header OR mark OR labels IS NOT NULL OR coalesce(regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), '[.]\s*$'), true) AS opens FROM c),
+g AS (SELECT *, count_if(opens) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM b),
+f AS (SELECT *, first_value(labels) OVER (PARTITION BY doc_id, run ORDER BY line_no) AS own FROM g),
+p AS (SELECT *, CASE WHEN header OR mark THEN []::VARCHAR[] WHEN labels IS NOT NULL THEN labels WHEN own IS NOT NULL AND list_has_any(own, {catalogue.OPEN_FIELDS}) THEN own ELSE ['description'] END AS fields FROM f)
+SELECT doc_id, course_no, regexp_extract(max(line) FILTER (header), '{catalogue.HEADER}', 1) || ' ' || regexp_extract(max(line) FILTER (header), '{catalogue.HEADER}', 2) AS code, regexp_extract(max(line) FILTER (header), '{catalogue.HEADER}', 3) AS title, regexp_extract(max(line) FILTER (header), '{catalogue.HEADER}', 4)::DOUBLE AS units,
+  {', '.join(_FIELD(n) for n in [*catalogue.LABELS, 'description'])} FROM p WHERE course_no > 0 GROUP BY doc_id, course_no"""
+)
+def parse_hard_courses(spark, sf_dir):
+    """Courses whose fields repeat, go on over many lines or are combined, read from the lines."""
+    return catalogue.course_blocks(hard_lines.course_lines(spark, sf_dir))
+
+
 @query(
     COURSES
     + """SELECT doc_id, CASE WHEN pos % 2 = 0 THEN (1 + supp % 9) || ':00a.m.-' || (1 + supp % 9) || ':50p.m.' ELSE 'Arrange-' || pos || ' Hours' END AS time, CASE WHEN pos % 2 = 0 THEN list_extract(['MW', 'TTh', 'MWF'], (supp % 3 + 1)::INT) ELSE 'N' END AS days,

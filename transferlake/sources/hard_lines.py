@@ -60,3 +60,46 @@ def requirement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat("p_type", F.lit(" "), F.regexp_extract("p_brand", r"(\d+)", 1))
     kind = F.element_at(F.array(F.lit("prerequisite"), F.lit("corequisite"), F.lit("advisory")), (key % 3).cast("int") + 1)
     return read(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), F.replace(F.replace(said, F.lit("@"), code), F.lit("%"), F.col("p_type")).alias("text"))
+
+
+#: Lines of a page; ``#`` is a number of the page's course, ``@`` one of the page.
+PAGE = ["Fall term, page @ of the catalogue", "Course # covers require-", "ments of line @.", "and goes on here", "V", "E", "S C H E D U L E O F", "BUILDING NAMES", "12", "It ends with # units:", "see above", "Go to list @", "@"]
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, line): a page for each line of a supplier, with running titles, footers, captions, and now and then a page without some of them."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("at")).agg(F.min("l_partkey").alias("part"))
+    said = F.transform(F.array(*map(F.lit, PAGE)), lambda x: F.replace(F.replace(x, F.lit("#"), F.col("part").cast("string")), F.lit("@"), (F.col("at") % 120).cast("string")))
+    each = rows.select("doc_id", "at", "part", F.posexplode(said).alias("k", "line")).where((F.col("part") + F.col("k")) % 7 != 0)
+    return each.select("doc_id", (F.col("at") * 16 + F.col("k")).alias("line_no"), "line")
+
+
+#: Lines of a course below its header; ``#`` is a number of the course.
+COURSE = [
+    "Transfer: UC, CSU",
+    "Transfer: UC",
+    "• Prerequisite: MATH #,",
+    "MATH 2 and",
+    "consent of instructor #.",
+    "9:00a.m.-9:50a.m. MW BUS 1 Smith J",
+    "a line that stands alone and",
+    "Prerequisite/Corequisite: PHYS # and",
+    "CHEM 1;",
+    "Advisory: ENGL 1",
+    "or ENGL #.",
+    "consent of instructor #.",
+    "C-ID: MATH #00.",
+    "Covers limits.",
+    "• Prerequisite: MATH 2 and",
+    "• Corequisite / Advisory: BIO 3.",
+    "Covers limits.",
+    "Formerly MATH 0.",
+]
+
+
+def course_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, line): a course for each line of an order, with fields that repeat, go on over many lines, or are combined; a seventh of the lines is left out."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("pos")).agg(F.min("l_partkey").alias("part"))
+    said = F.concat(F.array(F.lit("MATH #, CALCULUS # 5 UNITS")), F.array(*map(F.lit, COURSE)))
+    each = rows.select("doc_id", "pos", "part", F.posexplode(F.transform(said, lambda x: F.replace(x, F.lit("#"), F.col("part").cast("string")))).alias("k", "line"))
+    return each.where((F.col("k") == 0) | ((F.col("part") + F.col("k")) % 7 != 0)).select("doc_id", (F.col("pos") * 100 + F.col("k")).alias("line_no"), "line")
