@@ -140,3 +140,23 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
         run.awaitTermination()
     counts = spark.read.parquet(f"{tmp_path}/out").groupBy("window_start").agg(F.max("n").alias("n")).collect()
     assert {r.window_start.day: r.n for r in counts} == {1: 1, 20: 3}
+
+
+def test_held_out_rows_have_no_copies(spark):
+    data = spark.createDataFrame([(i, "ab"[i % 10 == 0], f"Text {i}.") for i in range(200)], "id long, label string, text string")
+    got = labels.augmented_split(data, {"b": 3}, 90).collect()
+    held, train = {r.id for r in got if r.part == "validation"}, [r for r in got if r.part == "train"]
+    assert not held & {r.id for r in train} and len(held) == 30
+    counts = {x: sum(r.label == x for r in train) for x in "ab"}
+    assert counts == {"a": 153, "b": 90}
+    assert all(r.text == f"Text {r.id}." for r in got if r.copy == 0)
+    assert all(r.text in (f"text {r.id}.", f"Text {r.id}", f"Text {r.id}x") for r in train if r.copy)
+
+
+def test_the_classifier_is_better_than_the_most_frequent_label(spark):
+    import __spark_entry__
+
+    report = __spark_entry__.queries()["train_classifier"](spark, "/root/testdata/sf0.01").collect()
+    rows_ = sum(r.support for r in report)
+    most = max(r.support for r in report) / rows_
+    assert sum(r.f1 * r.support for r in report) / rows_ > 2 * most / (1 + most) * most + 0.02

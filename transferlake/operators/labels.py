@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
 from .ranks import numbered
 
 
@@ -44,9 +45,18 @@ def oversample(rows: DataFrame, factors: dict[str, int], least: int = 0) -> Data
 
 
 def changed(text: Column, id_: Column, copy: Column) -> Column:
-    """The text of a row, lightly changed in its copies: by a hash of id and copy in lower case, without its last mark, or with its last character x."""
-    kind = F.pmod(F.xxhash64(id_, copy), F.lit(3))
-    return F.when(copy == 0, text).when(kind == 0, F.lower(text)).when(kind == 1, F.regexp_replace(text, r"[.!?]$", "")).otherwise(F.regexp_replace(text, r"(?s).$", "x"))
+    """The text of a row, lightly changed in its copies: by a digest of id and copy in lower case, without its last mark, or with its last character x."""
+    kind = F.conv(F.substring(F.md5(F.concat_ws(":", id_.cast("string"), copy.cast("string"))), 1, 2), 16, 10).cast("int") % 3
+    return F.when(copy == 0, text).when(kind == 0, F.lower(text)).when(kind == 1, F.regexp_replace(text, r"[.!?]\z", "")).otherwise(F.regexp_replace(text, r"(?s).\z", "x"))
+
+
+def augmented_split(rows: DataFrame, factors: dict[str, int], least: int = 0, ratio: float = 0.15) -> DataFrame:
+    """(id, label, text, copy, part) of rows(id, label, text): the originals are split first, then only those to train on are oversampled and topped up, their copies with changed texts; so no
+    held-out row has a copy among them."""
+    split = saved(stratified_split(rows, ratio))
+    train = oversample(split.where("part = 'train'").drop("part"), factors, least)
+    train = train.withColumn("text", changed(F.col("text"), F.col("id"), F.col("copy"))).withColumn("part", F.lit("train"))
+    return train.select("id", "label", "text", "copy", "part").unionByName(split.where("part <> 'train'").select("id", "label", "text", F.lit(0).alias("copy"), "part"))
 
 
 def label_index(rows: DataFrame) -> DataFrame:

@@ -444,6 +444,20 @@ def oversample(spark, sf_dir):
     return labels.oversample(_labelled(spark, sf_dir), {"01": 4, "11": 2}, 50)
 
 
+@query(
+    rf"""WITH {LABELLED}, t AS (SELECT id, label, text, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(id::VARCHAR), id) <= floor(count(*) OVER (PARTITION BY label) * 0.15::DOUBLE) THEN 'validation' ELSE 'train' END AS part FROM lab JOIN documents ON doc_id = id),
+f AS (SELECT *, CASE label WHEN '01' THEN 4 WHEN '11' THEN 2 ELSE 1 END AS times, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY id) AS place FROM t WHERE part = 'train'),
+c AS (SELECT id, label, text, unnest(range(times + CASE WHEN n * times < 50 THEN (50 - n * times) // n + (place <= (50 - n * times) % n)::INT ELSE 0 END))::INT AS copy FROM f),
+k AS (SELECT *, ('0x' || substr(md5(id || ':' || copy), 1, 2))::INT % 3 AS kind FROM c)
+SELECT id, label, CASE WHEN copy = 0 THEN text WHEN kind = 0 THEN lower(text) WHEN kind = 1 THEN regexp_replace(text, '[.!?]\z', '') ELSE regexp_replace(text, '(?s).\z', 'x') END AS text, copy, 'train' AS part FROM k
+UNION ALL SELECT id, label, text, 0, part FROM t WHERE part <> 'train'"""
+)
+def augmented_split(spark, sf_dir):
+    """Labelled texts, split, and those to train on oversampled with changed copies."""
+    texts = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return labels.augmented_split(_labelled(spark, sf_dir).join(texts, "id"), {"01": 4, "11": 2}, 50)
+
+
 @query(f"WITH {LABELLED} SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS idx FROM (SELECT DISTINCT label FROM lab)")
 def label_index(spark, sf_dir):
     return labels.label_index(_labelled(spark, sf_dir))
