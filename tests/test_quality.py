@@ -7,10 +7,10 @@ from transferlake.sources import files
 
 
 def test_notes_merge_where_the_one_before_is_open(spark):
-    texts = ["Bring a camera and", "a lens.", "Meets in Santa", "Monica today.", "This is new.", "no mark", "goes here", "The end"]
+    texts = ["Bring a pen and", "a lens.", "Meets in Santa", "Monica today.", "This is new.", "no mark", "goes here", "The end"]
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, line_no int, line string")
     got = [r.text for r in quality.merge_notes(rows).orderBy("first_line").collect()]
-    assert got == ["Bring a camera and a lens.", "Meets in Santa Monica today.", "This is new.", "no mark goes here", "The end"]
+    assert got == ["Bring a pen and a lens.", "Meets in Santa Monica today.", "This is new.", "no mark goes here", "The end"]
 
 
 def test_plain_course_does_not_match_honors(spark):

@@ -24,10 +24,15 @@ def course_code(text: Column, rule: str = "strict") -> Column:
     if rule == "search":
         return F.nullif(F.regexp_extract(up, r"([A-Z]{2,4}\s*\d+[A-Z]?)", 1), F.lit(""))
     if rule == "spaced":
-        return F.regexp_replace(up, r"\s+", " ")
+        return F.trim(F.regexp_replace(up, r"\s+", " "))
     raise ValueError(rule)
 
 
+def all_codes(text: Column) -> Column:
+    """Every code of a text whose white space is taken out first: a prefix of 2 to 4 letters, a number, perhaps a letter."""
+    return F.regexp_extract_all(F.upper(F.regexp_replace(text, r"\s+", "")), F.lit(r"([A-Z]{2,4}\d+[A-Z]?)"), F.lit(1))
+
+
 def slug(text: Column) -> Column:
     """Lower case, degree marks and bracketed parts removed, other runs one hyphen."""
     bare = F.regexp_replace(F.lower(text), r"\([^)]*\)|\b[bm]\.?[as]\.?\b", " ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, times
@@ -254,6 +254,38 @@ def norm_code_compact(spark, sf_dir):
     return S.read(spark, sf_dir, "part").select("p_partkey", codes.course_code(F.concat_ws("-", "p_type", "p_brand"), "compact").alias("code"))
 
 
+_SAID = r"'take ' || lower(p_type) || '  ' || p_size || 'a, then X' || p_type || regexp_extract(p_brand, '(\d+)', 1) || ' & ' || p_name"
+
+
+def _said() -> Column:
+    """A text with course codes of several forms."""
+    return F.concat(F.lit("take "), F.lower("p_type"), F.lit("  "), F.col("p_size").cast("string"), F.lit("a, then X"), "p_type", F.regexp_extract("p_brand", r"(\d+)", 1), F.lit(" & "), "p_name")
+
+
+@query(rf"SELECT p_partkey, nullif(regexp_extract(upper(t), '([A-Z]{{2,4}}\s*\d+[A-Z]?)', 1), '') AS code FROM (SELECT p_partkey, {_SAID} AS t FROM part)")
+def norm_code_search(spark, sf_dir):
+    """The first code anywhere in a text."""
+    return S.read(spark, sf_dir, "part").select("p_partkey", codes.course_code(_said(), "search").alias("code"))
+
+
+@query(rf"SELECT p_partkey, trim(regexp_replace(upper(t), '\s+', ' ', 'g')) AS code FROM (SELECT p_partkey, '  ' || {_SAID} || chr(9) AS t FROM part)")
+def norm_code_spaced(spark, sf_dir):
+    return S.read(spark, sf_dir, "part").select("p_partkey", codes.course_code(F.concat(F.lit("  "), _said(), F.lit("\t")), "spaced").alias("code"))
+
+
+@query(rf"SELECT p_partkey, i::INT AS place, l[i + 1] AS code FROM (SELECT p_partkey, regexp_extract_all(regexp_replace(upper({_SAID}), '\s+', '', 'g'), '[A-Z]{{2,4}}\d+[A-Z]?') AS l FROM part), LATERAL (SELECT unnest(range(len(l))) AS i)")
+def norm_code_all(spark, sf_dir):
+    """Every code of a text, found without its spaces."""
+    return S.read(spark, sf_dir, "part").select("p_partkey", F.posexplode(codes.all_codes(_said())).alias("place", "code"))
+
+
+@query("SELECT s_suppkey, lower(list_last(string_split(trim(n), ' '))) || '|' || lower(substr(trim(n), 1, 1)) AS key FROM (SELECT s_suppkey, list_extract(['Ann Maria ', ' Bob ', 'Cy de la '], s_suppkey % 3 + 1) || s_name AS n FROM supplier)")
+def name_key(spark, sf_dir):
+    """Last name and first initial of full names."""
+    n = F.concat(F.element_at(F.array(F.lit("Ann Maria "), F.lit(" Bob "), F.lit("Cy de la ")), (F.col("s_suppkey") % 3).cast("int") + 1), F.col("s_name"))
+    return S.read(spark, sf_dir, "supplier").select("s_suppkey", codes.name_key(n).alias("key"))
+
+
 @query(r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' (' || p_type || ') B.S. ' || p_brand), '\([^)]*\)|\b[bm]\.?[as]\.?\b', ' ', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
 def slug(spark, sf_dir):
     name = F.concat("p_name", F.lit(" ("), "p_type", F.lit(") B.S. "), "p_brand")
