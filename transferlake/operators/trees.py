@@ -20,6 +20,11 @@ def clean(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" ")), r"\s+", " "))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is made once however often it is used: it is a lambda's argument there, not a copy of its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """(agreement, name, assets, sent): JSON texts parsed a second time; bad or missing text is an empty list.
 
@@ -28,23 +33,33 @@ def parsed(raw: DataFrame) -> DataFrame:
     listed = lambda column, kind: F.coalesce(F.from_json(column, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
     # The place in the text breaks ties, so that equal positions keep their order.
     placed = F.transform(listed("templateAssets", ASSET), lambda x, i: F.struct(x["position"].isNull().alias("last"), x["position"].alias("position"), i.alias("i"), x.alias("asset")))
-    articulations = F.filter(listed("articulations", ARTICULATION), lambda x: x["templateCellId"].isNotNull())
-    ids = F.transform(articulations, lambda x: x["templateCellId"])
     # A cell that is named twice has its last articulation.
-    last = F.filter(articulations, lambda x, i: ~F.array_contains(F.slice(ids, i + 2, F.size(ids)), x["templateCellId"]))
-    return raw.select("agreement", "name", F.transform(F.array_sort(placed), lambda x: x["asset"]).alias("assets"), F.map_from_entries(F.transform(last, lambda x: F.struct(x["templateCellId"], x["articulation"]))).alias("sent"))
+    def last(named: Column) -> Column:
+        kept = lambda ids: F.filter(named, lambda x, i: ~F.array_contains(F.slice(ids, i + 2, F.size(ids)), x["templateCellId"]))
+        return F.transform(once(F.transform(named, lambda x: x["templateCellId"]), kept), lambda x: F.struct(x["templateCellId"], x["articulation"]))
+
+    named = F.filter(listed("articulations", ARTICULATION), lambda x: x["templateCellId"].isNotNull())
+    return raw.select("agreement", "name", F.transform(F.array_sort(placed), lambda x: x["asset"]).alias("assets"), F.map_from_entries(once(named, last)).alias("sent"))
+
+
+def _groups_in(assets: Column) -> Column:
+    """array<struct<group_id, area, recommended, asset>>: the requirement groups, each under the last title above it."""
+    is_group = lambda p: p["asset"]["type"] == "RequirementGroup"
+
+    def one(p: Column, k: Column) -> Column:
+        above = F.slice(assets, 1, p["i"])
+        area = clean(F.try_element_at(F.filter(above, lambda x: x["type"] == "RequirementTitle"), F.lit(-1))["content"])
+        behind_title = F.coalesce(F.try_element_at(above, F.lit(-1))["type"] == "RequirementTitle", F.lit(False))
+        return once(area, lambda a: F.struct((k + 1).alias("group_id"), a.alias("area"), (behind_title & F.contains(F.upper(a), F.lit("RECOMMENDED"))).alias("recommended"), p["asset"].alias("asset")))
+
+    return F.transform(F.filter(F.transform(assets, lambda x, i: F.struct(i.alias("i"), x.alias("asset"))), is_group), one)
 
 
 def groups(raw: DataFrame) -> DataFrame:
     """(agreement, name, sent, group_id, area, recommended, asset): a row for each requirement group, under the last title above it."""
-    rows = parsed(raw).select("agreement", "name", "sent", F.posexplode("assets").alias("i", "asset"), "assets").where("asset.type = 'RequirementGroup'")
-    above = F.slice("assets", 1, F.col("i"))
-    titles = F.filter(above, lambda x: x["type"] == "RequirementTitle")
-    area = clean(F.when(F.size(titles) > 0, F.element_at(titles, -1)["content"]))
-    number = F.size(F.filter(above, lambda x: x["type"] == "RequirementGroup")) + 1
-    behind_title = F.coalesce(F.element_at(F.when(F.size(above) > 0, above), -1)["type"] == "RequirementTitle", F.lit(False))
-    recommended = behind_title & F.contains(F.upper(area), F.lit("RECOMMENDED"))
-    return rows.select("agreement", "name", "sent", number.alias("group_id"), area.alias("area"), recommended.alias("recommended"), "asset")
+    # The outer explode: the other one is given filters on its list, in which the texts would be parsed again.
+    rows = parsed(raw).select("agreement", "name", "sent", F.explode_outer(_groups_in(F.col("assets"))).alias("g"))
+    return rows.where("g is not null").select("agreement", "name", "sent", "g.*")
 
 
 def course_text(course: Column) -> Column:
@@ -61,7 +76,7 @@ def receiving_text(cell: Column) -> Column:
 def notes(attributes: Column, end: str = "") -> Column:
     """Cleaned notes joined by full stops, with ``end`` behind them; empty without any."""
     joined = F.array_join(F.filter(F.transform(F.coalesce(attributes, F.array().cast("array<struct<content: string>>")), lambda a: clean(a["content"])), lambda t: t != ""), ". ")
-    return F.when(joined == "", "").otherwise(F.concat(joined, F.lit(end)))
+    return once(joined, lambda said: F.when(said == "", "").otherwise(F.concat(said, F.lit(end)))) if end else joined
 
 
 def options_of(articulation: Column) -> Column:
@@ -75,7 +90,7 @@ def sending_text(articulation: Column) -> Column:
     """Options joined by OR, or the conjunction given, an option of several courses in brackets."""
     one = F.transform(options_of(articulation), lambda o: F.when(F.size(o) > 1, F.concat(F.lit("("), F.array_join(o, " AND "), F.lit(")"))).otherwise(F.array_join(o, "")))
     joined = F.call_function("array_join", one, F.concat(F.lit(" "), F.upper(F.coalesce(articulation["conjunction"], F.lit("Or"))), F.lit(" ")))
-    return F.when(joined != "", joined).otherwise(F.coalesce(articulation["noArticulationReason"], F.lit(NONE_ARTICULATED)))
+    return once(joined, lambda said: F.when(said != "", said).otherwise(F.coalesce(articulation["noArticulationReason"], F.lit(NONE_ARTICULATED))))
 
 
 def letter(place: Column) -> Column:
@@ -84,8 +99,8 @@ def letter(place: Column) -> Column:
 
 def cells_of(raw: DataFrame) -> DataFrame:
     """A row for each cell: (agreement, group_id, area, section, cell_no, cell, articulation, asset, part_of)."""
-    sections = groups(raw).select("*", F.posexplode("asset.sections").alias("s", "part_of"))
-    rows = sections.select("*", F.posexplode("part_of.rows").alias("r", "line")).select("*", F.posexplode("line.cells").alias("c", "cell"))
+    sections = groups(raw).select("*", F.posexplode_outer("asset.sections").alias("s", "part_of"))
+    rows = sections.select("*", F.posexplode_outer("part_of.rows").alias("r", "line")).select("*", F.posexplode_outer("line.cells").alias("c", "cell")).where("cell is not null")
     return rows.select("agreement", "name", "group_id", "area", "recommended", letter(F.col("s")).alias("section"), F.struct("r", "c").alias("cell_no"), "cell", F.try_element_at("sent", F.col("cell.id")).alias("articulation"), "asset", "part_of")
 
 
@@ -96,8 +111,7 @@ def flatten(raw: DataFrame) -> DataFrame:
 
 def _first_amount(advisements: Column, wanted) -> Column:
     """The amount, 1 if it has none, of the first advisement that is wanted; null if none is."""
-    found = F.filter(advisements, wanted)
-    return F.when(F.size(found) > 0, F.coalesce(F.get(found, F.lit(0))["amount"], F.lit(1.0)).cast("int"))
+    return F.get(F.transform(F.filter(advisements, wanted), lambda a: F.coalesce(a["amount"], F.lit(1.0)).cast("int")), F.lit(0))
 
 
 def _logic(kind: str, n: Column | None = None) -> Column:
@@ -113,7 +127,7 @@ def section_logic(section: Column) -> Column:
     alone = F.transform(F.filter(in_rows, lambda c: c["type"] == "Course"), lambda c: code(c["course"]))
     several = F.size(section["rows"]) > 1
     choice = several & (F.arrays_overlap(series, alone) | F.exists(section["rows"], lambda r: r["conjunction"] == "Or"))
-    return F.when(said.isNotNull(), _logic("select_n_courses", said)).when(F.coalesce(choice, F.lit(False)), _logic("select_n_courses", F.lit(1))).otherwise(_logic("all_required"))
+    return once(said, lambda n: F.when(n.isNotNull(), _logic("select_n_courses", n)).when(F.coalesce(choice, F.lit(False)), _logic("select_n_courses", F.lit(1))).otherwise(_logic("all_required")))
 
 
 def group_logic(asset: Column) -> Column:
@@ -124,20 +138,21 @@ def group_logic(asset: Column) -> Column:
     own = F.coalesce(_first_amount(asset["advisements"], selects), _first_amount(only["advisements"], selects), F.when(n_courses >= 2, _first_amount(only["advisements"], lambda a: a["type"] == "NFollowing")))
     said = asset["instruction"]
     amount = F.coalesce(said["amount"].cast("int"), F.lit(1))
-    return (
-        F.when(own.isNotNull(), _logic("select_n_courses", own))
+    return once(
+        own,
+        lambda n: F.when(n.isNotNull(), _logic("select_n_courses", n))
         .when(said["type"].isin("NFromArea", "NFromConjunction"), _logic("select_n_courses", amount))
         .when((said["conjunction"] == "Or") & ((said["selectionType"] == "Complete") | ((said["selectionType"] == "Select") & (F.size(asset["sections"]) > 1))), _logic("choose_one_section"))
         .when(said["selectionType"] == "Select", _logic("select_n_courses", amount))
-        .otherwise(_logic("all_required"))
+        .otherwise(_logic("all_required")),
     )
 
 
 def logic(raw: DataFrame) -> DataFrame:
     """(agreement, group_id, section, group_logic, group_n, section_logic, section_n) of every section, with cells or without."""
-    rows = groups(raw).select("agreement", "group_id", group_logic(F.col("asset")).alias("g"), F.posexplode("asset.sections").alias("s", "part_of"))
-    own = section_logic(F.col("part_of"))
-    return rows.select("agreement", "group_id", letter(F.col("s")).alias("section"), F.col("g.logic_type").alias("group_logic"), F.col("g.n").alias("group_n"), own["logic_type"].alias("section_logic"), own["n"].alias("section_n"))
+    own = F.transform("asset.sections", lambda s, i: F.struct(letter(i).alias("section"), section_logic(s).alias("own")))
+    rows = groups(raw).select("agreement", "group_id", group_logic(F.col("asset")).alias("g"), F.explode_outer(own).alias("s")).where("s is not null")
+    return rows.select("agreement", "group_id", "s.section", F.col("g.logic_type").alias("group_logic"), F.col("g.n").alias("group_n"), F.col("s.own.logic_type").alias("section_logic"), F.col("s.own.n").alias("section_n"))
 
 
 def trees(raw: DataFrame) -> DataFrame:
@@ -163,24 +178,23 @@ def trees(raw: DataFrame) -> DataFrame:
             options_of(articulation).alias("options"),
         )
 
-    held = F.transform(
-        "asset.sections",
-        lambda s, i: F.struct(
-            letter(i).alias("section_id"),
-            F.when(F.col("g.logic_type") == "select_n_courses", F.col("g")).otherwise(section_logic(s)).alias("logic"),
-            F.transform(F.flatten(F.transform(s["rows"], lambda r: r["cells"])), requirement).alias("uc_courses"),
-        ),
-    )
-    with_logic = groups(raw).withColumn("g", group_logic(F.col("asset")))
-    by_logic = F.when(F.col("g.logic_type") == "choose_one_section", "Choose one section").when(F.col("g.logic_type") == "select_n_courses", F.concat(F.lit("Select "), F.col("g.n").cast("string"))).otherwise("All required")
-    title = F.when(F.col("area") != "", F.col("area")).otherwise(by_logic)
-    rows = with_logic.select("agreement", "name", F.struct("group_id", title.alias("group_title"), F.col("g.logic_type").alias("group_logic_type"), F.col("g.n").alias("n_courses"), "recommended", F.filter(held, lambda s: F.size(s["uc_courses"]) > 0).alias("sections")).alias("one"))
-    return rows.groupBy("agreement", "name").agg(F.array_sort(F.collect_list("one")).alias("groups"))
+    def held(asset: Column, g: Column) -> Column:
+        own = lambda s: F.when(g["logic_type"] == "select_n_courses", g).otherwise(section_logic(s))
+        sections = F.transform(asset["sections"], lambda s, i: F.struct(letter(i).alias("section_id"), own(s).alias("logic"), F.transform(F.flatten(F.transform(s["rows"], lambda r: r["cells"])), requirement).alias("uc_courses")))
+        return F.filter(sections, lambda s: F.size(s["uc_courses"]) > 0)
+
+    def one(x: Column, g: Column) -> Column:
+        by_logic = F.when(g["logic_type"] == "choose_one_section", "Choose one section").when(g["logic_type"] == "select_n_courses", F.concat(F.lit("Select "), g["n"].cast("string"))).otherwise("All required")
+        title = F.when(x["area"] != "", x["area"]).otherwise(by_logic)
+        return F.struct(x["group_id"].alias("group_id"), title.alias("group_title"), g["logic_type"].alias("group_logic_type"), g["n"].alias("n_courses"), x["recommended"].alias("recommended"), held(x["asset"], g).alias("sections"))
+
+    return parsed(raw).select("agreement", "name", F.transform(_groups_in(F.col("assets")), lambda x: once(group_logic(x["asset"]), lambda g: one(x, g))).alias("groups"))
 
 
 def requirements_of(tree: DataFrame) -> DataFrame:
     """A row for each requirement of a tree, with its group and section."""
-    rows = tree.select("agreement", "name", F.explode("groups").alias("g")).select("agreement", "name", "g", F.explode("g.sections").alias("s")).select("agreement", "name", "g", "s", F.explode("s.uc_courses").alias("c"))
+    # Outer explodes, as in groups().
+    rows = tree.select("agreement", "name", F.explode_outer("groups").alias("g")).select("agreement", "name", "g", F.explode_outer("g.sections").alias("s")).select("agreement", "name", "g", "s", F.explode_outer("s.uc_courses").alias("c")).where("c is not null")
     return rows.select("agreement", "name", "g.group_id", "g.group_title", "g.group_logic_type", "g.n_courses", "g.recommended", F.col("s.section_id").alias("section_id"), F.col("s.logic.logic_type").alias("section_logic_type"), F.col("s.logic.n").alias("section_n"), "c.*")
 
 
@@ -206,7 +220,7 @@ def documents(tree: DataFrame) -> DataFrame:
 
 def group_summary(tree: DataFrame) -> DataFrame:
     """(agreement, group_id, summary, courses): sections with their courses and options, a line each, and all sending courses."""
-    rows = tree.select("agreement", F.explode("groups").alias("g"))
+    rows = tree.select("agreement", F.explode_outer("groups").alias("g"))
     options = lambda c: F.when(F.size(c["options"]) == 0, NONE_ARTICULATED).otherwise(F.array_join(F.transform(c["options"], lambda o: F.array_join(o, " + ")), " or "))
     line = lambda s: F.concat(F.lit("Section "), s["section_id"], F.lit(": "), F.array_join(F.transform(s["uc_courses"], lambda c: F.concat(c["uc_course_id"], F.lit(" <- "), options(c))), "; "))
     sent = F.flatten(F.flatten(F.transform("g.sections", lambda s: F.transform(s["uc_courses"], lambda c: F.flatten(c["options"])))))

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .stand_ins import read
 
-_ADVICE = "array(named_struct('type', 'NFollowing', 'selectionType', {select}, 'amount', {amount}, 'amountUnitType', 'Course'))"
-_INSTRUCTION = """CASE (agreement + grp) % 6
-  WHEN 0 THEN named_struct('type', 'Following', 'conjunction', cast(null AS string), 'selectionType', 'Complete', 'amount', cast(null AS double))
-  WHEN 1 THEN named_struct('type', 'NFromArea', 'conjunction', cast(null AS string), 'selectionType', 'Complete', 'amount', 2D)
-  WHEN 2 THEN named_struct('type', 'Conjunction', 'conjunction', 'Or', 'selectionType', 'Select', 'amount', cast(null AS double))
-  WHEN 3 THEN named_struct('type', 'Conjunction', 'conjunction', 'And', 'selectionType', 'Complete', 'amount', cast(null AS double))
-  WHEN 5 THEN named_struct('type', 'Conjunction', 'conjunction', 'Or', 'selectionType', 'Complete', 'amount', cast(null AS double)) END"""
+_ADVICE = '"advisements":[{{"type":"NFollowing","selectionType":"{select}","amount":{amount},"amountUnitType":"Course"}}],'
+#: By (agreement + group) % 6.
+_INSTRUCTIONS = [
+    '"instruction":{"type":"Following","selectionType":"Complete"},',
+    '"instruction":{"type":"NFromArea","selectionType":"Complete","amount":2.0},',
+    '"instruction":{"type":"Conjunction","conjunction":"Or","selectionType":"Select"},',
+    '"instruction":{"type":"Conjunction","conjunction":"And","selectionType":"Complete"},',
+    "",
+    '"instruction":{"type":"Conjunction","conjunction":"Or","selectionType":"Complete"},',
+]
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +32,8 @@ def raw_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     A title stands before some groups, a group has one or two sections, a section rows of one cell, and most cells an articulation.
     """
     names = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("agreement"), F.col("o_orderpriority").alias("name"))
-    base = cells(spark, sf_dir).withColumn("grp", F.floor((F.col("pos") - 1) / 4).cast("int")).withColumn("section", ((F.col("pos") - 1) % 2).cast("int"))
-    base = base.withColumn("id", F.concat_ws("-", "agreement", "pos"))
+    # Dealt by agreement while the rows are narrow; texts are made behind that and never shuffled.
+    base = cells(spark, sf_dir).repartition("agreement").withColumn("id", F.concat_ws("-", "agreement", "pos"))
     course = F.expr("named_struct('prefix', prefix, 'courseNumber', number, 'courseTitle', title, 'units', CASE WHEN size % 7 > 0 THEN cast(size % 5 + 1 AS double) END)")
     second = F.expr("named_struct('prefix', prefix, 'courseNumber', concat(number, 'B'), 'courseTitle', title, 'units', 2D)")
     series = F.when(F.col("pos") % 6 == 5, F.struct(F.lit("And").alias("conjunction"), F.array(course, second).alias("courses")))
@@ -44,20 +47,28 @@ def raw_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     sending_note = F.when(F.col("qty") % 3 == 0, F.array(F.struct(F.concat(F.lit("Sent "), F.col("qty").cast("string")).alias("content"))))
     reason = F.when(F.col("pos") % 7 == 0, "No Comparable Course")
     articulation = F.when(F.col("pos") % 5 != 0, F.struct(F.col("id").alias("templateCellId"), F.struct(items.alias("items"), reason.alias("noArticulationReason"), sending_note.alias("attributes")).alias("articulation")))
-    sections = base.groupBy("agreement", "grp", "section").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.collect_list(articulation).alias("arts"))
-    grouped = sections.groupBy("agreement", "grp").agg(F.collect_list(F.struct("section", "rows")).alias("s"), F.flatten(F.collect_list("arts")).alias("arts"))
-    in_section = lambda k: F.coalesce(F.get(F.filter("s", lambda x: x["section"] == k), F.lit(0))["rows"], F.array().cast(f"array<{ROW}>"))
-    advice = lambda k: F.when((F.col("agreement") + k) % 5 == 0, F.expr(_ADVICE.format(select="'Complete'", amount="2D")))
-    made = [F.struct(in_section(k).alias("rows"), advice(k).alias("advisements")) for k in (0, 1)]
-    has_second = (F.col("agreement") % 2 == 0) | F.exists("s", lambda x: x["section"] == 1)
-    group = F.struct((10 * F.col("grp") + 5).alias("position"), F.lit("RequirementGroup").alias("type"), F.lit(None).cast("string").alias("content"), F.expr(_INSTRUCTION).alias("instruction"), F.when(F.col("agreement") % 7 == 0, F.expr(_ADVICE.format(select="'Select'", amount="1D"))).alias("advisements"), F.when(has_second, F.array(*made)).otherwise(F.array(made[0])).alias("sections"))
-    with_names = grouped.join(names, "agreement")
-    said = F.concat(F.lit("<b>"), F.when(F.col("agreement") % 4 == 0, "RECOMMENDED ").otherwise(""), F.col("name"), F.lit("</b>&nbsp; prep"))
-    title = F.struct((10 * F.col("grp")).alias("position"), F.lit("RequirementTitle").alias("type"), said.alias("content"))
-    assets = F.when((F.col("agreement") + F.col("grp")) % 3 > 0, F.array(F.to_json(title), F.to_json(group))).otherwise(F.array(F.to_json(group)))
-    per = with_names.groupBy("agreement", "name").agg(F.array_sort(F.collect_list(F.struct((-F.col("grp")).alias("back"), F.reverse(assets).alias("a"), F.col("arts")))).alias("g"))
-    texts = F.flatten(F.transform("g", lambda x: x["a"]))
-    return per.select("agreement", "name", F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("templateAssets"), F.to_json(F.flatten(F.transform("g", lambda x: x["arts"]))).alias("articulations"))
+    grp, section = F.floor((F.col("pos") - 1) / 4).cast("int"), ((F.col("pos") - 1) % 2).cast("int")
+    per = base.groupBy("agreement").agg(F.sort_array(F.collect_list(F.struct(grp.alias("grp"), section.alias("section"), row["position"].alias("position"), F.to_json(row).alias("row"), F.to_json(articulation).alias("art")))).alias("x"))
+    listed = lambda texts: F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    agreement, name = F.col("agreement"), F.col("name")
+
+    def part_of(own, k):
+        advice = F.when((agreement + k) % 5 == 0, _ADVICE.format(select="Complete", amount="2.0")).otherwise("")
+        return F.concat(F.lit("{"), advice, F.lit('"rows":'), listed(F.transform(F.filter(own, lambda x: x["section"] == k), lambda x: x["row"])), F.lit("}"))
+
+    def group(g):
+        own = F.filter("x", lambda x: x["grp"] == g)
+        has_second = (agreement % 2 == 0) | F.exists(own, lambda x: x["section"] == 1)
+        start = F.concat(F.lit('{"position":'), (10 * g + 5).cast("string"), F.lit(',"type":"RequirementGroup",'))
+        instruction = F.element_at(F.array(*map(F.lit, _INSTRUCTIONS)), ((agreement + g) % 6 + 1).cast("int"))
+        advice = F.when(agreement % 7 == 0, _ADVICE.format(select="Select", amount="1.0")).otherwise("")
+        return F.concat(start, instruction, advice, F.lit('"sections":['), part_of(own, 0), F.when(has_second, F.concat(F.lit(","), part_of(own, 1))).otherwise(""), F.lit("]}"))
+
+    said = F.concat(F.lit("<b>"), F.when(agreement % 4 == 0, "RECOMMENDED ").otherwise(""), name, F.lit("</b>&nbsp; prep"))
+    title = lambda g: F.when((agreement + g) % 3 > 0, F.to_json(F.struct((10 * g).alias("position"), F.lit("RequirementTitle").alias("type"), said.alias("content"))))
+    groups = F.reverse(F.array_distinct(F.transform("x", lambda x: x["grp"])))
+    assets = F.flatten(F.transform(groups, lambda g: F.array_compact(F.array(group(g), title(g)))))
+    return per.join(names, "agreement").select("agreement", "name", listed(assets).alias("templateAssets"), listed(F.array_compact(F.transform("x", lambda x: x["art"]))).alias("articulations"))
 
 
 COURSE = "struct<prefix: string, courseNumber: string, courseTitle: string, units: double>"
