@@ -1,6 +1,9 @@
 """What keeps the work of a query in step with its input."""
 
-from transferlake.operators import trees
+from pyspark.sql import functions as F
+
+from transferlake.operators import logic, trees
+from transferlake.plans import logic as logic_queries
 from transferlake.sources import agreements
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +21,20 @@ def test_agreement_texts_are_parsed_once_and_never_shuffled(spark):
     for df in (trees.flatten(given), trees.logic(given), trees.documents(tree), trees.notes_extract(tree), trees.group_summary(tree)):
         assert optimized(df).count("from_json") <= 2
         assert "Aggregate" not in optimized(df)
+
+
+def test_ways_are_made_within_the_row(spark):
+    assert "LogicalRDD" not in optimized(logic_queries.logic_ways(spark, SF)) + optimized(logic_queries.logic_ranges(spark, SF))  # nothing was written on the way
+    kinds = "agreement long, groups array<struct<group_id: int, group_logic_type: string, n_courses: int, sections: array<struct<logic: struct<logic_type: string, n: int>, uc_courses: array<struct<options: array<array<string>>>>>>>>"
+    own = [([["a", "b"], ["a"]],), ([["c"], ["b", "d", "b"]],), ([],), ([["e"], []],)]
+    section = lambda n, *of: (("select_n_courses" if n else "all_required", n), [own[i] for i in of])
+    made = [[("all_required", None)], [("choose_one_section", None)], [("select_n_courses", 2)], [("select_n_courses", 9)]]
+    groups = [(k, kind, n, [section(None, 0, 1), section(1, 1, 2, 3), section(2, 0, 3)][: k % 4]) for k, [(kind, n)] in enumerate(made * 4)]
+    tree = spark.createDataFrame([(1, groups), (2, groups), (3, [])], kinds)
+    nodes = logic.tree_nodes(tree)
+    shown = lambda ways: sorted((r.tree.agreement, r.tree.group_id, [list(w) for w in r.ways]) for r in ways.collect())
+    assert shown(logic.tree_ways(tree)) == shown(logic.minimal_ways(nodes))
+    requirements = nodes.where("code is not null").select("tree", F.regexp_replace("parent", r"\.\d+$", "").alias("node")).distinct()
+    two = nodes.where("need is null and code is null and parent <> '' and tree.agreement = 1").groupBy("tree", F.col("parent").alias("node")).count().where("count = 2")
+    ranges = two.join(requirements, ["tree", "node"]).select("tree", "node", F.lit(0).alias("first"), F.lit(1).alias("last"))
+    assert shown(logic.tree_ways(tree, F.col("agreement") == 1)) == shown(logic.minimal_ways(logic.with_ranges(nodes, ranges)))

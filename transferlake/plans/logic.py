@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import logic, trees
-from ..sources import agreements, files
+from ..sources import agreements
 from .queries import query
 from .trees import CELLS
 
@@ -28,28 +28,22 @@ SELECT agreement, group_id, (row_number() OVER (PARTITION BY agreement, group_id
 )
 
 
-def _nodes(spark, sf_dir):
-    """The nodes of all agreements' trees, which are made once for the four kinds of nodes."""
-    return logic.tree_nodes(files.saved(trees.trees(agreements.raw_agreements(spark, sf_dir))))
+def _trees(spark, sf_dir):
+    return trees.trees(agreements.raw_agreements(spark, sf_dir))
 
 
 def _listed(ways):
-    each = ways.select("tree.agreement", "tree.group_id", F.posexplode("ways").alias("option", "way"))
+    each = ways.select("tree.agreement", "tree.group_id", F.posexplode_outer("ways").alias("option", "way")).where("option is not null")  # outer: no filter repeats the making of the ways
     return each.select("agreement", "group_id", "option", F.array_join("way", " AND ").alias("courses"))
 
 
 @query(WAYS.replace("{held}", "false"))
 def logic_ways(spark, sf_dir):
     """Every minimal way to satisfy each group of each agreement, from nested trees of five levels."""
-    return _listed(logic.minimal_ways(_nodes(spark, sf_dir)))
+    return _listed(logic.tree_ways(_trees(spark, sf_dir)))
 
 
 @query(WAYS.replace("{held}", "f.agreement % 4 = 1"))
 def logic_ranges(spark, sf_dir):
     """The same, where both options of a requirement hold together in a quarter of the agreements: a range over their positions."""
-    nodes = files.saved(_nodes(spark, sf_dir))
-    options = nodes.where("need is null and code is null and parent <> ''").groupBy("tree", "parent").agg(F.count("*").alias("n"), F.max("place").alias("last")).where("n = 2 and last = 1 and tree.agreement % 4 = 1")
-    leaves = nodes.where("code is not null").select("tree", F.col("parent").alias("node")).distinct()
-    parents = nodes.join(leaves, ["tree", "node"]).select("tree", "parent").distinct()
-    ranges = options.join(parents, ["tree", "parent"]).select("tree", F.col("parent").alias("node"), F.lit(0).alias("first"), F.col("last"))
-    return _listed(logic.minimal_ways(logic.with_ranges(nodes, ranges)))
+    return _listed(logic.tree_ways(_trees(spark, sf_dir), F.col("agreement") % 4 == 1))
