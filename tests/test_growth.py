@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from transferlake.operators import logic, trees
 from transferlake.plans import logic as logic_queries
+from transferlake.plans import reports as report_queries
 from transferlake.sources import agreements
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,7 @@ def test_ways_are_made_within_the_row(spark):
     two = nodes.where("need is null and code is null and parent <> '' and tree.agreement = 1").groupBy("tree", F.col("parent").alias("node")).count().where("count = 2")
     ranges = two.join(requirements, ["tree", "node"]).select("tree", "node", F.lit(0).alias("first"), F.lit(1).alias("last"))
     assert shown(logic.tree_ways(tree, F.col("agreement") == 1)) == shown(logic.minimal_ways(logic.with_ranges(nodes, ranges)))
+
+
+def test_audit_report_writes_nothing_on_the_way(spark):
+    assert "LogicalRDD" not in optimized(report_queries.audit_report(spark, SF))

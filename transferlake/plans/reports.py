@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports, trees
-from ..sources import agreements, files
+from ..sources import agreements
 from ..sources import stand_ins as S
 from .queries import query
 from .trees import CELLS
@@ -33,5 +33,4 @@ def audit_report(spark, sf_dir):
     k = F.col("c_custkey")
     outside = S.read(spark, sf_dir, "customer").where(k % 10 == 0).select(k.alias("student"), F.when(k % 20 == 0, "AP BIO").otherwise("IB ART").alias("code"))
     taken = lines.join(own, "agreement").select("student", "code").unionAll(outside)
-    targets = files.saved(reports.placed_requirements(tree).join(own, "agreement"))
-    return reports.audit_report(targets, taken)
+    return reports.audit_report(reports.placed_requirements(tree).join(own, "agreement"), taken)
