@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from transferlake.operators import logic, trees
+from transferlake.operators import catalogue, logic, trees
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import reports as report_queries
-from transferlake.sources import agreements
+from transferlake.sources import agreements, hard_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,15 @@ def test_ways_are_made_within_the_row(spark):
 
 def test_audit_report_writes_nothing_on_the_way(spark):
     assert "LogicalRDD" not in optimized(report_queries.audit_report(spark, SF))
+
+
+def test_pages_are_cleaned_with_one_sort_of_their_lines_each_way(spark):
+    lines = spark.createDataFrame([], "doc_id long, line_no long, line string")
+    plan = optimized(catalogue.cleaned(lines))
+    assert plan.count("lag(") == 1 and plan.count("row_number") == 0
+    assert "transform(" not in optimized(hard_lines.page_lines(spark, SF)) and "transform(" not in optimized(hard_lines.course_lines(spark, SF))
+    numbers = [n for page in range(4) for n in ("Title", f"text {page}", f"on {page}", "Foot 7", str(20 + page))]
+    got = catalogue.without_furniture(spark.createDataFrame([(1, i, t) for i, t in enumerate(numbers)], lines.schema), least_pages=3).collect()
+    assert [r.line for r in sorted(got)] == []  # behind titles and footers the texts, alike but for numbers, are at the ends
+    got = catalogue.without_furniture(spark.createDataFrame([(1, i, t) for i, t in enumerate(numbers)], lines.schema), least_pages=5).collect()
+    assert [r.line for r in sorted(got)] == [t for t in numbers if not t.isdigit()]

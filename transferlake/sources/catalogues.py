@@ -30,7 +30,8 @@ def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("Covers ", F.col("title"), " in part ", say(F.col("part")), "."),
         F.when(pos % 2 == 0, text(say(1 + F.col("supp") % 9), ":00a.m.-", say(1 + F.col("supp") % 9), ":50p.m. ", F.element_at(F.array(*map(F.lit, ("MW", "TTh", "MWF"))), F.col("supp").cast("int") % 3 + 1), " BUS ", say(100 + pos), " Smith J")).otherwise(text("Arrange-", say(pos), " Hours N ", F.when(F.col("supp") % 2 == 0, "Staff").otherwise("ONLINE Jones Ann"))),
     )
-    rows = c.select(F.col("agreement").alias("doc_id"), "pos", F.posexplode(F.array_compact(lines)).alias("k", "line"))
+    # Outer: no filter makes the lines again to see whether there are any; each row has its own header.
+    rows = c.select(F.col("agreement").alias("doc_id"), "pos", F.posexplode_outer(F.array_compact(lines)).alias("k", "line"))
     return rows.select("doc_id", (F.col("pos") * 100 + F.col("k")).cast("int").alias("line_no"), "line")
 
 
@@ -46,5 +47,5 @@ def education_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size % 4 == 0, tab("", "", "", "4B", F.concat(F.lit("S"), year))),
         F.when(size % 5 == 0, F.concat(F.lit("Same as: "), F.col("p_type"), F.lit(" 9"))),
     )
-    rows = read(spark, sf_dir, "part").select(F.floor(key / 100).alias("doc_id"), key.alias("key"), F.posexplode(F.array_compact(lines)).alias("k", "line"))
+    rows = read(spark, sf_dir, "part").select(F.floor(key / 100).alias("doc_id"), key.alias("key"), F.posexplode_outer(F.array_compact(lines)).alias("k", "line"))
     return rows.select("doc_id", (F.col("key") % 100 * 10 + F.col("k")).cast("int").alias("line_no"), "line")
