@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from transferlake.operators import catalogue, logic, trees
+from transferlake.operators import catalogue, logic, matching, trees
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import reports as report_queries
 from transferlake.sources import agreements, hard_lines
@@ -55,3 +55,15 @@ def test_pages_are_cleaned_with_one_sort_of_their_lines_each_way(spark):
     assert [r.line for r in sorted(got)] == []  # behind titles and footers the texts, alike but for numbers, are at the ends
     got = catalogue.without_furniture(spark.createDataFrame([(1, i, t) for i, t in enumerate(numbers)], lines.schema), least_pages=5).collect()
     assert [r.line for r in sorted(got)] == [t for t in numbers if not t.isdigit()]
+
+
+def test_tiers_sort_nothing_by_question(spark):
+    docs = spark.createDataFrame([(i, f"C {i % 9}", i % 2, "AB"[i % 4 // 2]) for i in range(40)], "doc int, course string, grp int, section string")
+    asked = spark.createDataFrame([(1, 0, "B", "C 1"), (2, 1, "Z", "C 1"), (3, 9, "A", "C 4"), (4, None, None, "C 8"), (5, 7, "A", "no")], "query long, grp int, section string, course string")
+    got = matching.tiered(asked, docs, 3)
+    assert "windowspecdefinition(query" not in optimized(got)
+    shown = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query, r["rank"])):
+        shown.setdefault((r.query, r.tier), []).append((r["rank"], r.doc))
+    lists = {(1, 1): [2, 6, 10], (2, 2): [1, 5, 9], (3, 3): [4, 13, 22], (4, 3): [8, 17, 26]}
+    assert shown == {k: list(enumerate(v, 1)) for k, v in lists.items()}
