@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from transferlake.operators import catalogue, logic, matching, trees
+from transferlake.operators import catalogue, graph, logic, matching, trees
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import reports as report_queries
 from transferlake.sources import agreements, hard_lines
@@ -67,3 +67,13 @@ def test_tiers_sort_nothing_by_question(spark):
         shown.setdefault((r.query, r.tier), []).append((r["rank"], r.doc))
     lists = {(1, 1): [2, 6, 10], (2, 2): [1, 5, 9], (3, 3): [4, 13, 22], (4, 3): [8, 17, 26]}
     assert shown == {k: list(enumerate(v, 1)) for k, v in lists.items()}
+
+
+def test_rounds_of_graphs_broadcast_nothing(spark, monkeypatch):
+    plans, saved = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: plans.append(optimized(df)) or saved(df))
+    edges = spark.createDataFrame([(4, 2), (2, 1), (4, 1)], "course long, needs long")
+    assert graph.closure(edges).count() == 3
+    assert sorted(map(tuple, graph.levels(spark.range(1, 5).withColumnRenamed("id", "course"), edges).collect())) == [(1, 0), (2, 1), (3, 0), (4, 2)]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
