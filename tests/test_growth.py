@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from transferlake.operators import catalogue, graph, logic, matching, trees
+from transferlake.operators import catalogue, conformance, graph, logic, matching, trees
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import reports as report_queries
 from transferlake.sources import agreements, hard_lines
@@ -77,3 +77,20 @@ def test_rounds_of_graphs_broadcast_nothing(spark, monkeypatch):
     assert sorted(map(tuple, graph.levels(spark.range(1, 5).withColumnRenamed("id", "course"), edges).collect())) == [(1, 0), (2, 1), (3, 0), (4, 2)]
     joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_lists_and_objects_are_not_walked_for_their_types(spark):
+    text, number = {"type": ["string", "null"], "minLength": 1, "patterns": ["^a", "b$"]}, {"type": "number", "minimum": 1}
+    item = {"type": "object", "properties": {"t": text, "n": number}, "required": ["t"], "additionalProperties": False}
+    bare = {"type": "object", "properties": {"l": {"type": ["array", "null"], "minItems": 1, "items": {"type": "object"}}}, "required": ["l"]}
+    given = ['{"l": []}', '{"l": null, "x": 1}', '{"l": {}}', '{"l": [{}, [], 1, null, "s"]}', "[]", "null", "{}", "no", None]
+    rows = spark.createDataFrame(list(enumerate(given)), "id int, text string")
+    df = conformance.conformance(rows, bare, "id")
+    assert "schema_of_variant" not in optimized(df).lower().replace("schemaofvariant", "schema_of_variant")
+    wrong = [(2, "$.l"), (3, "$.l[1]"), (3, "$.l[2]"), (3, "$.l[3]"), (3, "$.l[4]"), (4, "$"), (5, "$")]
+    assert sorted(map(tuple, df.collect())) == sorted([(0, "$.l", "empty list"), (6, "$", "missing l"), (7, "$", "not JSON"), (8, "$", "not JSON"), *((*w, "wrong type") for w in wrong)])
+    deep = {"type": "array", "items": item}
+    given = '[{"t": "ax", "n": 1}, {"t": " \\t", "n": 0.5}, {"t": "x", "n": 12345678901234567890123}, {"t": null, "n": "1"}, {"n": null, "o": 1}, {"t": 5}, {"t": {"t": 1}}, {"t": "xb"}]'
+    got = conformance.conformance(spark.createDataFrame([(1, given)], "id int, text string"), deep, "id").select("place", "issue").collect()
+    faults = [("$[1].t", "blank"), ("$[1].n", "out of range"), ("$[2].t", "pattern"), ("$[3].n", "wrong type"), ("$[4]", "missing t"), ("$[4]", "unexpected o"), ("$[4].n", "wrong type"), ("$[5].t", "wrong type"), ("$[6].t", "wrong type"), ("$[1].t", "pattern")]
+    assert sorted(map(tuple, got)) == sorted(faults)
