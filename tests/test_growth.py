@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from transferlake.operators import catalogue, conformance, graph, logic, matching, trees
+from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, trees
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import reports as report_queries
 from transferlake.sources import agreements, hard_lines
@@ -94,3 +94,28 @@ def test_lists_and_objects_are_not_walked_for_their_types(spark):
     got = conformance.conformance(spark.createDataFrame([(1, given)], "id int, text string"), deep, "id").select("place", "issue").collect()
     faults = [("$[1].t", "blank"), ("$[1].n", "out of range"), ("$[2].t", "pattern"), ("$[3].n", "wrong type"), ("$[4]", "missing t"), ("$[4]", "unexpected o"), ("$[4].n", "wrong type"), ("$[5].t", "wrong type"), ("$[6].t", "wrong type"), ("$[1].t", "pattern")]
     assert sorted(map(tuple, got)) == sorted(faults)
+
+
+def test_questions_of_a_tier_meet_its_first_documents_only(spark, monkeypatch):
+    plans, saved = [], cascade.saved
+    monkeypatch.setattr(cascade, "saved", lambda df: plans.append(optimized(df)) or saved(df))
+    given = [(i, i % 2, "AB"[i % 3 % 2], f"U {i % 4}", [f"c{i % 5}", f"c{i % 7}", None]) for i in range(60, 0, -1)] + [(70, None, None, "U 9", None), (71, None, "A", None, ["c0"]), (72, 5, None, "U 9", ["z"])]
+    docs = spark.createDataFrame(given, "doc long, grp long, section string, uc string, ccc array<string>")
+    asked = [(1, 0, "A", None, None), (2, 1, "Z", None, None), (3, 9, None, ["U 1", "U 2", "U 1"], ["c6", "c4"]), (4, None, None, ["U 3", "U 9"], ["none"]), (5, None, None, ["U 9"], [None]), (6, None, None, None, ["c6", "c0"]), (7, None, None, ["no"], ["c1"]), (8, None, None, ["U 2"], None), (9, None, None, [None], [None]), (10, 5, "A", None, None)]
+    got = cascade.cascade(spark.createDataFrame(asked, "query long, grp long, section string, uc array<string>, ccc array<string>"), docs, lambda q: q.select("query", F.lit(0).cast("long").alias("doc")).limit(0), 3)[0].collect()
+    firsts = {}
+    for doc, grp, section, uc, ccc in sorted(given):
+        firsts.setdefault((uc, grp, section), (doc, grp, section, uc, ccc))
+
+    def answer(grp, section, uc, ccc):
+        held = sorted(firsts.values())
+        uc, ccc = ({x for x in c or [] if x is not None} if c else set() for c in (uc, ccc))
+        both = [d[0] for d in held if d[3] in uc and ccc & set(d[4] or [])]
+        tiers = [[d[0] for d in held if None not in (grp, section) and d[1:3] == (grp, section)], [d[0] for d in held if grp is not None and d[1] == grp], both or [d[0] for d in held if d[3] in uc], [d[0] for d in held if ccc & set(d[4] or [])]]
+        if ccc and not uc:
+            tiers[2] = tiers[3]
+        return next(([(t, d) for d in docs[:3]] for t, docs in enumerate(tiers, 1) if docs), [])
+
+    assert sorted((r.query, r.tier, r["rank"], r.doc) for r in got) == [(a[0], t, i, d) for a in asked for i, (t, d) in enumerate(answer(*a[1:]), 1)]
+    joined = [p for p in plans if "Join Inner" in p]
+    assert joined and all(p.count("dense_rank(doc") >= p.count("Join Inner") for p in joined)
