@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, trees
+from transferlake.plans import catalogue as catalogue_queries
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import reports as report_queries
-from transferlake.sources import agreements, hard_lines
+from transferlake.sources import agreements, catalogues, hard_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +120,17 @@ def test_questions_of_a_tier_meet_its_first_documents_only(spark, monkeypatch):
     assert sorted((r.query, r.tier, r["rank"], r.doc) for r in got) == [(a[0], t, i, d) for a in asked for i, (t, d) in enumerate(answer(*a[1:]), 1)]
     joined = [p for p in plans if "Join Inner" in p]
     assert joined and all(p.count("dense_rank(doc") >= p.count("Join Inner") for p in joined)
+
+
+def test_references_are_checked_with_their_rows_made_once(spark):
+    plan = optimized(catalogue_queries.reference_check(spark, SF))
+    assert plan.count("posexplode") == 1 and "windowspecdefinition" not in plan
+    columns = ["doc_id", "code", "title", "units"]
+    lines = catalogues.catalogue_lines(spark, SF)
+    shown = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    assert shown(catalogue.course_headers(lines)) == shown(catalogue.course_blocks(lines))
+    rows = [(1, "A 1", "Art"), (1, "A 1", "Law"), (1, "A 2", None), (2, "B", "x"), (2, "B", "x"), (None, "C", "y"), (3, "D", "z"), (4, None, "q"), (5, "E", "Tax"), (6, "F", "one")]
+    source = [(1, "the ART of"), (3, None), (4, "Q"), (5, "tax"), (5, "none"), (5, "no"), (None, "y"), (6, "ONE")]
+    got = catalogue.reference_check(spark.createDataFrame(rows, "doc_id long, code string, title string"), spark.createDataFrame(source, "doc_id long, text string")).collect()
+    expected = {(1, "A 1", "repeated code"), (1, "A 1", "title not in source"), (2, "B", "repeated code"), (2, "B", "no source"), (None, "C", "no source"), (5, "E", "title not in source")}
+    assert len(got) == len(expected) and set(map(tuple, got)) == expected
