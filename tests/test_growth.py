@@ -1,12 +1,15 @@
 """What keeps the work of a query in step with its input."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, trees
+from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, requirements, trees
 from transferlake.plans import catalogue as catalogue_queries
 from transferlake.plans import logic as logic_queries
+from transferlake.plans import queries as engine
 from transferlake.plans import reports as report_queries
-from transferlake.sources import agreements, catalogues, hard_lines
+from transferlake.sources import agreements, catalogues, hard_lines, stand_ins
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +137,23 @@ def test_references_are_checked_with_their_rows_made_once(spark):
     got = catalogue.reference_check(spark.createDataFrame(rows, "doc_id long, code string, title string"), spark.createDataFrame(source, "doc_id long, text string")).collect()
     expected = {(1, "A 1", "repeated code"), (1, "A 1", "title not in source"), (2, "B", "repeated code"), (2, "B", "no source"), (None, "C", "no source"), (5, "E", "title not in source")}
     assert len(got) == len(expected) and set(map(tuple, got)) == expected
+
+
+def test_requirements_are_judged_where_a_students_courses_are(spark, monkeypatch):
+    dealt_by = lambda df: re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+    bare = lambda keys: re.sub(r"#\d+L?", "", keys)
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    plain = {}
+    for rows in (10**9, 100):  # a large table: tasks by its lines, whatever the session's number of partitions
+        monkeypatch.setattr(stand_ins, "TASK_ROWS", rows)
+        tasks = {str(-(-stand_ins.read(spark, SF, "lineitem").count() // 100))} if rows == 100 else {"4"}
+        for query in (engine.group_satisfied, engine.req_partial_best):
+            df = query(spark, SF)
+            by_student = [n for keys, n in dealt_by(df) if bare(keys) == "student"]
+            assert by_student and set(by_student) == tasks
+            assert not [keys for keys, _ in dealt_by(df) if "student" in keys and bare(keys) != "student"]
+            assert plain.setdefault(query, shown(df)) == shown(df)
+    options = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 0, "b"), (1, 1, "c"), (1, 1, "a"), (1, 1, "d"), (2, 0, "a"), (3, 0, "c"), (3, 0, "e"), (3, 1, "c"), (3, 1, "d")], "requirement int, option int, code string")
+    taken = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c"), (2, "a"), (3, "z")], "student int, code string")
+    got = shown(requirements.best_partial(requirements.option_progress(options, taken), options, taken))
+    assert got == [(1, 1, 0, 50.0, "b"), (2, 1, 1, 66.67, "d"), (2, 3, 0, 50.0, "e")]

@@ -29,13 +29,17 @@ def missing(targets: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def best_partial(progress: DataFrame, options: DataFrame, taken: DataFrame) -> DataFrame:
-    """For pairs not satisfied, the option matched most: percentage and the courses it lacks."""
-    done = satisfied(progress).select("student", "requirement")
+    """For pairs not satisfied, the option matched most: percentage and the courses it lacks.
+
+    Best and satisfied come from one aggregate. What an option lacks is its list of courses less that of the student, so that nothing is made of pairs and courses; all is by student, and rows dealt by student stay where they are.
+    """
     share = F.round(F.col("matched") * 100.0 / F.col("required"), 2)
-    best = progress.join(done, ["student", "requirement"], "left_anti").groupBy("student", "requirement").agg(F.max_by(F.struct("option", share.alias("percent")), F.struct(share, -F.col("option"))).alias("b"))
-    best = best.select("student", "requirement", "b.option", "b.percent")
-    lacks = best.join(options.select("requirement", "option", "code").distinct(), ["requirement", "option"]).join(taken.select("student", "code").distinct(), ["student", "code"], "left_anti")
-    return lacks.groupBy("student", "requirement", "option", "percent").agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("lacking"))
+    best = progress.groupBy("student", "requirement").agg(F.max_by(F.struct("option", share.alias("percent")), F.struct(share, -F.col("option"))).alias("b"), F.bool_or(F.col("matched") == F.col("required")).alias("done"))
+    best = best.where("not done").select("student", "requirement", "b.option", "b.percent")
+    wanted = options.groupBy("requirement", "option").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    has = taken.groupBy("student").agg(F.collect_set("code").alias("has"))
+    lacks = best.join(wanted, ["requirement", "option"]).join(has, "student").withColumn("lacks", F.array_except("codes", "has")).where(F.size("lacks") > 0)
+    return lacks.select("student", "requirement", "option", "percent", F.array_join("lacks", ", ").alias("lacking"))
 
 
 def group_status(done: DataFrame, members: DataFrame) -> DataFrame:
