@@ -1,10 +1,11 @@
 """What keeps the work of a query in step with its input."""
 
+import math
 import re
 
 from pyspark.sql import functions as F
 
-from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, requirements, trees
+from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, requirements, search, trees
 from transferlake.plans import catalogue as catalogue_queries
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import queries as engine
@@ -157,3 +158,26 @@ def test_requirements_are_judged_where_a_students_courses_are(spark, monkeypatch
     taken = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c"), (2, "a"), (3, "z")], "student int, code string")
     got = shown(requirements.best_partial(requirements.option_progress(options, taken), options, taken))
     assert got == [(1, 1, 0, 50.0, "b"), (2, 1, 1, 66.67, "d"), (2, 3, 0, 50.0, "e")]
+
+
+def test_texts_are_split_once_for_word_scores(spark, monkeypatch):
+    plans, saved = [], search.saved
+    monkeypatch.setattr(search, "saved", lambda df: plans.append(optimized(df)) or saved(df))
+    texts = {1: "A b\tb c", 2: " b  ", 3: "", 4: None, 5: "c c d", 6: "zz"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = {1: "B c", 2: "none", 3: None, 4: "a D d "}
+    _, added = search.impacts(docs, spark.createDataFrame(list(asked.items()), "query_id long, text string"))
+    assert [p.count("split(") for p in plans if "doc_id" in p and "split(" in p] == [1]
+    words = {i: x.lower().split() for i, x in texts.items() if x is not None}
+    mean = sum(map(len, words.values())) / len(words)
+    expected = []
+    for term in "abcd":
+        df = sum(term in w for w in words.values())
+        idf = math.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+        expected += [(i, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean)), 9)) for i, w in words.items() if (tf := w.count(term))]
+    assert sorted((r.doc_id, round(r.impact, 9)) for r in added.collect()) == sorted(expected)
+    given = spark.createDataFrame([(1, "t", "x")], "doc_id long, title string, text string")
+    near = spark.createDataFrame([(1, 1)], "query_id long, doc_id long")
+    plan = optimized(search.hybrid_events(given, spark.createDataFrame([(1, "t")], "query_id long, text string"), near))
+    below = plan[: plan.index("Join Inner")] if "Join Inner" in plan else plan
+    assert "split(lower(title" in below  # made of the pairs, above their join

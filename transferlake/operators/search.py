@@ -22,7 +22,7 @@ SLACK = 1e-4
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -39,15 +39,20 @@ def term_stats(docs: DataFrame) -> DataFrame:
 def impacts(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(asked, added) of queries(query_id, text) and docs(doc_id, text): the terms ``t`` of each query, and for each document what each asked term adds to its Okapi score.
 
-    Only words that some query has are counted, and they are joined before they are counted, so that no other posting is shuffled. Terms are numbers.
+    Only words that some query has are counted, and they are joined before they are counted, so that no other posting is shuffled. Terms are numbers; the empty word, which is no term, stands once in each document and
+    tells how many there are and how long, so that texts are split once.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    numbers = saved(words.select("term").distinct().select("term", F.monotonically_increasing_id().alias("t")))
+    mark = queries.sparkSession.range(1).select(F.lit("").alias("term"))
+    numbers = saved(words.select("term").distinct().unionAll(mark).select("term", F.when(F.col("term") == "", -1).otherwise(F.monotonically_increasing_id()).alias("t")))
     asked = saved(words.join(numbers, "term").select("query_id", "t"))
     split = docs.select("doc_id", terms(F.col("text")).alias("words"))  # a column of its own, so that it is made once a document
-    met = split.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(numbers, "term")
-    found = saved(met.groupBy("doc_id", "length", "t").agg(F.count("*").alias("tf")))
-    whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("mean"))  # one row
+    # Outer: no filter splits the texts again to see whether there are words.
+    each = split.select("doc_id", F.size("words").alias("length"), F.explode_outer(F.array_append(F.coalesce("words", F.array().cast("array<string>")), F.lit(""))).alias("term"))
+    counted = saved(each.join(numbers, "term").groupBy("doc_id", "length", "t").agg(F.count("*").alias("tf")))
+    found = counted.where("t >= 0")
+    measured = F.sum(F.when(F.col("length").isNotNull(), F.col("tf")))
+    whole = counted.where("t < 0").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / measured).alias("mean"))  # one row
     idf = found.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(whole)).select("t", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return asked, saved(found.join(idf, "t").select("doc_id", "t", part.alias("impact")))
@@ -247,9 +252,9 @@ def hybrid_events(docs: DataFrame, queries: DataFrame, near: DataFrame, likeness
     """
     asked_terms, added = impacts(docs.select("doc_id", "text"), queries)
     by_words = ranked(tile_scores(asked_terms, added, k), k)
-    words = docs.select("doc_id", terms(F.col("title")).alias("in_title"), terms(F.col("text")).alias("in_text"))
     asked = queries.select("query_id", terms(F.col("text")).alias("q"))
-    alike = near.join(asked, "query_id").join(words, "doc_id")
+    texts = near.join(asked, "query_id").join(docs.select("doc_id", "title", "text"), "doc_id")
+    alike = texts.select("query_id", "doc_id", "q", terms(F.col("title")).alias("in_title"), terms(F.col("text")).alias("in_text"))  # only the candidates' texts are split
     tiers = alike.select("query_id", "doc_id", F.when(token_set(F.col("q"), F.col("in_title")) >= title_likeness, 1).when(token_set(F.col("q"), F.col("in_text")) >= likeness, 2).alias("tier")).where("tier is not null")
     found = tiers.join(pair_scores(asked_terms, added, tiers), ["query_id", "doc_id"], "left").select("query_id", "doc_id", "tier", F.coalesce("score", F.lit(0.0)).alias("score"))
     every = found.unionAll(by_words.select("query_id", "doc_id", F.lit(3).alias("tier"), "score"))
