@@ -1,12 +1,13 @@
 """What keeps the work of a query in step with its input."""
 
+import json
 import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, requirements, search, trees
+from transferlake.operators import cascade, catalogue, conformance, graph, logic, matching, reports, requirements, search, trees
 from transferlake.plans import catalogue as catalogue_queries
 from transferlake.plans import logic as logic_queries
 from transferlake.plans import queries as engine
@@ -227,3 +228,30 @@ def test_courses_are_read_in_one_pass_over_lines_in_order(spark):
         assert sorted(map(tuple, catalogue.courses_in(texts).collect()), key=str) == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_audit_report_makes_requirements_once(spark):
+    assert optimized(report_queries.audit_report(spark, SF)).count("from_json") == 2
+    course = lambda n: {"prefix": "U", "courseNumber": str(n)}
+    cell = lambda i, n: {"id": i, "type": "Course", "course": course(n)}
+    series = {"id": "s", "type": "Series", "series": {"courses": [course(8), course(9)]}}
+    group = lambda position, *sections: {"position": position, "type": "RequirementGroup", "sections": [{"rows": [{"cells": cells} for cells in rows]} for rows in sections]}
+    sent = lambda i, *options: {"templateCellId": i, "articulation": {"items": [{"position": p, "items": [{"prefix": "S", "courseNumber": c} for c in codes]} for p, codes in options]}}
+    assets = [group(5, [[cell("a", 1)], [cell("b", 2), series]], [[]], [[cell("c", 3)]]), {"position": 1, "type": "RequirementTitle", "content": "<b>t</b>"}, group(None, [[cell("a", 4)]]), group(2, [[None, cell(None, 5)]]), group(2, [[cell("d", 6)]]), {"type": "RequirementGroup"}, group(3)]
+    found = [sent("a", (1, "xy"), (0, "z")), sent("b"), sent("c", (0, "q")), sent("a", (0, "w")), {"templateCellId": "d"}, sent(None, (0, "n")), sent("s", (0, "s"))]
+    texts = [(1, json.dumps(assets), json.dumps(found)), (2, json.dumps(assets), "[]"), (3, "no", None), (4, "[]", json.dumps(found)), (5, json.dumps(assets[:1]), json.dumps(found[1:3]))]
+    raw = spark.createDataFrame([(a, "n", x, y) for a, x, y in texts], "agreement long, name string, templateAssets string, articulations string")
+    tree = trees.trees(raw).select("agreement", F.explode("groups").alias("g")).select("agreement", "g.group_id", F.explode("g.sections").alias("s"))
+    expected = tree.select("agreement", "group_id", "s.section_id", F.posexplode("s.uc_courses").alias("place", "c")).select("agreement", "group_id", "section_id", "place", "c.uc_course_id", "c.options")
+    got = trees.placed(raw).select("agreement", F.explode("r").alias("r")).select("agreement", "r.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.where("uc_course = 'U 8 + U 9'").count() == 3
+
+
+def test_audit_report_of_repeated_agreements_is_that_of_their_requirements(spark):
+    rows = [(1, 1, 1, "A", 0, "U", [["a"], ["b", None]]), (1, 1, 1, "A", 1, "V", [["a", "a"]]), (1, None, 1, "A", 0, "W", [["AP 1"]]), (2, 1, 1, "A", 0, "X", None), (None, 1, 1, "B", 0, "Y", [[None], ["a"]])]
+    kinds = "group_id: int, section_id: string, place: int, uc_course: string, options: array<array<string>>"
+    targets = spark.createDataFrame(rows, "student long, agreement long, " + kinds.replace(": ", " "))
+    taken = spark.createDataFrame([(1, "a"), (1, "AP 1"), (None, "a"), (3, "IB"), (2, None)], "student long, code string")
+    expected = sorted(map(str, reports.audit_report(targets, taken).collect()))
+    per = spark.createDataFrame([(s, a, [tuple(r) for s2, a2, *r in rows if (s2, a2) == (s, a)]) for s, a, *_ in rows], f"student long, agreement long, r array<struct<{kinds}>>")
+    assert sorted(map(str, reports.audit_of(per, taken).collect())) == expected and len(expected) == len(rows)

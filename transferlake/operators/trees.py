@@ -25,20 +25,24 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _listed(column: str, kind: str) -> Column:
+    """A JSON text as a list; bad or missing text is an empty one."""
+    return F.coalesce(F.from_json(column, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """(agreement, name, assets, sent): JSON texts parsed a second time; bad or missing text is an empty list.
 
     assets stand in the order of position, those without one last; sent maps a cell's id to its articulation.
     """
-    listed = lambda column, kind: F.coalesce(F.from_json(column, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
     # The place in the text breaks ties, so that equal positions keep their order.
-    placed = F.transform(listed("templateAssets", ASSET), lambda x, i: F.struct(x["position"].isNull().alias("last"), x["position"].alias("position"), i.alias("i"), x.alias("asset")))
+    placed = F.transform(_listed("templateAssets", ASSET), lambda x, i: F.struct(x["position"].isNull().alias("last"), x["position"].alias("position"), i.alias("i"), x.alias("asset")))
     # A cell that is named twice has its last articulation.
     def last(named: Column) -> Column:
         kept = lambda ids: F.filter(named, lambda x, i: ~F.array_contains(F.slice(ids, i + 2, F.size(ids)), x["templateCellId"]))
         return F.transform(once(F.transform(named, lambda x: x["templateCellId"]), kept), lambda x: F.struct(x["templateCellId"], x["articulation"]))
 
-    named = F.filter(listed("articulations", ARTICULATION), lambda x: x["templateCellId"].isNotNull())
+    named = F.filter(_listed("articulations", ARTICULATION), lambda x: x["templateCellId"].isNotNull())
     return raw.select("agreement", "name", F.transform(F.array_sort(placed), lambda x: x["asset"]).alias("assets"), F.map_from_entries(once(named, last)).alias("sent"))
 
 
@@ -155,21 +159,47 @@ def logic(raw: DataFrame) -> DataFrame:
     return rows.select("agreement", "group_id", "s.section", F.col("g.logic_type").alias("group_logic"), F.col("g.n").alias("group_n"), F.col("s.own.logic_type").alias("section_logic"), F.col("s.own.n").alias("section_n"))
 
 
+def _members(cell: Column) -> Column:
+    """The courses of a cell: those of its series, or its own."""
+    return F.when(cell["type"] == "Series", cell["series"]["courses"]).otherwise(F.array(cell["course"]))
+
+
+def _codes(members: Column) -> Column:
+    return F.array_join(F.transform(members, lambda c: F.concat_ws(" ", c["prefix"], c["courseNumber"])), " + ")
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """(agreement, r): array<struct<group_id, section_id, place, uc_course, options>>, the requirements of ``trees`` by their place in a section.
+
+    Nothing else of a tree is made: cells and articulations are cut to what is asked before groups are ordered and cells find theirs, as every step copies what it hands on.
+    """
+    cells = lambda s: F.transform(F.flatten(F.transform(s["rows"], lambda r: r["cells"])), lambda c: F.struct(_codes(_members(c)).alias("uc_course"), c["id"].alias("id")))
+    sections = lambda x: F.transform(x["sections"], lambda s: F.coalesce(cells(s), F.array()))
+    groups = F.transform(F.filter(_listed("templateAssets", ASSET), lambda x: x["type"] == "RequirementGroup"), lambda x, i: F.struct(x["position"].isNull().alias("last"), x["position"].alias("position"), i.alias("i"), sections(x).alias("sections")))
+    named = F.filter(_listed("articulations", ARTICULATION), lambda x: x["templateCellId"].isNotNull())
+    cut = raw.select("agreement", F.array_sort(groups).alias("groups"), F.transform(named, lambda x: F.struct(x["templateCellId"].alias("id"), options_of(x["articulation"]).alias("options"))).alias("named"))
+    # A cell that is named twice has its last articulation.
+    ids = F.transform("named", lambda x: x["id"])
+    last = F.filter("named", lambda x, i: ~F.array_contains(F.slice(ids, i + 2, F.size("named")), x["id"]))
+    held = cut.select("agreement", "groups", F.map_from_entries(F.when(F.size(F.array_distinct(ids)) == F.size("named"), F.col("named")).otherwise(last)).alias("sent"))
+    options = lambda c: F.coalesce(F.try_element_at("sent", c["id"]), F.array().cast("array<array<string>>"))
+    at = lambda g, i, c, place: F.struct((g + 1).alias("group_id"), letter(i).alias("section_id"), place.alias("place"), c["uc_course"].alias("uc_course"), options(c).alias("options"))
+    group = lambda x, g: F.flatten(F.transform(x["sections"], lambda s, i: F.transform(s, lambda c, place: at(g, i, c, place))))
+    return held.select("agreement", F.flatten(F.array_compact(F.transform("groups", group))).alias("r"))
+
+
 def trees(raw: DataFrame) -> DataFrame:
     """(agreement, name, groups): the requirement tree of each agreement, groups in their order and sections by letter.
 
     A group is titled after its area, or after its logic where it has none. A group that selects courses says so for its sections. A series is one
     requirement with the units of its courses; a course without units has USUAL_UNITS, marked. An agreement without groups has an empty tree.
     """
-    code = lambda c: F.concat_ws(" ", c["prefix"], c["courseNumber"])
-
     def requirement(cell: Column) -> Column:
-        is_series = cell["type"] == "Series"
-        members = F.when(is_series, cell["series"]["courses"]).otherwise(F.array(cell["course"]))
+        members = _members(cell)
         units = F.aggregate(members, F.lit(0.0), lambda held, c: held + F.coalesce(c["units"], F.lit(USUAL_UNITS)))
         articulation = F.try_element_at("sent", cell["id"])
         return F.struct(
-            F.array_join(F.transform(members, code), " + ").alias("uc_course_id"),
+            _codes(members).alias("uc_course_id"),
             F.get(members, F.lit(0))["courseTitle"].alias("uc_course_title"),
             units.alias("units"),
             F.exists(members, lambda c: c["units"].isNull()).alias("units_estimated"),

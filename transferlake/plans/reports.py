@@ -27,10 +27,9 @@ FROM r LEFT JOIN b USING (student, agreement, group_id, section_id, place)"""
 )
 def audit_report(spark, sf_dir):
     """Every requirement of a student's own agreements with the reasons for its status; the requirements grow with the lines of orders."""
-    tree = trees.trees(agreements.raw_agreements(spark, sf_dir))
     own = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("agreement"), F.col("o_custkey").alias("student"))
     lines = S.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("agreement"), F.concat(F.lit("SUP "), F.col("l_suppkey").cast("string")).alias("code"))
     k = F.col("c_custkey")
     outside = S.read(spark, sf_dir, "customer").where(k % 10 == 0).select(k.alias("student"), F.when(k % 20 == 0, "AP BIO").otherwise("IB ART").alias("code"))
     taken = lines.join(own, "agreement").select("student", "code").unionAll(outside)
-    return reports.audit_report(reports.placed_requirements(tree).join(own, "agreement"), taken)
+    return reports.audit_of(trees.placed(agreements.raw_agreements(spark, sf_dir)).join(own, "agreement"), taken)
