@@ -248,7 +248,7 @@ def test_audit_report_makes_requirements_once(spark):
 
 
 def test_audit_report_of_repeated_agreements_is_that_of_their_requirements(spark):
-    rows = [(1, 1, 1, "A", 0, "U", [["a"], ["b", None]]), (1, 1, 1, "A", 1, "V", [["a", "a"]]), (1, None, 1, "A", 0, "W", [["AP 1"]]), (2, 1, 1, "A", 0, "X", None), (None, 1, 1, "B", 0, "Y", [[None], ["a"]])]
+    rows = [(1, 1, 1, "A", 0, "U", [["a"], ["b", None], []]), (1, 1, 1, "A", 1, "V", [["a", "a"]]), (1, None, 1, "A", 0, "W", [["AP 1"]]), (2, 1, 1, "A", 0, "X", None), (None, 1, 1, "B", 0, "Y", [[None], ["a"]])]
     kinds = "group_id: int, section_id: string, place: int, uc_course: string, options: array<array<string>>"
     targets = spark.createDataFrame(rows, "student long, agreement long, " + kinds.replace(": ", " "))
     taken = spark.createDataFrame([(1, "a"), (1, "AP 1"), (None, "a"), (3, "IB"), (2, None)], "student long, code string")

@@ -177,7 +177,7 @@ def placed(raw: DataFrame) -> DataFrame:
     sections = lambda x: F.transform(x["sections"], lambda s: F.coalesce(cells(s), F.array()))
     groups = F.transform(F.filter(_listed("templateAssets", ASSET), lambda x: x["type"] == "RequirementGroup"), lambda x, i: F.struct(x["position"].isNull().alias("last"), x["position"].alias("position"), i.alias("i"), sections(x).alias("sections")))
     named = F.filter(_listed("articulations", ARTICULATION), lambda x: x["templateCellId"].isNotNull())
-    cut = raw.select("agreement", F.array_sort(groups).alias("groups"), F.transform(named, lambda x: F.struct(x["templateCellId"].alias("id"), options_of(x["articulation"]).alias("options"))).alias("named"))
+    cut = raw.select("agreement", F.sort_array(groups).alias("groups"), F.transform(named, lambda x: F.struct(x["templateCellId"].alias("id"), options_of(x["articulation"]).alias("options"))).alias("named"))
     # A cell that is named twice has its last articulation.
     ids = F.transform("named", lambda x: x["id"])
     last = F.filter("named", lambda x, i: ~F.array_contains(F.slice(ids, i + 2, F.size("named")), x["id"]))
